@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: iterative plans stay short and survive the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows once to the shared folder and read them back.
+
+    Iterative plans stay short, branches do not recompute their input, and the
+    rows survive the loss of executors.  (``checkpoint()`` would run the plan
+    twice: once to count, once to write.)
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/routeloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
