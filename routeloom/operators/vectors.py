@@ -45,7 +45,7 @@ def rank_among_means(df: DataFrame, means: DataFrame, key: str, group: str, vec:
     right = (
         means.select(F.col(group).alias("_g"), F.col(mean).alias("_m"))
         .withColumn("_mb", F.pmod(F.xxhash64("_g"), F.lit(mb)).cast("int"))
-        .withColumn("_vb", F.explode(F.sequence(F.lit(0), F.lit(vb - 1))).cast("long"))
+        .withColumn("_vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(vb - 1).cast("long"))))
     )
     key_type = dict(df.dtypes)[key]
 
@@ -68,3 +68,405 @@ def rank_among_means(df: DataFrame, means: DataFrame, key: str, group: str, vec:
     )
     ranks = counted.groupBy(key).agg((F.sum("_better") + 1).alias("rank"))
     return own.select(key, group, "own_score").join(ranks, key)
+
+
+def _block_sides(df: DataFrame, group: str, key: str, vec: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of all block pairs of each group, keyed by ``(group, _i, _j)``."""
+    sizes = df.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+    rows = df.select(group, key, F.col(vec).alias("_v")).join(sizes, group)
+    own = F.pmod(F.xxhash64(key), F.col("_nb")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
+    left = rows.withColumns({"_i": own}).withColumn("_j", others).drop("_nb")
+    right = rows.withColumns({"_j": own}).withColumn("_i", others).drop("_nb")
+    # Fresh column identities: both sides come from the same rows.
+    right = right.select(*[F.col(c).alias(c) for c in right.columns])
+    return left, right
+
+
+def nearest_in_group(df: DataFrame, group: str, key: str, vec: str, floor: float, block: int = BLOCK_ROWS) -> DataFrame:
+    """Per vector: closest other vector of its group and how many reach ``floor``.
+
+    All pairs of a group are compared as block products spread over tasks; every
+    task reports one row per vector.
+    """
+    key_type = dict(df.dtypes)[key]
+    left, right = _block_sides(df, group, key, vec, block)
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({key: [], "best_key": [], "best": [], "n_above": []})
+        if a.empty or b.empty:
+            return empty
+        b = b.sort_values(key)
+        sims = np.round(np.stack(a["_v"]) @ np.stack(b["_v"]).T, 12)
+        sims[a[key].to_numpy()[:, None] == b[key].to_numpy()[None, :]] = -np.inf
+        top = sims.argmax(axis=1)
+        out = pd.DataFrame(
+            {
+                key: a[key].to_numpy(),
+                "best_key": b[key].to_numpy()[top],
+                "best": sims[np.arange(len(a)), top],
+                "n_above": (sims >= floor).sum(axis=1).astype("int64"),
+            }
+        )
+        return out
+
+    schema = f"{key} {key_type}, best_key {key_type}, best double, n_above long"
+    parts = left.groupBy(group, "_i", "_j").cogroup(right.groupBy(group, "_i", "_j")).applyInPandas(best, schema)
+    met = F.when(F.col("best") > float("-inf"), F.col("best"))
+    return parts.groupBy(key).agg(
+        F.min_by("best_key", F.struct((-met).alias("s"), F.col("best_key").alias("k"))).alias("best_key"),
+        F.max(met).alias("best"),
+        F.sum("n_above").alias("n_above"),
+    )
+
+
+QUANTILES = {"median": 0.5, "p95": 0.95}
+BINS = 2048
+
+
+def cosine_diversity(
+    df: DataFrame, group: str, key: str, vec: str, limit: int = BLOCK_ROWS, block: int = BLOCK_ROWS
+) -> DataFrame:
+    """Mean, median, 95th percentile and maximum of the pairwise cosines of each group.
+
+    Groups of at most ``limit`` rows are one block product.  Where a larger group
+    exists, the percentiles are found by counting: block pairs report histograms of
+    an interval around each wanted rank, narrowed until the answer is fixed to
+    about 1e-12.  No pair leaves its task in either plan.
+    """
+    from routeloom.operators.ordered import largest_group
+
+    group_type = dict(df.dtypes)[group]
+    if largest_group(df, [group]) <= limit:
+
+        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(pdf[vec])
+            upper = (x @ x.T)[np.triu_indices(len(x), 1)]
+            if not len(upper):
+                return pd.DataFrame({group: [], "mean": [], "median": [], "p95": [], "max": []})
+            return pd.DataFrame(
+                {
+                    group: [pdf[group].iloc[0]], "mean": [upper.mean()], "median": [np.median(upper)],
+                    "p95": [np.quantile(upper, 0.95)], "max": [upper.max()],
+                }
+            )
+
+        schema = f"{group} {group_type}, mean double, median double, p95 double, max double"
+        return df.select(group, vec).groupBy(group).applyInPandas(whole, schema)
+
+    from pyspark.sql import Window
+
+    from routeloom.session import cut_lineage
+
+    n = F.col("n")
+    sums = df.select(group, F.posexplode(vec).alias("_d", "_x")).groupBy(group, "_d").agg(
+        F.sum("_x").alias("s"), F.sum(F.col("_x") * F.col("_x")).alias("q"), F.count(F.lit(1)).alias("n")
+    )
+    means = sums.groupBy(group).agg(
+        ((F.sum(F.col("s") * F.col("s")) - F.sum("q")) / (F.max("n") * (F.max("n") - 1))).alias("mean"), F.max("n").alias("n")
+    ).where("n > 1")
+    pairs = n * (n - 1) / 2
+    wanted = []
+    for q in QUANTILES.values():
+        at = (pairs - 1) * q
+        wanted += [F.floor(at), F.ceil(at)]
+    targets = cut_lineage(
+        means.select(
+            group,
+            F.posexplode(F.array(*[w.cast("long") for w in wanted])).alias("t", "rank"),
+            F.lit(-1.001).alias("lo"), F.lit(1.001).alias("hi"), F.lit(0).cast("long").alias("below"),
+        )
+    )
+    left, right = _block_sides(df, group, key, vec, block)
+    left, right = left.where("_i <= _j"), right.where("_i <= _j")
+    top = None
+    for step in range(4):
+        packed = targets.groupBy(group).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("t", "lo", "hi"))), lambda s: F.struct(s["lo"].alias("lo"), s["hi"].alias("hi"))).alias("_t")
+        )
+
+        def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            cols = {group: [], "t": [], "bin": [], "cnt": [], "top": []}
+            if a.empty or b.empty:
+                return pd.DataFrame(cols)
+            sims = np.round(np.stack(a["_v"]) @ np.stack(b["_v"]).T, 12)
+            one, two = a[key].to_numpy()[:, None], b[key].to_numpy()[None, :]
+            same_block = a["_i"].iloc[0] == a["_j"].iloc[0]
+            sims = sims[one < two] if same_block else sims.ravel()
+            if not len(sims):
+                return pd.DataFrame(cols)
+            frames = []
+            for t, span in enumerate(a["_t"].iloc[0]):
+                lo, hi = span["lo"], span["hi"]
+                inside = sims[(sims >= lo) & (sims < hi)]
+                at = np.minimum((inside - lo) / (hi - lo) * BINS, BINS - 1).astype("int64")
+                counts = np.bincount(at, minlength=BINS)
+                used = np.flatnonzero(counts)
+                frames.append(pd.DataFrame({group: a[group].iloc[0], "t": t, "bin": used, "cnt": counts[used], "top": sims.max()}))
+            return pd.concat(frames)
+
+        schema = f"{group} {group_type}, t int, bin long, cnt long, top double"
+        hist = left.join(packed, group).groupBy(group, "_i", "_j").cogroup(right.groupBy(group, "_i", "_j")).applyInPandas(count, schema)
+        hist = cut_lineage(hist.groupBy(group, "t", "bin").agg(F.sum("cnt").alias("cnt"), F.max("top").alias("top")))
+        if top is None:
+            top = hist.groupBy(group).agg(F.max("top").alias("max"))
+        w = Window.partitionBy(group, "t").orderBy("bin")
+        placed = hist.withColumn("upto", F.sum("cnt").over(w)).join(targets, [group, "t"])
+        hit = placed.where((F.col("below") + F.col("upto") > F.col("rank")) & (F.col("below") + F.col("upto") - F.col("cnt") <= F.col("rank")))
+        width = (F.col("hi") - F.col("lo")) / BINS
+        targets = cut_lineage(
+            hit.select(
+                group, "t", "rank", (F.col("lo") + width * F.col("bin")).alias("lo"), (F.col("lo") + width * (F.col("bin") + 1)).alias("hi"),
+                (F.col("below") + F.col("upto") - F.col("cnt")).alias("below"),
+            )
+        )
+    values = targets.groupBy(group).agg(
+        *[F.max(F.when(F.col("t") == i, (F.col("lo") + F.col("hi")) / 2)).alias(f"v{i}") for i in range(4)]
+    )
+    out = means.join(values, group).join(top, group)
+
+    def between(i: int, q: float):
+        at = (pairs - 1) * q
+        return F.col(f"v{i}") + (F.col(f"v{i + 1}") - F.col(f"v{i}")) * (at - F.floor(at))
+
+    return out.select(group, "mean", between(0, 0.5).alias("median"), between(2, 0.95).alias("p95"), "max")
+
+
+# -- mixtures ------------------------------------------------------------------
+
+
+def _expect(x: np.ndarray, w: np.ndarray, mu: np.ndarray, var: np.ndarray):
+    """One expectation pass: responsibilities folded into sums, and the log likelihood."""
+    log_det = np.log(2 * np.pi * var).sum(axis=1)
+    quad = (x**2) @ (1 / var).T - 2 * x @ (mu / var).T + (mu**2 / var).sum(axis=1)
+    logp = np.log(w) - 0.5 * (log_det + quad)
+    top = logp.max(axis=1, keepdims=True)
+    total = top[:, 0] + np.log(np.exp(logp - top).sum(axis=1))
+    r = np.exp(logp - total[:, None])
+    return r.sum(axis=0), r.T @ x, r.T @ (x**2), total.sum()
+
+
+def _maximise(nk: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: float, reg: float):
+    nk = nk + 10 * np.finfo(float).eps
+    mu = s1 / nk[:, None]
+    return nk / nk.sum(), mu, np.maximum(s2 / nk[:, None] - mu**2, 0) + reg
+
+
+def _bic(ll: float, n: int, k: int, d: int) -> float:
+    return -2 * ll + (2 * k * d + k - 1) * np.log(n)
+
+
+def _starts(df: DataFrame, group: str, key: str, vec: str, most: int, seed: int) -> DataFrame:
+    """The rows a group's components start from: fixed by a hash of the key."""
+    from routeloom.operators import ordered
+
+    tagged = df.select(group, key, F.col(vec).alias("_v"), F.xxhash64(F.lit(seed), key).alias("_h"))
+    few = ordered.top_k(tagged, [group], ["_h", key], most, "_n")
+    packed = F.array_sort(F.collect_list(F.struct("_n", "_v")))
+    return few.groupBy(group).agg(F.transform(packed, lambda s: s["_v"]).alias("_start"))
+
+
+FIT = "k int, bic double, converged boolean, iterations int, weights array<double>, means array<array<double>>"
+
+
+def group_mixture(
+    df: DataFrame, group: str, key: str, vec: str, ks: tuple[int, ...] = (2, 3, 4, 5, 6), max_iter: int = 50,
+    reg: float = 1e-6, seed: int = 42, tol: float = 1e-3, limit: int = 20_000,
+) -> DataFrame:
+    """All candidate diagonal mixtures of every group: ``(group, k, bic, converged, iterations, weights, means)``.
+
+    Groups of at most ``limit`` rows are fitted inside one task each; with a larger
+    group every pass runs over row blocks of all groups at once and only the sums
+    are combined.  Start rows and arithmetic are the same in both plans.
+    """
+    from routeloom.operators.ordered import largest_group
+
+    group_type = dict(df.dtypes)[group]
+    starts = _starts(df, group, key, vec, max(ks), seed)
+    rows = df.select(group, F.col(vec).alias("_v"))
+    if largest_group(df, [group]) <= limit:
+
+        def fit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            x = np.stack(a["_v"])
+            start = np.stack([np.asarray(s) for s in b["_start"].iloc[0]])
+            n, d = x.shape
+            out = []
+            for k in [k for k in ks if k <= n]:
+                w, mu, var = np.full(k, 1 / k), start[:k], np.tile(x.var(axis=0) + reg, (k, 1))
+                last, done, it = -np.inf, False, 0
+                for it in range(1, max_iter + 1):
+                    nk, s1, s2, ll = _expect(x, w, mu, var)
+                    done = abs(ll / n - last) < tol
+                    if done:
+                        break
+                    last = ll / n
+                    w, mu, var = _maximise(nk, s1, s2, n, reg)
+                ll = _expect(x, w, mu, var)[3]
+                out.append((a[group].iloc[0], k, _bic(ll, n, k, d), done, it, w.tolist(), mu.tolist()))
+            return pd.DataFrame(out, columns=[group, "k", "bic", "converged", "iterations", "weights", "means"])
+
+        return rows.groupBy(group).cogroup(starts.groupBy(group)).applyInPandas(fit, f"{group} {group_type}, {FIT}")
+    return _mixture_by_blocks(df, rows, starts, group, group_type, key, ks, max_iter, reg, tol)
+
+
+def _mixture_by_blocks(df, rows, starts, group, group_type, key, ks, max_iter, reg, tol) -> DataFrame:
+    from routeloom.session import cut_lineage
+
+    rows = cut_lineage(rows)
+    dims = rows.select(group, F.posexplode("_v").alias("_d", "_x")).groupBy(group, "_d").agg(
+        F.var_pop("_x").alias("_s"), F.count(F.lit(1)).alias("_n")
+    )
+    packed = F.array_sort(F.collect_list(F.struct("_d", "_s")))
+    spread = dims.groupBy(group).agg(F.transform(packed, lambda s: s["_s"]).alias("_var"), F.max("_n").alias("n"))
+    k = F.explode(F.array(*[F.lit(x) for x in ks]))
+    flat = "array<double>"
+    state = (
+        starts.join(spread, group).withColumn("k", k).where(F.col("k") <= F.col("n")).select(
+            group, "k", "n",
+            F.transform(F.sequence(F.lit(1), F.col("k")), lambda _: F.lit(1.0) / F.col("k")).alias("w"),
+            F.flatten(F.slice("_start", F.lit(1), F.col("k"))).cast(flat).alias("mu"),
+            F.flatten(F.transform(F.sequence(F.lit(1), F.col("k")), lambda _: F.transform("_var", lambda s: s + reg))).alias("var"),
+            F.lit(float("-inf")).alias("last"), F.lit(False).alias("converged"), F.lit(0).alias("iterations"),
+        )
+    )
+    state = cut_lineage(state)
+    sums_schema = f"{group} {group_type}, k int, pos int, s double"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: dict = {}
+        for pdf in batches:
+            for g, part in pdf.groupby(group, sort=False):
+                x = np.stack(part["_v"])
+                for s in part["_state"].iloc[0]:
+                    kk = s["k"]
+                    shape = (kk, x.shape[1])
+                    nk, s1, s2, ll = _expect(x, np.asarray(s["w"]), np.reshape(s["mu"], shape), np.reshape(s["var"], shape))
+                    total = np.concatenate([[ll], nk, s1.ravel(), s2.ravel()])
+                    kept[g, kk] = kept.get((g, kk), 0) + total
+        for (g, kk), total in kept.items():
+            yield pd.DataFrame({group: g, "k": kk, "pos": np.arange(len(total), dtype="int32"), "s": total})
+
+    def sums(states: DataFrame) -> DataFrame:
+        by_group = states.groupBy(group).agg(F.collect_list(F.struct("k", "w", "mu", "var")).alias("_state"))
+        spread_rows = rows.join(by_group, group).mapInPandas(partial, sums_schema)
+        added = spread_rows.groupBy(group, "k", "pos").agg(F.sum("s").alias("s"))
+        ordered_sums = F.array_sort(F.collect_list(F.struct("pos", "s")))
+        return added.groupBy(group, "k").agg(F.transform(ordered_sums, lambda p: p["s"]).alias("_sums"))
+
+    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = pdf.copy()
+            for i in pdf.index:
+                kk, n = int(pdf.at[i, "k"]), int(pdf.at[i, "n"])
+                total = np.asarray(pdf.at[i, "_sums"])
+                d = (len(total) - 1 - kk) // (2 * kk)
+                ll, nk = total[0], total[1 : 1 + kk]
+                s1 = total[1 + kk : 1 + kk + kk * d].reshape(kk, d)
+                s2 = total[1 + kk + kk * d :].reshape(kk, d)
+                out.at[i, "iterations"] = pdf.at[i, "iterations"] + 1
+                if abs(ll / n - pdf.at[i, "last"]) < tol:
+                    out.at[i, "converged"] = True
+                    continue
+                w, mu, var = _maximise(nk, s1, s2, n, reg)
+                out.at[i, "last"] = ll / n
+                out.at[i, "w"], out.at[i, "mu"], out.at[i, "var"] = w.tolist(), mu.ravel().tolist(), var.ravel().tolist()
+            yield out.drop(columns="_sums")
+
+    finished = []
+    live = state
+    for _ in range(max_iter):
+        live = cut_lineage(live.join(sums(live), [group, "k"]).select(*state.columns, "_sums").mapInPandas(advance, state.schema))
+        finished.append(live.where("converged"))
+        live = live.where("NOT converged")
+        if live.isEmpty():
+            break
+    else:
+        finished.append(live)
+    final = finished[0]
+    for other in finished[1:]:
+        final = final.unionByName(other)
+    final = cut_lineage(final)
+    d = F.size("mu") / F.col("k")
+    bic = -2 * F.col("_sums")[0] + (2 * F.col("k") * d + F.col("k") - 1) * F.log(F.col("n"))
+    width = d.cast("int")
+    means = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.slice("mu", c * width + 1, width))
+    return final.join(sums(final), [group, "k"]).select(
+        group, "k", bic.alias("bic"), "converged", "iterations", F.col("w").alias("weights"), means.alias("means")
+    )
+
+
+def bic_select(fits: DataFrame, group: str) -> DataFrame:
+    """Fit with the smallest criterion per group; ties go to fewer components."""
+    from routeloom.operators import ordered
+
+    return ordered.top_k(fits, [group], ["bic", "k"], 1, "_n").drop("_n")
+
+
+def unit_means(chosen: DataFrame, group: str) -> DataFrame:
+    """One row per component with its unit mean."""
+    rows = chosen.select(group, F.posexplode("means").alias("component", "_m"))
+    return rows.select(group, "component", vx.l2_normalize(F.col("_m")).alias("mean"))
+
+
+def distinct_medoids(df: DataFrame, means: DataFrame, group: str, key: str, vec: str, most: int = 6) -> DataFrame:
+    """Per component, in order, the closest vector not taken by an earlier component.
+
+    At most ``components - 1`` vectors can be taken before, so the closest
+    ``most`` vectors per component are enough; only those few rows form a group.
+    """
+    from routeloom.operators import ordered
+
+    scored = df.join(means, group).select(
+        group, "component", key, F.round(vx.dot_product(F.col(vec), F.col("mean")), 12).alias("cosine")
+    )
+    near = ordered.top_k(scored, [group, "component"], [F.desc("cosine"), key], most, "_n")
+    types = dict(df.dtypes)
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        taken: set = set()
+        out = []
+        for component, part in pdf.sort_values(["component", "_n"]).groupby("component"):
+            free = part[~part[key].isin(taken)]
+            row = (free if len(free) else part).iloc[0]
+            taken.add(row[key])
+            out.append((row[group], component, row[key], row["cosine"]))
+        return pd.DataFrame(out, columns=[group, "component", key, "cosine"])
+
+    return near.groupBy(group).applyInPandas(pick, f"{group} {types[group]}, component int, {key} {types[key]}, cosine double")
+
+
+def embed_texts(
+    df: DataFrame, text: str, out: str = "embedding", encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
+    instruction: str = "", batch: int = 32, dims: int = 256,
+) -> DataFrame:
+    """Unit text vectors.
+
+    ``encoder`` is a factory called once per Python worker; it returns a function
+    from a list of texts to a matrix.  Without one, hashed word counts are used.
+    """
+    prompt = F.concat(F.lit(instruction), F.col(text))
+    if encoder is None:
+        from pyspark.ml.feature import HashingTF, Normalizer
+        from pyspark.ml.functions import vector_to_array
+
+        from routeloom.functions import text as tx
+
+        words = F.filter(F.split(tx.normalize_text(prompt), " "), lambda t: t != "")
+        hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(df.withColumn("_words", words))
+        unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed)
+        return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
+
+    from pyspark.sql import types as T
+
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        run = encoder()
+        for pdf in batches:
+            rows = []
+            for at in range(0, len(pdf), batch):
+                m = np.asarray(run((instruction + pdf[text].iloc[at : at + batch]).tolist()), dtype="float64")
+                rows.extend((m / np.linalg.norm(m, axis=1, keepdims=True)).astype("float32").tolist())
+            yield pdf.assign(**{out: rows})
+
+    return df.mapInPandas(encode, schema)
