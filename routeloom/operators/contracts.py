@@ -1,8 +1,228 @@
-"""Ordered contract checks: each reports whether a record holds and the first broken rule."""
+"""Ordered contract checks: each reports whether a record holds and the first broken rule.
+
+A contract is a list of ``(rule, holds)`` pairs in the order they are applied; a
+condition that is null counts as broken.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from routeloom.functions import text as tx
+
+Rules = Sequence[tuple[str, Column]]
+
+# Field names, enumerations, the section titles and the exclusion marker.
+SKILL_FIELDS = [
+    "name", "description", "experience_scope", "content_and_composition", "experience_progression",
+    "attention_and_information_flow", "interaction_model", "experience_qualities",
+    "completion_and_return", "locked_observable_requirements", "adaptable_details",
+    "portability_boundary",
+]
+INTERACTION_FIELDS = ["input", "affected_object", "state_change", "visible_feedback", "control_and_recovery"]
+NONBLANK_FIELDS = ["description", "experience_scope", "portability_boundary"]
+LIST_MINIMUM = {
+    "content_and_composition": 1, "experience_progression": 0, "attention_and_information_flow": 1,
+    "experience_qualities": 1, "completion_and_return": 1, "locked_observable_requirements": 1,
+    "adaptable_details": 0,
+}
+REQUIRED_SECTIONS = [
+    "## Use this skill when",
+    "## Core mechanism",
+    "## Implementation workflow",
+    "## State and update model",
+    "## Constraints and invariants",
+    "## Adaptation points",
+    "## Validation",
+]
+LEVELS = ["goal", "experience", "interaction"]
+EXCLUSION_MARKER = "NO_ELIGIBLE_VISUAL_SKILL"
+PROPOSAL_FIELDS = ["parent_rewrite", "skill_rewrites", "add_edges", "merges", "splits"]
+
+
+def first_broken(rules: Rules) -> Column:
+    """Name of the first rule that does not hold, null where all hold."""
+    return F.coalesce(*[F.when(~F.coalesce(holds, F.lit(False)), F.lit(name)) for name, holds in rules])
+
+
+def check(df: DataFrame, rules: Rules) -> DataFrame:
+    out = df.withColumn("rule", first_broken(rules))
+    return out.withColumn("ok", F.col("rule").isNull())
+
+
+def closed_keys(body: Column, allowed: Sequence[str]) -> Column:
+    """The JSON object has exactly these keys."""
+    keys = F.array_sort(F.json_object_keys(body))
+    return F.coalesce(keys == F.array(*[F.lit(k) for k in sorted(allowed)]), F.lit(False))
+
+
+def nonblank(value: Column) -> Column:
+    return F.coalesce(F.regexp_replace(value, "\\s+", "") != "", F.lit(False))
+
+
+def nonblank_fields(fields: dict[str, Column]) -> Column:
+    """Name of the first blank field, null where all are filled."""
+    return first_broken([(name, nonblank(value)) for name, value in fields.items()])
+
+
+def all_nonblank(values: Column, minimum: int = 0) -> Column:
+    return F.forall(values, lambda v: nonblank(v)) & (F.size(values) >= minimum)
+
+
+def no_repeats(values: Column) -> Column:
+    return F.size(values) == F.size(F.array_distinct(values))
+
+
+def same_set(left: Column, right: Column) -> Column:
+    return (F.size(F.array_except(left, right)) == 0) & (F.size(F.array_except(right, left)) == 0)
+
+
+def raw_items(body: Column, field: str) -> Column:
+    """A JSON list as the texts of its items."""
+    return F.from_json(body, f"struct<{field}:array<string>>")[field]
+
+
+def json_type(body: Column, path: str) -> Column:
+    """Type name of a JSON value (BIGINT, STRING, BOOLEAN, ...)."""
+    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), path, "variant"))
+
+
+def _field(items: Column, name: str) -> Column:
+    return F.transform(items, lambda i: F.get_json_object(i, f"$.{name}"))
+
+
+def route_reply_rules(body: Column, supplied: Column) -> Rules:
+    """``{"ranking": [{name, reason, confidence}]}`` over the supplied node names."""
+    items = raw_items(body, "ranking")
+    names = F.transform(_field(items, "name"), lambda n: F.trim(n))
+    known = (F.size(F.array_except(names, supplied)) == 0) & no_repeats(names)
+    return [
+        ("json", F.try_parse_json(body).isNotNull()),
+        ("keys", closed_keys(body, ["ranking"])),
+        ("list", items.isNotNull()),
+        ("item_keys", F.forall(items, lambda i: closed_keys(i, ["name", "reason", "confidence"]))),
+        ("name", known),
+        ("confidence", F.forall(_field(items, "confidence"), lambda c: c.isin("high", "medium", "low"))),
+        ("reason", F.forall(_field(items, "reason"), nonblank)),
+    ]
+
+
+def route_ranking(body: Column) -> Column:
+    """Accepted ranking with its 1-based rank."""
+    return F.transform(
+        raw_items(body, "ranking"),
+        lambda i, n: F.struct((n + 1).alias("rank"), F.trim(F.get_json_object(i, "$.name")).alias("name"), F.get_json_object(i, "$.confidence").alias("confidence")),
+    )
+
+
+def review_reply_rules(body: Column, supplied: Column) -> Rules:
+    """``{"decisions": [{name, applicable, score, reason}]}``: every supplied skill once."""
+    items = raw_items(body, "decisions")
+    names = F.transform(_field(items, "name"), lambda n: F.trim(n))
+    score = lambda i: F.get_json_object(i, "$.score").cast("int")
+    return [
+        ("json", F.try_parse_json(body).isNotNull()),
+        ("keys", closed_keys(body, ["decisions"])),
+        ("list", items.isNotNull()),
+        ("item_keys", F.forall(items, lambda i: closed_keys(i, ["name", "applicable", "score", "reason"]))),
+        ("name", (F.size(F.array_except(names, supplied)) == 0) & no_repeats(names)),
+        ("applicable", F.forall(items, lambda i: json_type(i, "$.applicable") == "BOOLEAN")),
+        ("score", F.forall(items, lambda i: (json_type(i, "$.score") == "BIGINT") & score(i).between(0, 100))),
+        ("reason", F.forall(_field(items, "reason"), nonblank)),
+        ("coverage", F.size(names) == F.size(supplied)),
+    ]
+
+
+def segment_rules(levels: Column, texts: Column) -> Rules:
+    return [
+        ("count", F.size(levels) == len(LEVELS)),
+        ("order", levels == F.array(*[F.lit(x) for x in LEVELS])),
+        ("text", F.forall(texts, nonblank)),
+    ]
+
+
+def category_rules(name: Column, description: Column, strict: bool = False) -> Rules:
+    """Snake-case name and a positive ``Fits`` statement (``strict``: the literal word)."""
+    fits = description.contains("Fits ") if strict else description.rlike("(?i)\\bfits\\b")
+    return [("name", nonblank(name)), ("description", nonblank(description)), ("snake_case", tx.is_snake(name)), ("fits", fits)]
+
+
+def distillation_rules(summary: Column, categories: Column, skills: Column) -> Rules:
+    """``categories``: names; ``skills``: struct(name, category_names)."""
+    listed = F.transform(skills, lambda s: s["category_names"])
+    names = F.transform(skills, lambda s: s["name"])
+    used = F.array_distinct(F.flatten(listed))
+    marked = F.trim(summary) == EXCLUSION_MARKER
+    return [
+        ("duplicate_category", no_repeats(categories)),
+        ("category_reference", F.forall(listed, lambda c: (F.size(c) > 0) & no_repeats(c) & (F.size(F.array_except(c, categories)) == 0))),
+        ("duplicate_skill", no_repeats(names)),
+        ("unused_category", same_set(used, categories)),
+        ("both_or_none", (F.size(categories) == 0) == (F.size(skills) == 0)),
+        ("summary", nonblank(summary)),
+        ("marker_missing", (F.size(categories) > 0) | marked),
+        ("marker_extra", (F.size(categories) == 0) | ~marked),
+    ]
+
+
+def skill_record_rules(body: Column) -> Rules:
+    """The twelve fields of a skill record."""
+    items = raw_items(body, "interaction_model")
+    get = lambda f: F.get_json_object(body, f"$.{f}")
+    complete = lambda i: reduce(lambda a, b: a & b, [nonblank(F.get_json_object(i, f"$.{f}")) for f in INTERACTION_FIELDS])
+    rules: list[tuple[str, Column]] = [
+        ("json", F.try_parse_json(body).isNotNull()),
+        ("keys", closed_keys(body, SKILL_FIELDS)),
+        ("interaction_model", F.size(items) > 0),
+        ("interaction_keys", F.forall(items, lambda i: closed_keys(i, INTERACTION_FIELDS))),
+        ("interaction_text", F.forall(items, complete)),
+        ("name", tx.is_snake(get("name"))),
+    ]
+    rules += [(f, nonblank(get(f))) for f in NONBLANK_FIELDS]
+    rules += [(f, all_nonblank(raw_items(body, f), least)) for f, least in LIST_MINIMUM.items()]
+    return rules
+
+
+def document_rules(text: Column, name: Column, description: Column, tokens: Column) -> Rules:
+    """Front matter, length, headings, sections in order, framework terms, identity tokens."""
+    front = tx.front_matter(text)
+    at = F.array(*[F.instr(front["body"], s) for s in REQUIRED_SECTIONS])
+    lines = F.size(F.split(F.regexp_replace(text, "\n\\z", ""), "\n"))
+    return [
+        ("name", tx.is_kebab(name)),
+        ("front_matter", front["ok"]),
+        ("mismatch", (front["name"] == name) & (front["description"] == description)),
+        ("length", lines <= 500),
+        ("heading", front["body"].rlike("(?m)^# [^#\\n]+$")),
+        ("sections", (F.array_min(at) > 0) & (at == F.array_sort(at))),
+        ("framework", ~text.rlike(tx.FRAMEWORK_TERMS)),
+        ("identity", ~F.exists(tokens, lambda t: (t != "") & F.contains(F.lower(text), F.lower(t)))),
+    ]
+
+
+def query_set_audit(rows: DataFrame, key: str, pos: str, text: str, expected: int, low: int = 3, high: int = 50) -> DataFrame:
+    """Per query set: size and the first broken rule, in the order of the list.
+
+    Repeats are found by the first position of each normalized text, so a set of any
+    size is checked by aggregates only.
+    """
+    flat = rows.select(key, pos, tx.collapse_ws(F.col(text)).alias("_t"))
+    flat = flat.select(key, pos, "_t", F.md5(tx.normalize_text(F.col("_t"))).alias("_n"), (tx.normalize_text(F.col("_t")) == "").alias("_blank"))
+    first = flat.groupBy(key, "_n").agg(F.min(pos).alias("_first"))
+    words = F.when(F.col("_t") == "", 0).otherwise(F.size(F.split("_t", " ")))
+    rule = (
+        F.when(~words.between(low, high), "word_count")
+        .when(tx.has_cjk(F.col("_t")), "cjk")
+        .when(F.col("_blank") | (F.col("_first") < F.col(pos)), "duplicate")
+    )
+    judged = flat.join(first, [key, "_n"]).select(key, pos, rule.alias("_rule"))
+    per = judged.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.min_by("_rule", F.when(F.col("_rule").isNotNull(), F.col(pos))).alias("_bad")
+    )
+    return per.select(key, "n", F.when(F.col("n") != expected, "size").otherwise(F.col("_bad")).alias("rule")).withColumn("ok", F.col("rule").isNull())
 
 
 def miss_stage_of(in_candidates: Column, rank: Column, k: int) -> Column:
@@ -12,3 +232,82 @@ def miss_stage_of(in_candidates: Column, rank: Column, k: int) -> Column:
         .when(rank.isNull() | (rank > k), "candidate_rank")
         .otherwise("none")
     )
+
+
+def diagnosis_rules(k: int = 10) -> Rules:
+    """Header rules over ``stage, operation, target, replacement, source, covered, source_rank, target_known``."""
+    op, stage = F.col("operation"), F.col("stage")
+    where = miss_stage_of(F.col("covered"), F.col("source_rank"), k)
+    filled = nonblank(F.col("replacement"))
+    node_op = op.isin("rewrite_node", "add_edge")
+    return [
+        ("stage", stage.isin("none", "root_route", "candidate_rank")),
+        ("operation", op.isin("none", "rewrite_skill", "rewrite_node", "add_edge")),
+        ("hit_repaired", (where != "none") | (op == "none")),
+        ("hit_stage", (where != "none") | (stage == "none")),
+        ("root_boundary", (where != "root_route") | ((stage == "root_route") & op.isin("none", "rewrite_node", "add_edge"))),
+        ("skill_boundary", (where != "candidate_rank") | ((stage == "candidate_rank") & op.isin("none", "rewrite_skill"))),
+        ("rewrite_skill", (op != "rewrite_skill") | ((F.col("target") == F.col("source")) & filled)),
+        ("node_target", ~node_op | F.coalesce(F.col("target_known"), F.lit(False))),
+        ("rewrite_node", (op != "rewrite_node") | filled),
+        ("replacement", ~op.isin("none", "add_edge") | ~filled),
+    ]
+
+
+def relation_rules() -> Rules:
+    """Item rules over ``a, b, relation, split_parent, distinction`` and known flags."""
+    rel = F.col("relation")
+    empty = (F.col("split_parent") == "") & (F.col("distinction") == "")
+    return [
+        ("endpoints", F.coalesce(F.col("a_known") & F.col("b_known"), F.lit(False)) & (F.col("a") != F.col("b"))),
+        ("relation", rel.isin("same", "alternative_same_position")),
+        ("same_fields", (rel != "same") | empty),
+        ("alternative_fields", (rel != "alternative_same_position") | (F.coalesce(F.col("parent_known"), F.lit(False)) & nonblank(F.col("distinction")))),
+    ]
+
+
+def first_relations(rows: DataFrame) -> DataFrame:
+    """Pairs sorted, repeats of a (pair, relation) in one request dropped keep-first."""
+    from routeloom.operators import ordered
+
+    x, y = tx.sorted_pair(F.col("a"), F.col("b"))
+    return ordered.first_row(rows.withColumns({"a": x, "b": y}), ["query_id", "a", "b", "relation"], ["pos"])
+
+
+def assignment_rules() -> Rules:
+    """``children`` array, ``keep``, ``known_children`` and ``times``/``supplied`` per skill."""
+    n = F.size("children")
+    return [
+        ("supplied", F.col("supplied")),
+        ("once", F.col("times") == 1),
+        ("children", (n <= 2) & no_repeats(F.col("children")) & (F.size(F.array_except("children", "known_children")) == 0)),
+        ("exclusive", (n > 0) != F.col("keep")),
+    ]
+
+
+def merge_verdict_rules(equivalent: Column, keep: Column, a: Column, b: Column) -> Rules:
+    return [
+        ("keep_in_pair", ~equivalent | (keep == a) | (keep == b)),
+        ("keep_empty", equivalent | (keep == "")),
+    ]
+
+
+def decision_log_rules() -> Rules:
+    """``op, born, step, times, description, new_taken, memberships`` of one routed category."""
+    return [
+        ("operation", F.col("op").isin("select", "revise", "create")),
+        ("known", (F.col("op") == "create") | (F.col("born") < F.col("step"))),
+        ("new_name", (F.col("op") != "create") | (F.col("born") == F.col("step"))),
+        ("once", F.col("times") == 1),
+        ("select_empty", (F.col("op") != "select") | F.col("description").isNull()),
+        ("fits", (F.col("op") == "select") | F.coalesce(F.col("description").contains("Fits "), F.lit(False))),
+    ]
+
+
+def exact_cover(supplied: DataFrame, answered: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows supplied but not answered, answered but not supplied, or answered more than once."""
+    a = supplied.select(*keys).distinct().withColumn("_s", F.lit(True))
+    b = answered.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    both = a.join(b, list(keys), "full_outer")
+    kind = F.when(F.col("_n").isNull(), "missing").when(F.col("_s").isNull(), "extra").when(F.col("_n") > 1, "repeated")
+    return both.withColumn("kind", kind).where("kind IS NOT NULL").select(*keys, "kind")

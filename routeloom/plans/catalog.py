@@ -1,6 +1,17 @@
 """Loads every query module so that the registry is complete."""
 
 from routeloom.plans.registry import ORACLES, QUERIES
-from routeloom.plans import q_audit, q_evidence, q_graph, q_ranking, q_reqlog, q_resume, q_text, q_vectors  # noqa: F401
+from routeloom.plans import (  # noqa: F401
+    q_audit,
+    q_contracts,
+    q_evidence,
+    q_graph,
+    q_patches,
+    q_ranking,
+    q_reqlog,
+    q_resume,
+    q_text,
+    q_vectors,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -26,7 +26,7 @@ def nearest_mean_rank(v):
 
 @query(
     "retrieval_eval",
-    f"""WITH {_RANK} SELECT count(*) AS queries, 1.0 AS coverage, round(avg((rank <= 1)::INT), 6) AS r_at_1, round(avg((rank <= 5)::INT), 6) AS r_at_5,
+    f"""WITH {_RANK} SELECT count(*) AS queries, 1.0::DOUBLE AS coverage, round(avg((rank <= 1)::INT), 6) AS r_at_1, round(avg((rank <= 5)::INT), 6) AS r_at_5,
   round(avg((rank <= 10)::INT), 6) AS r_at_10, round(avg(CASE WHEN rank <= 10 THEN 1.0 / rank ELSE 0 END), 6) AS mrr_at_10,
   (SELECT count(*) FROM mean)::DOUBLE AS mean_candidates, (SELECT count(*) FROM mean)::DOUBLE AS median_candidates FROM rk""",
     ("vector", "mean"),
