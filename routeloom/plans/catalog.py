@@ -6,6 +6,7 @@ from routeloom.plans import (  # noqa: F401
     q_contracts,
     q_evidence,
     q_graph,
+    q_io,
     q_patches,
     q_ranking,
     q_reqlog,
@@ -14,4 +15,6 @@ from routeloom.plans import (  # noqa: F401
     q_vectors,
 )
 
+from routeloom.plans import flows  # noqa: F401,E402  (uses queries registered above)
+
 __all__ = ["ORACLES", "QUERIES"]

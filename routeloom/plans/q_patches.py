@@ -147,11 +147,6 @@ def _merge_list(v):
     return ordered.positions(rows, [], ["k1", "k2"], "ord")
 
 
-# With the list sorted by the kept key, a merge is accepted iff its kept side was not removed by
-# an earlier kept key and it is the first for its removed side: a recursion over kept keys.
-_MERGE = """pm AS MATERIALIZED (SELECT DISTINCT least(p.p_partkey, q.p_partkey) AS k1, greatest(p.p_partkey, q.p_partkey) AS k2 FROM relation r
-  JOIN part_dag p ON p.skill = a JOIN part_dag q ON q.skill = b WHERE relation = 'same')"""
-
 
 @query("pick_merges")
 def pick_merges(v):
