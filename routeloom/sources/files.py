@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from routeloom.functions import text as tx
@@ -105,11 +107,9 @@ def suffix_of(name: Column) -> Column:
 
 def source_tree_scan(spark: SparkSession, root: str) -> DataFrame:
     """Readable files of each site directory below ``root``: preferred entry files first, then by path."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0")
-        .withColumn("_rel", F.regexp_extract("path", F.regexp_replace(F.lit(root), "^file:/*|/+$", ""), 0))
-    )
-    below = F.expr("substring(path, instr(path, _rel) + length(_rel) + 1)")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0")
+    base = re.sub("^file:/*", "/", root).rstrip("/")
+    below = F.substring("path", F.instr("path", base) + len(base) + 1, F.length("path"))
     parts = F.split(below, "/")
     name = F.element_at(parts, -1)
     dirs = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
@@ -120,7 +120,7 @@ def source_tree_scan(spark: SparkSession, root: str) -> DataFrame:
     return files.where(keep).select(
         F.element_at(parts, 1).alias("site"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("path"), suffix_of(name).alias("suffix"),
         F.when(F.lower(name).isin(ENTRY_FILES), 0).otherwise(1).alias("pref"), F.lower(name).isin("index.html", "index.htm").alias("is_index"),
-        F.decode("content", F.lit("UTF-8")).alias("text"),
+        F.decode("content", "UTF-8").alias("text"),
     )
 
 
