@@ -85,55 +85,81 @@ def raw_items(body: Column, field: str) -> Column:
     return F.from_json(body, f"struct<{field}:array<string>>")[field]
 
 
-def json_type(body: Column, path: str) -> Column:
-    """Type name of a JSON value (BIGINT, STRING, BOOLEAN, ...)."""
-    return F.schema_of_variant(F.try_variant_get(F.try_parse_json(body), path, "variant"))
+def parsed_items(df: DataFrame, body: str, field: str, item: dict[str, str]) -> DataFrame:
+    """Add ``_doc``, ``_keys`` and ``_items`` of a JSON reply, parsed once per row.
 
+    An item becomes its sorted keys plus, per field, the text (``name``) and the type
+    (``name_type``); ``item`` maps fields to the type their value is read as.
+    """
+    doc = F.try_parse_json(body)
+    df = pin(df, {"_doc": doc})
+    keys = F.array_sort(F.map_keys(F.try_variant_get("_doc", "$", "map<string,variant>")))
+    raw = F.try_variant_get("_doc", f"$.{field}", "array<variant>")
 
-def _field(items: Column, name: str) -> Column:
-    return F.transform(items, lambda i: F.get_json_object(i, f"$.{name}"))
+    def unpack(v: Column) -> Column:
+        cols = [F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))).alias("keys")]
+        for name, kind in item.items():
+            cols.append(F.try_variant_get(v, f"$.{name}", kind).alias(name))
+            cols.append(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")).alias(f"{name}_type"))
+        return F.struct(*cols)
 
+    return pin(df, {"_keys": keys, "_items": F.transform(raw, unpack)})
+
+
+def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns computed once per row: a generator is never inlined into later expressions."""
+    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(packed)))
+
+
+def _keys_are(keys: Column, allowed: Sequence[str]) -> Column:
+    return keys == F.array(*[F.lit(k) for k in sorted(allowed)])
 
-def route_reply_rules(body: Column, supplied: Column) -> Rules:
-    """``{"ranking": [{name, reason, confidence}]}`` over the supplied node names."""
-    items = raw_items(body, "ranking")
-    names = F.transform(_field(items, "name"), lambda n: F.trim(n))
-    known = (F.size(F.array_except(names, supplied)) == 0) & no_repeats(names)
-    return [
-        ("json", F.try_parse_json(body).isNotNull()),
-        ("keys", closed_keys(body, ["ranking"])),
-        ("list", items.isNotNull()),
-        ("item_keys", F.forall(items, lambda i: closed_keys(i, ["name", "reason", "confidence"]))),
-        ("name", known),
-        ("confidence", F.forall(_field(items, "confidence"), lambda c: c.isin("high", "medium", "low"))),
-        ("reason", F.forall(_field(items, "reason"), nonblank)),
-    ]
 
+def _texts(field: str) -> Column:
+    return F.transform("_items", lambda i: F.when(i[f"{field}_type"] == "STRING", F.trim(i[field])))
 
-def route_ranking(body: Column) -> Column:
-    """Accepted ranking with its 1-based rank."""
-    return F.transform(
-        raw_items(body, "ranking"),
-        lambda i, n: F.struct((n + 1).alias("rank"), F.trim(F.get_json_object(i, "$.name")).alias("name"), F.get_json_object(i, "$.confidence").alias("confidence")),
+
+def check_route_reply(df: DataFrame, body: str, supplied: str) -> DataFrame:
+    """``{"ranking": [{name, reason, confidence}]}`` over the supplied node names."""
+    fields = ["name", "reason", "confidence"]
+    rows = parsed_items(df, body, "ranking", dict.fromkeys(fields, "string"))
+    names = _texts("name")
+    rules = [
+        ("json", F.col("_doc").isNotNull()),
+        ("keys", _keys_are(F.col("_keys"), ["ranking"])),
+        ("list", F.col("_items").isNotNull()),
+        ("item_keys", F.forall("_items", lambda i: F.coalesce(_keys_are(i["keys"], fields), F.lit(False)))),
+        ("name", (F.size(F.array_except(names, supplied)) == 0) & no_repeats(names)),
+        ("confidence", F.forall(_texts("confidence"), lambda c: F.coalesce(c.isin("high", "medium", "low"), F.lit(False)))),
+        ("reason", F.forall(_texts("reason"), nonblank)),
+    ]
+    ranking = F.transform(
+        names, lambda n, i: F.struct((i + 1).alias("rank"), n.alias("name"), F.col("_items")[i]["confidence"].alias("confidence"))
     )
+    return check(rows, rules).withColumn("ranking", F.when(F.col("ok"), ranking)).drop("_doc", "_keys", "_items")
 
 
-def review_reply_rules(body: Column, supplied: Column) -> Rules:
-    """``{"decisions": [{name, applicable, score, reason}]}``: every supplied skill once."""
-    items = raw_items(body, "decisions")
-    names = F.transform(_field(items, "name"), lambda n: F.trim(n))
-    score = lambda i: F.get_json_object(i, "$.score").cast("int")
-    return [
-        ("json", F.try_parse_json(body).isNotNull()),
-        ("keys", closed_keys(body, ["decisions"])),
-        ("list", items.isNotNull()),
-        ("item_keys", F.forall(items, lambda i: closed_keys(i, ["name", "applicable", "score", "reason"]))),
+def check_review_reply(df: DataFrame, body: str, supplied: str) -> DataFrame:
+    """``{"decisions": [{name, applicable, score, reason}]}``: every supplied skill once.
+
+    A score has to be a JSON integer; a quoted number or a boolean is broken.
+    """
+    fields = {"name": "string", "applicable": "boolean", "score": "bigint", "reason": "string"}
+    rows = parsed_items(df, body, "decisions", fields)
+    names = _texts("name")
+    rules = [
+        ("json", F.col("_doc").isNotNull()),
+        ("keys", _keys_are(F.col("_keys"), ["decisions"])),
+        ("list", F.col("_items").isNotNull()),
+        ("item_keys", F.forall("_items", lambda i: F.coalesce(_keys_are(i["keys"], list(fields)), F.lit(False)))),
         ("name", (F.size(F.array_except(names, supplied)) == 0) & no_repeats(names)),
-        ("applicable", F.forall(items, lambda i: json_type(i, "$.applicable") == "BOOLEAN")),
-        ("score", F.forall(items, lambda i: (json_type(i, "$.score") == "BIGINT") & score(i).between(0, 100))),
-        ("reason", F.forall(_field(items, "reason"), nonblank)),
+        ("applicable", F.forall("_items", lambda i: i["applicable_type"] == "BOOLEAN")),
+        ("score", F.forall("_items", lambda i: (i["score_type"] == "BIGINT") & i["score"].between(0, 100))),
+        ("reason", F.forall(_texts("reason"), nonblank)),
         ("coverage", F.size(names) == F.size(supplied)),
     ]
+    return check(rows, rules).drop("_doc", "_keys", "_items")
 
 
 def segment_rules(levels: Column, texts: Column) -> Rules:

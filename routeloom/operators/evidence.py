@@ -47,6 +47,16 @@ def evidence_parents(relations: DataFrame, members: DataFrame, depth: DataFrame,
     return deepest.unionByName(stated).unionByName(either)
 
 
+def repeated_relations(relations: DataFrame, min_support: int = 2) -> DataFrame:
+    """Rows whose pair occurs in at least ``min_support`` requests under any parent.
+
+    A parent's support cannot exceed that count, so pairs seen once are dropped before
+    any graph join; the result of ``relation_support`` is unchanged.
+    """
+    often = relations.groupBy(*PAIR).agg(F.countDistinct("query_id").alias("_q")).where(F.col("_q") >= min_support)
+    return cut_lineage(relations.join(often.select(*PAIR), PAIR, "left_semi"))
+
+
 def relation_rows(relations: DataFrame, parents: DataFrame) -> DataFrame:
     return relations.join(parents, [*PAIR, "split_parent"])
 
@@ -183,6 +193,7 @@ def parent_evidence(
     parents = nodes.select(F.col("name").alias("parent")).join(direct, "parent", "left").na.fill(0, ["direct_skills"])
     if not indirect:
         parents = parents.where("direct_skills > 0")
+    relations = repeated_relations(relations, min_support)
     placed = evidence_parents(relations, members, depth, nodes)
     supported = relation_support(relation_rows(relations, placed), min_support)
     top = relations_topk(supported, max_relations).join(parents.select("parent"), "parent", "left_semi")

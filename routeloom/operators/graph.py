@@ -121,11 +121,11 @@ def lexical_score(query: Column, text: Column, basis: str = "query") -> Column:
     return F.when(whole == 0, F.lit(0)).otherwise(F.floor(F.lit(100) * shared / whole)).cast("int")
 
 
-def choose_by_text(queries: DataFrame, cards: DataFrame, threshold: int, drop: tuple[str, ...] = ("fits",)) -> DataFrame:
-    """Cards whose words are covered to ``threshold`` percent by a query, without a cross join.
+def rare_words(cards: DataFrame, threshold: int) -> DataFrame:
+    """Cards with one row per word that a covering query has to share.
 
-    A covered card shares one of its ``n - ceil(n*threshold/100) + 1`` rarest words
-    with the query, so only those words are joined and the score is checked after.
+    A card covered to ``threshold`` percent shares one of its
+    ``n - ceil(n*threshold/100) + 1`` rarest words with the query.
     """
     words = cards.select("name", F.explode("words").alias("w"))
     spread = words.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
@@ -133,16 +133,19 @@ def choose_by_text(queries: DataFrame, cards: DataFrame, threshold: int, drop: t
         F.transform(F.array_sort(F.collect_list(F.struct("df", "w"))), lambda s: s["w"]).alias("_rare")
     )
     need = F.ceil(F.size("words") * threshold / 100)
-    keyed = (
-        cards.join(rarest, "name")
-        .withColumn("w", F.explode(F.slice("_rare", F.lit(1), (F.size("words") - need + 1).cast("int"))))
-        .select("name", "words", "w")
-    )
+    few = F.slice("_rare", F.lit(1), (F.size("words") - need + 1).cast("int"))
+    return cards.join(rarest, "name").withColumn("w", F.explode(few)).select("name", "words", "w")
+
+
+def choose_by_text(queries: DataFrame, cards: DataFrame, threshold: int) -> DataFrame:
+    """Cards whose words are covered to ``threshold`` percent by a query, without a cross join."""
     asked = queries.select("query_id", F.col("words").alias("q"), F.explode("words").alias("w"))
-    met = asked.join(keyed, "w").select(
-        "query_id", "name", lexical_score(F.col("q"), F.col("words"), "description").alias("score")
-    )
-    return met.where(F.col("score") >= threshold).distinct()
+    return _covered(asked.join(rare_words(cards, threshold), "w"), threshold)
+
+
+def _covered(met: DataFrame, threshold: int) -> DataFrame:
+    score = lexical_score(F.col("q"), F.col("words"), "description").alias("score")
+    return met.select("query_id", "name", score).where(F.col("score") >= threshold).distinct()
 
 
 def node_cards(nodes: DataFrame, stop: tuple[str, ...] = ("fits",)) -> DataFrame:
@@ -163,17 +166,13 @@ def route_dag(
     asked = cut_lineage(queries.select("query_id", tx.token_set(F.col("query")).alias("words")))
     chosen = choose_by_text(asked, cards.where("is_root").select("name", "words"), threshold)
     levels = [cut_lineage(chosen.withColumn("level", F.lit(1)))]
-    children = cut_lineage(edges.join(cards, F.col("child") == F.col("name")).select("parent", "name", "words"))
+    keyed = rare_words(cards.select("name", "words"), threshold)
+    children = cut_lineage(edges.join(keyed, F.col("child") == F.col("name")).select("parent", "name", "words", "w"))
     while True:
-        frontier = (
-            levels[-1].select("query_id", F.col("name").alias("parent")).join(children, "parent")
-            .join(asked.select("query_id", F.col("words").alias("q")), "query_id")
-        )
-        picked = (
-            frontier.select("query_id", "name", lexical_score(F.col("q"), F.col("words"), "description").alias("score"))
-            .where(F.col("score") >= threshold)
-            .distinct()
-        )
+        # A child is met only through a word it must share, however many siblings it has.
+        frontier = levels[-1].select("query_id", F.col("name").alias("parent")).join(asked, "query_id")
+        frontier = frontier.select("query_id", "parent", F.col("words").alias("q"), F.explode("words").alias("w"))
+        picked = _covered(frontier.join(children, ["parent", "w"]), threshold)
         picked = cut_lineage(picked.withColumn("level", F.lit(len(levels) + 1)))
         if picked.isEmpty():
             break

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from routeloom.functions import text as tx
 from routeloom.operators import ordered
+from routeloom.operators.contracts import pin
 
 
 def rank_topk(reviews: DataFrame, query: str, seen: Sequence[str], k: int = 10) -> DataFrame:
@@ -89,12 +90,6 @@ def line_context(lines: DataFrame, keys: Sequence[str], pos: str, hit: str, reac
     return near.where("near = 1").drop("near")
 
 
-def _pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """Add columns computed once per row: a generator is never inlined into later expressions."""
-    packed = F.struct(*[c.alias(n) for n, c in columns.items()])
-    return df.select("*", F.inline(F.array(packed)))
-
-
 def evidence_excerpt(
     files: DataFrame,
     owner: str,
@@ -115,9 +110,9 @@ def evidence_excerpt(
     """
     ranked = ordered.top_k(files, [owner], [F.col("pref"), F.col(path)], max_files, "file_no")
     clean = tx.break_markup(tx.scrub_data_uri(F.col(text)), suffix)
-    rows = _pin(ranked, {"_lines": F.split(F.regexp_replace(clean, "\n\\z", ""), "\n"), "_index": is_index})
+    rows = pin(ranked, {"_lines": F.split(F.regexp_replace(clean, "\n\\z", ""), "\n"), "_index": is_index})
     flags = F.transform("_lines", lambda l, i: F.when(tx.signal_line(l), i + 1))
-    rows = _pin(rows, {"_hits": F.array_compact(flags)})
+    rows = pin(rows, {"_hits": F.array_compact(flags)})
 
     def label(n: Column) -> Column:
         return F.concat(n.cast("string"), F.lit(": "), F.substring(F.element_at("_lines", n), 1, line_chars))
@@ -131,7 +126,7 @@ def evidence_excerpt(
             F.aggregate(F.sequence(first(h), last(h)), F.lit(0), lambda s, n: s + F.length(label(n))).alias("size"),
         ),
     )
-    rows = _pin(rows, {"_sized": sized})
+    rows = pin(rows, {"_sized": sized})
     # Fold over the hits: (characters so far, last hit still inside the limit).
     state = F.struct(F.lit(0).alias("used"), F.lit(0).alias("stop"))
     folded = F.aggregate(
@@ -142,12 +137,12 @@ def evidence_excerpt(
             F.when(s["used"] >= hit_chars, s["stop"]).otherwise(x["h"]).alias("stop"),
         ),
     )
-    rows = _pin(rows, {"_stop": folded["stop"]})
+    rows = pin(rows, {"_stop": folded["stop"]})
     kept = F.filter("_hits", lambda h: h <= F.col("_stop"))
     numbers = F.array_sort(F.array_distinct(F.flatten(F.transform(kept, lambda h: F.sequence(first(h), last(h))))))
     fallback = F.transform(F.slice("_lines", 1, 80), lambda l: F.substring(l, 1, 500))
     shown = F.when(F.size("_hits") > 0, F.transform(numbers, label)).when(F.col("_index"), F.array_distinct(fallback))
     block = F.concat(F.lit("FILE "), F.col(path), F.lit("\n"), F.array_join(shown, "\n"))
-    rows = _pin(rows, {"block": block})
+    rows = pin(rows, {"block": block})
     blocks = rows.where("block IS NOT NULL").select(owner, path, "file_no", F.size("_hits").alias("n_hits"), "block")
     return char_budget(blocks, [owner], ["file_no"], "block", owner_chars)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from routeloom.functions import text as tx
 from routeloom.operators import contracts as ct
 from routeloom.plans.registry import query
+from routeloom.session import cut_lineage
 
 
 def _ids(v):
@@ -56,7 +57,7 @@ FROM batch""",
 )
 def review_reply_contract(v):
     replies = _review_replies(v).withColumn("body", tx.first_json_object(F.col("reply")))
-    return ct.check(replies, ct.review_reply_rules(F.col("body"), F.col("supplied"))).select("query_id", "rule")
+    return ct.check_review_reply(replies, "body", "supplied").select("query_id", "rule")
 
 
 @query(
@@ -81,9 +82,9 @@ def route_reply_contract(v):
     body = _json(("ranking", F.when(cls == 3, _q(F.lit("none"))).otherwise(listed)))
     body = F.when(cls == 0, _json(("ranking", listed), ("note", _q(F.lit("x"))))).when(cls == 7, F.lit('{"ranking":[')).otherwise(body)
     rows = _ids(v).select("query_id", "supplied", body.alias("body"))
-    judged = ct.check(rows, ct.route_reply_rules(F.col("body"), F.col("supplied")))
-    shown = F.transform(ct.route_ranking(F.col("body")), lambda r: F.concat_ws(":", r["rank"].cast("string"), r["name"]))
-    return judged.select("query_id", "rule", F.when(F.col("ok"), F.array_join(shown, ",")).alias("ranking"))
+    judged = ct.check_route_reply(rows, "body", "supplied")
+    shown = F.transform("ranking", lambda r: F.concat_ws(":", r["rank"].cast("string"), r["name"]))
+    return judged.select("query_id", "rule", F.array_join(shown, ",").alias("ranking"))
 
 
 @query(
@@ -351,6 +352,7 @@ FROM batch WHERE pos = 1 AND l_orderkey % 10 IN (4, 5) UNION ALL SELECT l_orderk
 def exact_cover(v):
     """Supplied names against answered names of the review replies that parse."""
     replies = _review_replies(v).withColumn("body", tx.first_json_object(F.col("reply"))).where("body IS NOT NULL")
+    replies = cut_lineage(replies)
     answered = replies.select("query_id", F.explode(ct.raw_items(F.col("body"), "decisions")).alias("i")).select("query_id", F.get_json_object("i", "$.name").alias("name"))
     supplied = replies.select("query_id", F.explode("supplied").alias("name"))
     return ct.exact_cover(supplied, answered, ["query_id", "name"])

@@ -33,9 +33,10 @@ ALL_VIEWS = (*VIEWS, "diagnosis")
 
 
 def _rows(v):
+    """Repeated relation rows with their parents (pairs seen once support nothing)."""
     depth = graph.longest_depth(v.node, v.edge)
-    parents = evidence.evidence_parents(v.relation, v.member, depth, v.node)
-    return evidence.relation_rows(v.relation, parents)
+    often = evidence.repeated_relations(v.relation)
+    return evidence.relation_rows(often, evidence.evidence_parents(often, v.member, depth, v.node))
 
 
 def _top(v):

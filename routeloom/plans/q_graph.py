@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from routeloom.operators import graph, ranking
 from routeloom.plans.registry import query
+from routeloom.session import cut_lineage
 
 _WORDS = (
     "list_filter(list_distinct(string_split(trim(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g')), ' ')), "
@@ -153,12 +154,12 @@ def document_lookup(v):
     )
 
 
-def reviewed(v):
+def reviewed(v, live):
     """Candidates of every routed request with their lexical review."""
     from routeloom.functions import text as tx
 
     chosen = graph.route_dag(v.route_query, v.node, v.edge)
-    cand = graph.candidate_union(chosen, v.member, graph.resolve_merges(v.skill))
+    cand = graph.candidate_union(chosen, v.member, live)
     docs = v.route_query.select(F.col("source").alias("skill"), tx.token_set(F.col("query")).alias("d"))
     asked = v.route_query.select("query_id", tx.token_set(F.col("query")).alias("q"))
     score = graph.lexical_score(F.col("q"), F.col("d"))
@@ -177,8 +178,8 @@ src AS MATERIALIZED (SELECT query_id, k.canonical AS source FROM route_query q J
 
 def retrieved(v):
     """Requests with candidate count, nullable source rank and coverage."""
-    rev = reviewed(v)
-    live = graph.resolve_merges(v.skill)
+    live = cut_lineage(graph.resolve_merges(v.skill))
+    rev = cut_lineage(reviewed(v, live))
     src = v.route_query.join(live, F.col("source") == F.col("name")).select("query_id", F.col("canonical").alias("skill"))
     ranked = ranking.rank_topk(rev, "query_id", ["seen"]).select("query_id", "skill", "rank")
     covered = rev.select("query_id", "skill", F.lit(True).alias("covered"))

@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from routeloom.operators import ordered
+from routeloom.session import cut_lineage
 
 LINK_STEPS = (1, 2)
 
@@ -193,7 +194,8 @@ class Views:
         b = F.when(first, F.col("other")).otherwise(F.col("me"))
         rows = rows.select("l_orderkey", "source", a.alias("x"), b.alias("y"))
         same = F.col("x.p_type") == F.col("y.p_type")
-        return rows.select(
+        # Several branches of a plan read the relations: one table instead of one scan each.
+        return cut_lineage(rows.select(
             F.col("l_orderkey").alias("query_id"),
             "source",
             F.col("x.skill").alias("a"),
@@ -202,7 +204,7 @@ class Views:
             F.concat(F.lit("r_"), F.col("l_orderkey").cast("string")).alias("reason"),
             F.when(same, "").when(F.col("x.p_size") <= 25, F.col("x.typ")).otherwise(F.col("x.brand")).alias("split_parent"),
             F.when(same, "").otherwise(F.concat("x.p_type", F.lit("/"), "y.p_type")).alias("distinction"),
-        )
+        ))
 
     # -- vectors ---------------------------------------------------------------
     @cached_property

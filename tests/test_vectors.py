@@ -93,8 +93,8 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a or b else 1.0
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_pair_audit_against_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "small"), [(1, 64), (2, 1)])
+def test_pair_audit_against_brute_force(spark, seed, small):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(30)]
     data = []
@@ -106,7 +106,7 @@ def test_pair_audit_against_brute_force(spark, seed):
                 pick ^= {r.choice(words)}
             data.append((g, i, sorted(pick)))
     df = spark.createDataFrame(data, "g int, i int, w array<string>")
-    got = {r.g: r for r in similarity.pair_audit(df, "g", "i", "w").collect()}
+    got = {r.g: r for r in similarity.pair_audit(df, "g", "i", "w", small=small).collect()}
     for g in range(4):
         sets = [set(w) for h, _, w in data if h == g]
         sims = [jaccard(a, b) for n, a in enumerate(sets) for b in sets[n + 1 :]]
