@@ -248,7 +248,7 @@ def consistency_contract(v):
 
 
 @query(
-    "publish_split",
+    "publish_split_sink",
     """SELECT doc_id AS data_id, row_number() OVER (ORDER BY doc_id) AS ord, md5(regexp_replace(text, '\\s+$', '') ||
   CASE WHEN toxic = 0 THEN chr(10) || chr(10) || source ELSE '' END) AS query, quality AS audit_quality
 FROM documents JOIN labels USING (doc_id)""",

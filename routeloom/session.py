@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 HOT_GROUP_CONF = "routeloom.hotGroupRows"
 HOT_GROUP_DEFAULT = 1_000_000
+_WRITTEN: list[str] = []
 
 
 def hot_group_rows(spark: SparkSession) -> int:
@@ -42,4 +43,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/routeloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables this process wrote; call when results are stored."""
+    dropped = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        dropped += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return dropped
