@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F, types as T
 
-CORRECTION = "\n\nPrevious output was invalid: {error}. Return corrected JSON only."
+CORRECTION = "\n\nThe last reply is invalid ({error}); answer again and correct it."
 
 
 def batch_infer(

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from routeloom.session import cut_lineage, hot_group_rows
 
 _ALL = "_whole_table"
+EARLY_LIMIT = 1000
 
 
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
@@ -80,8 +81,8 @@ def running(
     )
     before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     carried = partials.select(
-        *keys,
-        "_slice",
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_slice").alias("_k_slice"),
         *[
             (F.sum if agg == "count" else lambda c, a=agg: _fold(a, c))(F.col(f"_p_{n}"))
             .over(before)
@@ -89,11 +90,15 @@ def running(
             for n, (agg, _, _) in specs.items()
         ],
     )
-    out = ranged.join(carried, [*keys, "_slice"])
+    same = ranged["_slice"] == carried["_k_slice"]
+    for k in keys:
+        same = same & ranged[k].eqNullSafe(carried[f"_k_{k}"])
+    out = ranged.join(carried, same)
     for name, (agg, _, inclusive) in specs.items():
         inner = _fold(agg, F.col(f"_v_{name}")).over(frame([*keys, "_slice"], inclusive))
         out = out.withColumn(name, _merge(agg, F.col(f"_c_{name}"), inner))
-    helper = [f"_v_{n}" for n in specs] + [f"_c_{n}" for n in specs] + ["_slice", _ALL]
+    helper = ["_k_slice", *[f"_k_{k}" for k in keys]]
+    helper += [f"_v_{n}" for n in specs] + [f"_c_{n}" for n in specs] + ["_slice", _ALL]
     return out.drop(*helper)
 
 
@@ -143,7 +148,13 @@ def trailing(
 def top_k(
     df: DataFrame, keys: Sequence[str], order: Sequence, k: int, out: str = "rank"
 ) -> DataFrame:
-    """First ``k`` rows per group; the limit is applied before and after the shuffle."""
+    """First ``k`` rows per group; the limit is applied before and after the shuffle.
+
+    Spark limits groups early up to a thousand rows; a longer list by plain columns is
+    numbered by the skew-safe scan instead.
+    """
+    if k > EARLY_LIMIT and all(isinstance(o, str) for o in order):
+        return positions(df, keys, order, out).where(F.col(out) <= k)
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(w)).where(F.col(out) <= k)
 

@@ -32,9 +32,9 @@ def nearest_mean_rank(v):
     ("vector", "mean"),
 )
 def retrieval_eval(v):
-    groups = v.vector.agg(F.countDistinct("label").alias("candidates")).withColumn("k", F.lit(1))
-    rows = _ranks(v).withColumn("k", F.lit(1)).join(groups, "k")
-    return retrieval_metrics(rows.select("vec_id", F.col("rank").alias("source_rank"), F.lit(True).alias("covered"), "candidates"))
+    groups = v.vector.agg(F.countDistinct("label").alias("n")).first()["n"]
+    rows = _ranks(v).select("vec_id", F.col("rank").alias("source_rank"), F.lit(True).alias("covered"), F.lit(groups).alias("candidates"))
+    return retrieval_metrics(rows)
 
 
 @query(
@@ -49,9 +49,9 @@ def vector_contract(v):
         F.count(F.lit(1)).alias("n"), (F.countDistinct("vec_id") == F.count(F.lit(1))).alias("unique_keys"),
         (F.min(F.size("v")) == F.max(F.size("v"))).alias("same_dim"),
         F.count_if(F.abs(vx.norm(F.col("v")) - 1) > 1e-5).alias("bad_norms"),
-    ).withColumn("k", F.lit(1))
-    full = per.groupBy("k").agg(F.max("n").alias("m"))
-    return per.join(full, "k").select("label", "n", "unique_keys", "same_dim", "bad_norms", (F.col("n") == F.col("m")).alias("full_group"))
+    )
+    full = v.vector.groupBy("label").count().agg(F.max("count").alias("m")).first()["m"]
+    return per.withColumn("full_group", F.col("n") == full)
 
 
 @query(
@@ -95,9 +95,9 @@ def bic_select(v):
 def component_histogram(v):
     """Chosen component counts, with convergence and the share of means per vector."""
     chosen = vectors.bic_select(_fits(v), "label")
-    rows = v.vector.agg(F.count(F.lit(1)).alias("rows")).withColumn("j", F.lit(1))
-    per = chosen.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if("converged").alias("converged")).withColumn("j", F.lit(1))
-    return per.join(rows, "j").select("k", "groups", "converged", F.round(F.col("k") * F.col("groups") / F.col("rows"), 6).alias("means_per_vector"))
+    rows = v.vector.count()
+    per = chosen.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if("converged").alias("converged"))
+    return per.withColumn("means_per_vector", F.round(F.col("k") * F.col("groups") / rows, 6))
 
 
 def _medoids(v):

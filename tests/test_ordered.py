@@ -31,6 +31,20 @@ def test_sliced_plan_equals_plain_plan(events, keys):
     assert sorted(plain.select(*cols).collect(), key=key) == sorted(sliced.select(*cols).collect(), key=key)
 
 
+def test_null_keys_survive_both_plans(spark):
+    df = spark.createDataFrame([(None, i) for i in range(30)] + [("a", i) for i in range(5)], "k string, t int")
+    for limit in (None, 3):
+        got = ordered.positions(df, ["k"], ["t"], limit=limit)
+        assert got.count() == 35
+        assert got.where("k IS NULL").agg(F.max("pos")).first()[0] == 30
+
+
+def test_long_top_k_equals_the_window(events, monkeypatch):
+    want = rows(ordered.top_k(events, ["k"], ["x", "t"], 5), "k", "t", "rank")
+    monkeypatch.setattr(ordered, "EARLY_LIMIT", 2)
+    assert rows(ordered.top_k(events, ["k"], ["x", "t"], 5), "k", "t", "rank") == want
+
+
 def test_trailing_blocks_equal_one_window(events):
     placed = ordered.positions(events, ["k"], ["t"])
     aggs = {"s": F.sum("x"), "c": F.count(F.lit(1))}
