@@ -193,6 +193,27 @@ def candidate_union(chosen: DataFrame, members: DataFrame, canonical: DataFrame)
     return met.groupBy("query_id", "skill").agg(F.min(place).alias("seen"))
 
 
+def review_candidates(
+    chosen: DataFrame, members: DataFrame, canonical: DataFrame, queries: DataFrame, docs: DataFrame, threshold: int
+) -> DataFrame:
+    """Candidate union with its lexical review in one join and one aggregate.
+
+    ``queries``: query_id, q; ``docs``: skill, d (word arrays).  Words travel with the
+    small sides and a score leaves the join, so the wide candidate list is shuffled once.
+    """
+    live = members.join(canonical, F.col("skill") == F.col("name")).select("node", "pos", F.col("canonical").alias("skill"))
+    live = live.groupBy("node", "skill").agg(F.min("pos").alias("pos")).join(docs.select("skill", "d"), "skill")
+    # The join multiplies rows: an explicit partition count keeps it parallel (small inputs would be
+    # coalesced before they grow), and the key is the one the aggregate needs.
+    parts = int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    asked = chosen.join(queries.select("query_id", "q"), "query_id").repartition(parts, "query_id")
+    met = asked.join(live, F.col("name") == F.col("node"))
+    place = F.struct("level", (-F.col("score")).alias("s"), F.col("name").alias("n"), "pos").alias("seen")
+    scored = met.select("query_id", "skill", place, lexical_score(F.col("q"), F.col("d")).alias("score"))
+    got = scored.groupBy("query_id", "skill").agg(F.min("seen").alias("seen"), F.max("score").alias("score"))
+    return got.withColumn("applicable", F.col("score") >= threshold)
+
+
 def skill_memberships(members: DataFrame) -> DataFrame:
     """Node names per skill, sorted."""
     return members.groupBy("skill").agg(F.array_sort(F.collect_set("node")).alias("nodes"))

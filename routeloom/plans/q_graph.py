@@ -159,13 +159,9 @@ def reviewed(v, live):
     from routeloom.functions import text as tx
 
     chosen = graph.route_dag(v.route_query, v.node, v.edge)
-    cand = graph.candidate_union(chosen, v.member, live)
-    docs = v.route_query.select(F.col("source").alias("skill"), tx.token_set(F.col("query")).alias("d"))
-    asked = v.route_query.select("query_id", tx.token_set(F.col("query")).alias("q"))
-    score = graph.lexical_score(F.col("q"), F.col("d"))
-    return cand.join(docs, "skill").join(asked, "query_id").select(
-        "query_id", "skill", "seen", score.alias("score"), (score >= 60).alias("applicable")
-    )
+    words = v.route_query.select("query_id", "source", tx.token_set(F.col("query")).alias("q"))
+    docs = words.select(F.col("source").alias("skill"), F.col("q").alias("d"))
+    return graph.review_candidates(chosen, v.member, live, words, docs, 60)
 
 
 FLOW_SQL = f"""{CHOSEN_SQL},

@@ -109,3 +109,17 @@ def test_integrity(spark):
     live = graph.resolve_merges(skills)
     got = graph.integrity_defects(names, roots, table(spark, [("r", "y")]), members, live, skills)
     assert rows(got, "kind", "name") == [("unknown_child", "y"), ("unknown_root", "x"), ("unknown_skill", "lost")]
+
+
+def test_review_equals_union_then_score(spark):
+    chosen = spark.createDataFrame([(1, 1, "r", 100), (1, 2, "k", 90), (2, 1, "r", 95)], "query_id int, level int, name string, score int")
+    members = spark.createDataFrame([("r", "a", 2), ("r", "old", 1), ("k", "b", 1), ("k", "a", 0)], "node string, skill string, pos int")
+    skills = spark.createDataFrame([("a", None), ("b", None), ("old", "a")], "skill string, merged_into string")
+    live = graph.resolve_merges(skills)
+    queries = spark.createDataFrame([(1, ["x", "y"]), (2, ["x"])], "query_id int, q array<string>")
+    docs = spark.createDataFrame([("a", ["x"]), ("b", ["x", "y"])], "skill string, d array<string>")
+    got = rows(graph.review_candidates(chosen, members, live, queries, docs, 60), "query_id", "skill", "score", "applicable")
+    assert got == [(1, "a", 50, False), (1, "b", 100, True), (2, "a", 100, True)]
+    union = graph.candidate_union(chosen, members, live)
+    both = graph.review_candidates(chosen, members, live, queries, docs, 60)
+    assert rows(union, "query_id", "skill", "seen") == rows(both, "query_id", "skill", "seen")
