@@ -1,14 +1,15 @@
 """N-gram Jaccard join with signature trees.
 
 1. Every text becomes the set of its word n-grams (64-bit hashes).  Equal sets are one
-   class, known by a 128-bit fingerprint; copies are never compared.
+   class, known by its fingerprint; copies are never compared.
 2. Routing: two sets that reach the similarity share one of the first
    ``n - ceil(t n) + 1`` hashes of any fixed global order.  The order puts hashes that
    many texts share last, so shared passages seldom route.  A route that many classes
    take is dealt into chunks by fingerprint, each with the route's first class as pivot.
 3. Inside a block a signature tree is built: nodes hold OR- and AND-combined bitmaps and
    a size range.  A dual traversal drops node pairs whose largest possible overlap is too
-   small, and pairs that are linked already; what is left is compared exactly.
+   small.  A first pass over bitmaps alone finds the classes that have a possible partner
+   at all; only their sets are shipped, and what the tree leaves is compared exactly.
 4. A class first meets others in its largest block only; blocks that still hold several
    components follow, and last the chunks of one route meet each other, but only for
    classes outside the pivot's component.  Links are reduced to components by star
@@ -23,7 +24,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from routeloom.llm.common import components, distribute, local_path, map_batches
 from routeloom.session import cut_lineage, ship_package
@@ -34,6 +36,7 @@ LOCALLY_COMMON = 4
 CHUNK = 256
 LEAF = 4
 MOST_BITS = 1 << 17
+BLOOM_BITS = 1 << 23
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD))
 
@@ -56,8 +59,30 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(h)
 
 
-def fingerprint(hashes: np.ndarray) -> bytes:
-    return xxhash.xxh3_128_digest(hashes.tobytes())
+def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of the set, as two signed halves."""
+    d = xxhash.xxh3_128_digest(hashes.tobytes())
+    return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
+
+
+def signature(hashes: np.ndarray) -> bytes:
+    """Bitmap of the set's hashes, about two bits for each, bit ``hash mod size``."""
+    size = signature_bits(len(hashes))
+    marks = np.zeros(size, np.uint8)
+    marks[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
+def signature_bits(n: int) -> int:
+    return min(MOST_BITS, 1 << max(6, (2 * n - 1).bit_length()))
+
+
+def folded(bits: int, size: int, target: int) -> int:
+    """The bitmap of the same set at a smaller size."""
+    while size > target:
+        size >>= 1
+        bits = (bits & ((1 << size) - 1)) | bits >> size
+    return bits
 
 
 def prefix(hashes: np.ndarray, last: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -84,31 +109,34 @@ class Node:
 
 
 class SignatureTree:
-    """Sets of one block; ``links`` yields a spanning set of the pairs that reach the similarity."""
-
-    def __init__(self, sets: list[np.ndarray], num: int, den: int, groups: list | None = None, sides: list[int] | None = None):
-        self.sets, self.num, self.den = sets, num, den
-        self.sides = sides
-        self.parent = list(range(len(sets)))
+    """Classes of one block: ``sizes`` and bitmaps, and for ``links`` the sets themselves."""
+
+    def __init__(
+        self,
+        sizes: list[int],
+        signatures: list[bytes],
+        num: int,
+        den: int,
+        sets: list[np.ndarray] | None = None,
+        groups: list | None = None,
+        sides: list[int] | None = None,
+    ):
+        self.sizes, self.sets, self.num, self.den, self.sides = sizes, sets, num, den, sides
+        self.parent = list(range(len(sizes)))
         first: dict = {}
         for k, g in enumerate(groups or []):
             if g is not None:
                 self.parent[k] = first.setdefault(g, k)
-        largest = max(map(len, sets), default=1)
-        self.bits = min(MOST_BITS, 1 << max(6, (2 * largest - 1).bit_length()))
-        order = sorted(range(len(sets)), key=lambda k: (len(sets[k]).bit_length(), sets[k][:1].tolist(), len(sets[k])))
+        bits = min((8 * len(s) for s in signatures), default=64)
+        self.marks = [folded(int.from_bytes(s, "little"), 8 * len(s), bits) for s in signatures]
+        order = sorted(range(len(sizes)), key=lambda k: (sizes[k].bit_length(), self.marks[k] & 0xFFFF, sizes[k]))
         level = [self._leaf(order[k : k + LEAF]) for k in range(0, len(order), LEAF)]
         while len(level) > 1:
             level = [self._join(level[k : k + LEAF]) for k in range(0, len(level), LEAF)]
         self.root = level[0] if level else None
 
-    def _signature(self, k: int) -> int:
-        marks = np.zeros(self.bits, np.uint8)
-        marks[(self.sets[k] & np.uint64(self.bits - 1)).astype(np.int64)] = 1
-        return int.from_bytes(np.packbits(marks).tobytes(), "big")
-
     def _leaf(self, members: list[int]) -> Node:
-        return self._join([Node([], [k], len(self.sets[k]), len(self.sets[k]), s, s) for k in members for s in [self._signature(k)]])
+        return self._join([Node([], [k], self.sizes[k], self.sizes[k], self.marks[k], self.marks[k]) for k in members])
 
     def _join(self, nodes: list[Node]) -> Node:
         if len(nodes) == 1:
@@ -136,10 +164,9 @@ class SignatureTree:
         most = min(a.high - (a.every & ~b.either).bit_count(), b.high - (b.every & ~a.either).bit_count())
         return (self.num + self.den) * most >= self.num * (a.low + b.low)
 
-    def links(self) -> Iterator[tuple[int, int]]:
-        if self.root is None:
-            return
-        todo = [(self.root, self.root)]
+    def pairs(self) -> Iterator[tuple[int, int]]:
+        """Dual traversal: pairs of classes whose bitmaps and sizes leave the similarity possible."""
+        todo = [(self.root, self.root)] if self.root else []
         while todo:
             a, b = todo.pop()
             if a is b:
@@ -148,18 +175,29 @@ class SignatureTree:
             elif not self.possible(a, b):
                 continue
             elif not a.children and not b.children:
-                x, y = a.sets[0], b.sets[0]
-                if self.sides and self.sides[x] == self.sides[y]:
-                    continue
-                p, q = self.find(x), self.find(y)
-                if p != q and self.linked(self.sets[x], self.sets[y]):
-                    self.parent[q] = p
-                    yield x, y
+                yield a.sets[0], b.sets[0]
             elif not b.children or (a.children and a.high - a.low >= b.high - b.low):
                 todo += [(c, b) for c in a.children]
             else:
                 todo += [(a, c) for c in b.children]
 
+    def partnered(self) -> list[int]:
+        """Classes that some other class of the block may be linked to."""
+        found: set[int] = set()
+        for pair in self.pairs():
+            found.update(pair)
+        return sorted(found)
+
+    def links(self) -> Iterator[tuple[int, int]]:
+        """A spanning set of the pairs that reach the similarity; known groups are linked already."""
+        for x, y in self.pairs():
+            if self.sides and self.sides[x] == self.sides[y]:
+                continue
+            p, q = self.find(x), self.find(y)
+            if p != q and self.linked(self.sets[x], self.sets[y]):
+                self.parent[q] = p
+                yield x, y
+
     def linked(self, x: np.ndarray, y: np.ndarray) -> bool:
         small, large = (x, y) if len(x) <= len(y) else (y, x)
         at = np.minimum(np.searchsorted(large, small), len(large) - 1)
@@ -167,23 +205,18 @@ class SignatureTree:
         return self.den * both >= self.num * (len(x) + len(y) - both)
 
 
-def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``a, b`` found in each block of (block, fp, hashes, comp, side); a block is bounded by its chunks."""
+def _by_block(rows: DataFrame, solve, schema: str) -> DataFrame:
+    """``solve(members) -> rows`` for each block of ``rows`` (block first); a block is bounded by its chunks."""
     ship_package(rows.sparkSession)
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-
-    def solve(members: list[tuple]) -> list[tuple[bytes, bytes]]:
-        sets = [np.frombuffer(m[1], np.uint64) for m in members]
-        sides = [m[3] for m in members]
-        tree = SignatureTree(sets, num, den, [m[2] for m in members], sides if any(sides) else None)
-        return [(members[x][0], members[y][0]) for x, y in tree.links()]
+    made = T.StructType.fromDDL(schema)
+    out_schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in made])
 
     def run(batches):
         key, members, out = None, [], []
 
         def full():
-            a, b = zip(*out) if out else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+            columns = list(zip(*out)) or [()] * len(out_schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out_schema)], schema=out_schema)
 
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -199,12 +232,56 @@ def _blocks(rows: DataFrame, num: int, den: int) -> DataFrame:
         out += solve(members) if len(members) > 1 else []
         yield full()
 
-    sent = rows.select("block", "fp", "hashes", "comp", "side")
-    return sent.repartition("block").sortWithinPartitions("block", "fp").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("block").sortWithinPartitions(*rows.columns[:2]).mapInArrow(run, made)
+
+
+def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` found in each block of (block, cls, hashes, comp, side)."""
+
+    def solve(members: list[list]) -> list[tuple[int, int]]:
+        sets = [np.frombuffer(m[1], np.uint64) for m in members]
+        sides = [m[3] for m in members]
+        tree = SignatureTree(
+            [len(h) for h in sets], [signature(h) for h in sets], num, den, sets, [m[2] for m in members], sides if any(sides) else None
+        )
+        return [(members[x][0], members[y][0]) for x, y in tree.links()]
+
+    return _by_block(rows.select("block", "cls", "hashes", "comp", "side"), solve, "a long, b long")
+
+
+def _partnered(rows: DataFrame, num: int, den: int) -> DataFrame:
+    """``cls`` of (block, cls, n, sig) rows that some class of a block may be linked to."""
+
+    def solve(members: list[list]) -> list[tuple[int]]:
+        tree = SignatureTree([m[1] for m in members], [m[2] for m in members], num, den)
+        return [(members[k][0],) for k in tree.partnered()]
+
+    return _by_block(rows.select("block", "cls", "n", "sig"), solve, "cls long")
+
+
+def _bloom(ids: DataFrame) -> bytes:
+    """A bitmap of the ids' hashes, of BLOOM_BITS whatever their number; full, it only stops pruning."""
+    bit = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS))
+    words = (
+        ids.select(bit.alias("bit"))
+        .selectExpr("bit div 64 AS w", "shiftleft(1L, cast(bit % 64 AS int)) AS m")
+        .groupBy("w")
+        .agg(F.bit_or("m").alias("m"))
+        .collect()
+    )
+    out = np.zeros(BLOOM_BITS // 64, "<i8")
+    for r in words:
+        out[r["w"]] = r["m"]
+    return out.tobytes()
+
+
+@functools.lru_cache(maxsize=2)
+def _marks(name: str) -> np.ndarray:
+    return np.unpackbits(np.fromfile(local_path(name), np.uint8), bitorder="little")
 
 
 def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, n_shingles, fp, component``: sets whose Jaccard similarity is at least num/den are linked.
+    """``key, n_shingles, component``: sets whose Jaccard similarity is at least num/den are linked.
 
     ``component`` is the smallest key reachable.  A text without words is linked with
     nothing and is its own component; a null key's row has the component its text has, if
@@ -217,119 +294,142 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     def first_pass(slices):
         for ids, texts in slices:
             sets = [shingles(t, width) for t in texts]
-            fps = [fingerprint(h) if len(h) else None for h in sets]
-            distinct = {f: h for f, h in zip(fps, sets) if f is not None}
-            common = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            fps = [fingerprint(h) if len(h) else (None, None) for h in sets]
+            distinct = {f: h for f, h in zip(fps, sets) if len(h)}
+            common, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
             if distinct:
                 h, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                common = h[n >= LOCALLY_COMMON], n[n >= LOCALLY_COMMON]
-            k, c = len(ids), len(common[0])
+                common, times = h[n >= LOCALLY_COMMON], n[n >= LOCALLY_COMMON]
+            k, c = len(ids), len(common)
             yield (
                 [*ids, *[None] * c],
                 [*map(len, sets), *[None] * c],
-                [*fps, *[None] * c],
-                [*[None] * k, *common[0].astype(np.int64).tolist()],
-                [*[None] * k, *common[1].tolist()],
+                [*[f for f, _ in fps], *[None] * c],
+                [*[g for _, g in fps], *[None] * c],
+                [*[signature(h) if len(h) else None for h in sets], *[None] * c],
+                [*[None] * k, *common.astype(np.int64).tolist()],
+                [*[None] * k, *times.tolist()],
             )
 
     id_type = docs.schema["id"].dataType.simpleString()
-    seen = cut_lineage(map_batches(docs, first_pass, f"id {id_type}, n long, fp binary, hash long, times long"))
-    rows = seen.where("hash is null").select("id", "n", "fp")
-    classes = rows.where("fp is not null").groupBy("fp").agg(F.min("id").alias("least"))
+    seen = cut_lineage(map_batches(docs, first_pass, f"id {id_type}, n int, f long, g long, sig binary, hash long, times long"))
+    # A class is known by the first half of its fingerprint, or by the second where that half is not its own.
+    halves = seen.where("f is not null").groupBy("f").agg(F.min("g").alias("x"), F.max("g").alias("y")).where("x <> y")
+    moved = frozenset(r["f"] for r in halves.select("f").collect())
+    cls = F.when(F.col("f").isin(*moved), F.col("g")).otherwise(F.col("f")) if moved else F.col("f")
+    rows = seen.where("hash is null").select("id", "n", cls.alias("cls"), "sig")
+    classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
 
     # The bounded list of hashes that come last; it steers routing only.
     top = seen.where("hash is not null").groupBy("hash").agg(F.sum("times").alias("times"))
     top = top.orderBy(F.desc("times"), "hash").limit(LAST_HASHES).collect()
     last = distribute(spark, np.sort(np.array([r["hash"] for r in top], np.int64).astype(np.uint64)).tobytes(), "last.bin")
 
+    def class_of(h: np.ndarray) -> int:
+        f, g = fingerprint(h)
+        return g if f in moved else f
+
     def route(slices):
         done: set = set()  # copies inside a task route once
         order = _last(last)
         for (texts,) in slices:
-            hashes, fps = [], []
+            hashes, who = [], []
             for t in texts:
                 h = shingles(t, width)
-                if not len(h) or (f := fingerprint(h)) in done:
+                if not len(h) or (c := class_of(h)) in done:
                     continue
                 if len(done) < 200_000:
-                    done.add(f)
+                    done.add(c)
                 p = prefix(h, order, num, den)
                 hashes.append(p)
-                fps += [f] * len(p)
-            yield (np.concatenate(hashes).astype(np.int64) if hashes else []), fps
+                who.append(np.full(len(p), c, np.int64))
+            yield (np.concatenate(hashes).astype(np.int64), np.concatenate(who)) if hashes else ([], [])
 
-    routes = cut_lineage(map_batches(docs.select("text"), route, "hash long, fp binary"))
+    routes = cut_lineage(map_batches(docs.select("text"), route, "hash long, cls long"))
     shared = (
         routes.groupBy("hash")
-        .agg(F.min("fp").alias("pivot"), F.max("fp").alias("other"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"), F.count(F.lit(1)).alias("n"))
         .where("pivot <> other")
         .select("hash", "pivot", F.ceil(F.col("n") / CHUNK).alias("chunks"))
     )
     met = cut_lineage(
-        routes.join(shared, "hash").select("hash", "fp", "pivot", "chunks", F.expr("pmod(xxhash64(fp), chunks)").alias("chunk")).distinct()
+        routes.join(shared, "hash").select("hash", "cls", "pivot", "chunks", F.expr("pmod(xxhash64(cls), chunks)").alias("chunk"))
     )
     # Blocks with the same members are one; a chunk's size is bounded.
-    lists = cut_lineage(
+    lists = (
         met.groupBy("hash", "chunk")
-        .agg(F.array_sort(F.collect_set("fp")).alias("own"), F.first("pivot").alias("pivot"), F.first("chunks").alias("chunks"))
+        .agg(F.array_sort(F.collect_set("cls")).alias("own"), F.max("pivot").alias("pivot"), F.max("chunks").alias("chunks"))
         .select(
             F.when(F.col("chunks") > 1, F.array_union("own", F.array("pivot"))).otherwise(F.col("own")).alias("members"),
             F.when(F.col("chunks") > 1, F.col("pivot")).alias("pivot"),
         )
         .where(F.size("members") > 1)
-        .select(F.sha2(F.array_join(F.transform("members", F.hex), ",").cast("binary"), 256).alias("block"), "members", "pivot")
+        .select(F.sha2(F.array_join(F.col("members").cast("array<string>"), ",").cast("binary"), 256).alias("block"), "members", "pivot")
         .dropDuplicates(["block"])
     )
-    member = lists.select("block", F.size("members").alias("size"), F.explode("members").alias("fp"))
-    wanted = member.select("fp").distinct().join(classes, "fp").select(F.col("least").alias("id")).where("id is not null").distinct()
+    listed = cut_lineage(lists.select("block", "pivot", F.explode("members").alias("cls")))
 
-    def sets_of(slices):
-        for (texts,) in slices:
-            sets = [h for t in texts if len(h := shingles(t, width))]
-            yield [fingerprint(h) for h in sets], [h.tobytes() for h in sets]
+    # Classes whose bitmap meets no possible partner in any block are done; those of a
+    # route in chunks go on, as chunks meet each other only later.
+    split = cut_lineage(met.where("chunks > 1").distinct())
+    bitmaps = rows.where("cls is not null").join(classes.withColumnRenamed("least", "id"), ["cls", "id"]).dropDuplicates(["cls"])
+    alive = _partnered(listed.join(bitmaps, "cls"), num, den).union(split.select("cls"))
+    alive = cut_lineage(alive.distinct())
+    member = listed.join(alive, "cls")
+    sized = member.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    member = cut_lineage(member.join(sized, "block"))
 
-    texts = docs.join(wanted, "id", "left_semi").select("text")
-    sets = cut_lineage(map_batches(texts, sets_of, "fp binary, hashes binary").dropDuplicates(["fp"]))
+    marks = distribute(spark, _bloom(alive.join(classes, "cls").select(F.col("least").alias("id"))), "alive.bin")
 
-    none = F.lit(None).cast("binary")
-    best = member.groupBy("fp").agg(F.max(F.struct("size", "block")).alias("m")).select("fp", F.col("m.block").alias("block"))
-    pivots = lists.where("pivot is not null").join(best.select("block").distinct(), "block").select(F.col("pivot").alias("fp"), "block")
-    chosen = best.unionByName(pivots).distinct().join(sets, "fp").select("block", "fp", "hashes", none.alias("comp"), F.lit(0).alias("side"))
-    links = cut_lineage(_blocks(chosen, num, den))
+    def sets_of(slices):
+        bits = _marks(marks)
+        for texts, at in slices:
+            sets = [h for t, k in zip(texts, at) if bits[k] and len(h := shingles(t, width))]
+            yield [class_of(h) for h in sets], [h.tobytes() for h in sets]
+
+    hashed = docs.select("text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)))
+    sets = cut_lineage(map_batches(hashed, sets_of, "cls long, hashes binary").join(alive, "cls", "left_semi").dropDuplicates(["cls"]))
+
+    none = F.lit(None).cast("long")
+    best = member.groupBy("cls").agg(F.max(F.struct("size", "block")).alias("m")).select("cls", F.col("m.block").alias("block"))
+    pivots = (
+        member.where("pivot is not null").select("block", F.col("pivot").alias("cls")).distinct().join(best.select("block").distinct(), "block")
+    )
+    chosen = best.unionByName(pivots).distinct().join(sets, "cls").select("block", "cls", "hashes", none.alias("comp"), F.lit(0).alias("side"))
+    links = cut_lineage(_links(chosen, num, den))
 
-    nodes = member.select(F.col("fp").alias("id")).distinct()
-    so_far = cut_lineage(components(nodes, links).select(F.col("id").alias("fp"), F.col("component").alias("comp")))
-    marked = member.join(so_far, "fp")
+    nodes = alive.select(F.col("cls").alias("id"))
+    group = lambda found: cut_lineage(components(nodes, found).select(F.col("id").alias("cls"), F.col("component").alias("comp")))
+    so_far = group(links)
+    marked = member.select("block", "cls").join(so_far, "cls")
     mixed = marked.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block")
-    rest = marked.join(mixed, "block", "left_semi").join(sets, "fp").select("block", "fp", "hashes", "comp", F.lit(0).alias("side"))
-    links = cut_lineage(links.union(_blocks(rest, num, den)))
-    so_far = cut_lineage(components(nodes, links).select(F.col("id").alias("fp"), F.col("component").alias("comp")))
+    rest = marked.join(mixed, "block", "left_semi").join(sets, "cls").select("block", "cls", "hashes", "comp", F.lit(0).alias("side"))
+    links = cut_lineage(links.union(_links(rest, num, den)))
+    so_far = group(links)
 
     # Chunks of one route: classes outside the pivot's component meet every other chunk.
-    split = met.where("chunks > 1")
     if not split.isEmpty():
-        at_pivot = so_far.select(F.col("fp").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        placed = cut_lineage(split.join(so_far, "fp").join(at_pivot, "pivot"))
+        at_pivot = so_far.select(F.col("cls").alias("pivot"), F.col("comp").alias("pivot_comp"))
+        placed = cut_lineage(split.join(so_far, "cls").join(at_pivot, "pivot"))
         outside = placed.where("comp <> pivot_comp")
-        probes = outside.groupBy("hash", F.col("chunk").alias("probe")).agg(F.first("chunks").alias("chunks"))
+        probes = outside.select("hash", F.col("chunk").alias("probe")).distinct()
         name = lambda a, b: F.concat_ws(":", "hash", a, b)
         left = outside.withColumn("other", F.explode(F.expr("filter(sequence(0L, chunks - 1), c -> c <> chunk)"))).select(
-            name("other", "chunk").alias("block"), "fp", "comp", F.lit(1).alias("side")
+            name("other", "chunk").alias("block"), "cls", "comp", F.lit(1).alias("side")
         )
-        right = placed.join(probes.select("hash", "probe"), "hash").where("probe <> chunk").select(
-            name("chunk", "probe").alias("block"), "fp", "comp", F.lit(2).alias("side")
+        right = placed.join(probes, "hash").where("probe <> chunk").select(
+            name("chunk", "probe").alias("block"), "cls", "comp", F.lit(2).alias("side")
         )
-        cross = left.union(right).join(sets, "fp").select("block", "fp", "hashes", "comp", "side")
-        links = cut_lineage(links.union(_blocks(cross, num, den)))
-        so_far = cut_lineage(components(nodes, links).select(F.col("id").alias("fp"), F.col("component").alias("comp")))
+        cross = left.union(right).join(sets, "cls").select("block", "cls", "hashes", "comp", "side")
+        links = cut_lineage(links.union(_links(cross, num, den)))
+        so_far = group(links)
 
-    joined = classes.join(so_far, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+    joined = classes.join(so_far, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     roots = joined.groupBy("comp").agg(F.min("least").alias("component"))
-    named = joined.join(roots, "comp").select("fp", "component")
-    out = rows.join(named, "fp", "left").select(
-        F.col("id").alias(key), F.col("n").alias("n_shingles"), "fp", F.coalesce("component", "id").alias("component")
+    named = joined.join(roots, "comp").select("cls", "component")
+    return rows.join(named, "cls", "left").select(
+        F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component")
     )
-    return out
 
 
 def drop_near_copies(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
