@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -66,7 +67,7 @@ def fingerprint(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def signature(hashes: np.ndarray) -> bytes:
-    """Bitmap of the set's hashes, about two bits for each, bit ``hash mod size``."""
+    """Bitmap of the set's hashes, one to two bits for each, bit ``hash mod size``."""
     size = signature_bits(len(hashes))
     marks = np.zeros(size, np.uint8)
     marks[(hashes & np.uint64(size - 1)).astype(np.int64)] = 1
@@ -74,7 +75,7 @@ def signature(hashes: np.ndarray) -> bytes:
 
 
 def signature_bits(n: int) -> int:
-    return min(MOST_BITS, 1 << max(6, (2 * n - 1).bit_length()))
+    return min(MOST_BITS, 1 << max(6, (n - 1).bit_length()))
 
 
 def folded(bits: int, size: int, target: int) -> int:
@@ -182,10 +183,11 @@ class SignatureTree:
                 todo += [(a, c) for c in b.children]
 
     def partnered(self) -> list[int]:
-        """Classes that some other class of the block may be linked to."""
+        """Classes that may be linked to a class of the block outside their known group."""
         found: set[int] = set()
-        for pair in self.pairs():
-            found.update(pair)
+        for x, y in self.pairs():
+            if self.parent[x] != self.parent[y]:
+                found.update((x, y))
         return sorted(found)
 
     def links(self) -> Iterator[tuple[int, int]]:
@@ -235,28 +237,37 @@ def _by_block(rows: DataFrame, solve, schema: str) -> DataFrame:
     return rows.repartition("block").sortWithinPartitions(*rows.columns[:2]).mapInArrow(run, made)
 
 
-def _links(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """Links ``a, b`` found in each block of (block, cls, hashes, comp, side)."""
+def _links(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
+    """Links ``a, b`` found in each block of (block, cls, packed, comp, side)."""
 
     def solve(members: list[list]) -> list[tuple[int, int]]:
-        sets = [np.frombuffer(m[1], np.uint64) for m in members]
+        sets = [shingles(unpack(m[1]), width) for m in members]
         sides = [m[3] for m in members]
         tree = SignatureTree(
             [len(h) for h in sets], [signature(h) for h in sets], num, den, sets, [m[2] for m in members], sides if any(sides) else None
         )
         return [(members[x][0], members[y][0]) for x, y in tree.links()]
 
-    return _by_block(rows.select("block", "cls", "hashes", "comp", "side"), solve, "a long, b long")
+    return _by_block(rows.select("block", "cls", "packed", "comp", "side"), solve, "a long, b long")
 
 
 def _partnered(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """``cls`` of (block, cls, n, sig) rows that some class of a block may be linked to."""
+    """``block, cls`` of (block, cls, n, sig, comp) rows that may be linked to another component in their block."""
+
+    def solve(members: list[list]) -> list[tuple[int, int]]:
+        tree = SignatureTree([m[2] for m in members], [m[3] for m in members], num, den, groups=[m[4] for m in members])
+        return [(members[k][1], members[k][0]) for k in tree.partnered()]
+
+    sent = rows.select("block", "cls", F.col("block").alias("again"), "n", "sig", "comp")
+    return _by_block(sent, solve, "block long, cls long")
+
 
-    def solve(members: list[list]) -> list[tuple[int]]:
-        tree = SignatureTree([m[1] for m in members], [m[2] for m in members], num, den)
-        return [(members[k][0],) for k in tree.partnered()]
+def pack(text: str) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(text.encode())
 
-    return _by_block(rows.select("block", "cls", "n", "sig"), solve, "cls long")
+
+def unpack(packed: bytes) -> str:
+    return zstandard.ZstdDecompressor().decompress(packed).decode()
 
 
 def _bloom(ids: DataFrame) -> bytes:
@@ -364,16 +375,19 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
             F.when(F.col("chunks") > 1, F.col("pivot")).alias("pivot"),
         )
         .where(F.size("members") > 1)
-        .select(F.sha2(F.array_join(F.col("members").cast("array<string>"), ",").cast("binary"), 256).alias("block"), "members", "pivot")
-        .dropDuplicates(["block"])
+        .select(F.xxhash64("members").alias("block"), F.hash("members").alias("check"), F.size("members").alias("m"), "members", "pivot")
+        .dropDuplicates(["block", "check", "m"])
     )
     listed = cut_lineage(lists.select("block", "pivot", F.explode("members").alias("cls")))
 
+    none = F.lit(None).cast("long")
+
     # Classes whose bitmap meets no possible partner in any block are done; those of a
     # route in chunks go on, as chunks meet each other only later.
     split = cut_lineage(met.where("chunks > 1").distinct())
     bitmaps = rows.where("cls is not null").join(classes.withColumnRenamed("least", "id"), ["cls", "id"]).dropDuplicates(["cls"])
-    alive = _partnered(listed.join(bitmaps, "cls"), num, den).union(split.select("cls"))
+    met_by = listed.select("block", "cls").join(bitmaps, "cls")
+    alive = _partnered(met_by.withColumn("comp", none), num, den).select("cls").union(split.select("cls"))
     alive = cut_lineage(alive.distinct())
     member = listed.join(alive, "cls")
     sized = member.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -381,30 +395,31 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
 
     marks = distribute(spark, _bloom(alive.join(classes, "cls").select(F.col("least").alias("id"))), "alive.bin")
 
-    def sets_of(slices):
+    def texts_of(slices):
         bits = _marks(marks)
         for texts, at in slices:
-            sets = [h for t, k in zip(texts, at) if bits[k] and len(h := shingles(t, width))]
-            yield [class_of(h) for h in sets], [h.tobytes() for h in sets]
+            kept = [(h, t) for t, k in zip(texts, at) if bits[k] and len(h := shingles(t, width))]
+            yield [class_of(h) for h, _ in kept], [pack(t) for _, t in kept]
 
+    # One text stands for its class; packed texts take less than half of what their hashes would.
     hashed = docs.select("text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)))
-    sets = cut_lineage(map_batches(hashed, sets_of, "cls long, hashes binary").join(alive, "cls", "left_semi").dropDuplicates(["cls"]))
+    texts = cut_lineage(map_batches(hashed, texts_of, "cls long, packed binary"))
 
-    none = F.lit(None).cast("long")
     best = member.groupBy("cls").agg(F.max(F.struct("size", "block")).alias("m")).select("cls", F.col("m.block").alias("block"))
     pivots = (
         member.where("pivot is not null").select("block", F.col("pivot").alias("cls")).distinct().join(best.select("block").distinct(), "block")
     )
-    chosen = best.unionByName(pivots).distinct().join(sets, "cls").select("block", "cls", "hashes", none.alias("comp"), F.lit(0).alias("side"))
-    links = cut_lineage(_links(chosen, num, den))
+    chosen = best.unionByName(pivots).distinct().join(texts, "cls").select("block", "cls", "packed", none.alias("comp"), F.lit(0).alias("side"))
+    links = cut_lineage(_links(chosen, width, num, den))
 
     nodes = alive.select(F.col("cls").alias("id"))
     group = lambda found: cut_lineage(components(nodes, found).select(F.col("id").alias("cls"), F.col("component").alias("comp")))
     so_far = group(links)
     marked = member.select("block", "cls").join(so_far, "cls")
     mixed = marked.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block")
-    rest = marked.join(mixed, "block", "left_semi").join(sets, "cls").select("block", "cls", "hashes", "comp", F.lit(0).alias("side"))
-    links = cut_lineage(links.union(_links(rest, num, den)))
+    open_ = _partnered(marked.join(mixed, "block", "left_semi").join(bitmaps, "cls"), num, den)
+    rest = open_.join(so_far, "cls").join(texts, "cls").select("block", "cls", "packed", "comp", F.lit(0).alias("side"))
+    links = cut_lineage(links.union(_links(rest, width, num, den)))
     so_far = group(links)
 
     # Chunks of one route: classes outside the pivot's component meet every other chunk.
@@ -413,15 +428,15 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
         placed = cut_lineage(split.join(so_far, "cls").join(at_pivot, "pivot"))
         outside = placed.where("comp <> pivot_comp")
         probes = outside.select("hash", F.col("chunk").alias("probe")).distinct()
-        name = lambda a, b: F.concat_ws(":", "hash", a, b)
+        name = lambda a, b: F.xxhash64("hash", a, b)
         left = outside.withColumn("other", F.explode(F.expr("filter(sequence(0L, chunks - 1), c -> c <> chunk)"))).select(
             name("other", "chunk").alias("block"), "cls", "comp", F.lit(1).alias("side")
         )
         right = placed.join(probes, "hash").where("probe <> chunk").select(
             name("chunk", "probe").alias("block"), "cls", "comp", F.lit(2).alias("side")
         )
-        cross = left.union(right).join(sets, "cls").select("block", "cls", "hashes", "comp", "side")
-        links = cut_lineage(links.union(_links(cross, num, den)))
+        cross = left.union(right).join(texts, "cls").select("block", "cls", "packed", "comp", "side")
+        links = cut_lineage(links.union(_links(cross, width, num, den)))
         so_far = group(links)
 
     joined = classes.join(so_far, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
