@@ -32,8 +32,9 @@ from routeloom.llm.common import components, distribute, local_path, map_batches
 from routeloom.session import cut_lineage, ship_package
 
 #: Hashes that come last in the order; any set gives the same result.
-LAST_HASHES = 50_000
-LOCALLY_COMMON = 4
+LAST_HASHES = 200_000
+LOCALLY_COMMON = 2
+BUFFER = 1 << 20
 CHUNK = 256
 LEAF = 4
 MOST_BITS = 1 << 17
@@ -86,10 +87,14 @@ def folded(bits: int, size: int, target: int) -> int:
     return bits
 
 
+def route_length(n: int, num: int, den: int) -> int:
+    """So many first hashes of a set of ``n`` meet those of every set that reaches the similarity."""
+    return n - -(-num * n // den) + 1
+
+
 def prefix(hashes: np.ndarray, last: np.ndarray, num: int, den: int) -> np.ndarray:
     """The hashes by which a set is routed."""
-    n = len(hashes)
-    size = n - -(-num * n // den) + 1
+    size = route_length(len(hashes), num, den)
     if len(last):
         at = np.minimum(np.searchsorted(last, hashes), len(last) - 1)
         common = last[at] == hashes
@@ -303,24 +308,30 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     docs = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"))
 
     def first_pass(slices):
+        early: list[np.ndarray] = []
+        held = 0
+
+        def common():
+            """Hashes that more than one text of the buffer would be routed by, or nearly."""
+            h, n = np.unique(np.concatenate(early), return_counts=True) if early else (np.zeros(0, np.uint64), np.zeros(0, int))
+            h, n = h[n >= LOCALLY_COMMON], n[n >= LOCALLY_COMMON]
+            none = [None] * len(h)
+            return none, none, none, none, none, h.astype(np.int64).tolist(), n.tolist()
+
         for ids, texts in slices:
             sets = [shingles(t, width) for t in texts]
             fps = [fingerprint(h) if len(h) else (None, None) for h in sets]
-            distinct = {f: h for f, h in zip(fps, sets) if len(h)}
-            common, times = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-            if distinct:
-                h, n = np.unique(np.concatenate(list(distinct.values())), return_counts=True)
-                common, times = h[n >= LOCALLY_COMMON], n[n >= LOCALLY_COMMON]
-            k, c = len(ids), len(common)
-            yield (
-                [*ids, *[None] * c],
-                [*map(len, sets), *[None] * c],
-                [*[f for f, _ in fps], *[None] * c],
-                [*[g for _, g in fps], *[None] * c],
-                [*[signature(h) if len(h) else None for h in sets], *[None] * c],
-                [*[None] * k, *common.astype(np.int64).tolist()],
-                [*[None] * k, *times.tolist()],
-            )
+            none = [None] * len(ids)
+            signs = [signature(h) if len(h) else None for h in sets]
+            yield ids, list(map(len, sets)), [f for f, _ in fps], [g for _, g in fps], signs, none, none
+            for h in {f: h for f, h in zip(fps, sets) if len(h)}.values():
+                early.append(h[: 2 * route_length(len(h), num, den)])
+                held += len(early[-1])
+            if held > BUFFER:
+                yield common()
+                early.clear()
+                held = 0
+        yield common()
 
     id_type = docs.schema["id"].dataType.simpleString()
     seen = cut_lineage(map_batches(docs, first_pass, f"id {id_type}, n int, f long, g long, sig binary, hash long, times long"))
@@ -332,7 +343,7 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     classes = rows.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
 
     # The bounded list of hashes that come last; it steers routing only.
-    top = seen.where("hash is not null").groupBy("hash").agg(F.sum("times").alias("times"))
+    top = seen.where("hash is not null").groupBy("hash").agg(F.sum("times").alias("times")).where(F.col("times") > CHUNK // 8)
     top = top.orderBy(F.desc("times"), "hash").limit(LAST_HASHES).collect()
     last = distribute(spark, np.sort(np.array([r["hash"] for r in top], np.int64).astype(np.uint64)).tobytes(), "last.bin")
 
