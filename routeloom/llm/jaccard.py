@@ -5,14 +5,15 @@
 2. Routing: two sets that reach the similarity share one of the first
    ``n - ceil(t n) + 1`` hashes of any fixed global order.  The order puts hashes that
    many texts share last, so shared passages seldom route.  A route that many classes
-   take is dealt into chunks by fingerprint, each with the route's first class as pivot.
+   take is dealt into chunks by fingerprint, each with the route's pivots: its classes
+   that share the most routes.
 3. Inside a block a signature tree is built: nodes hold OR- and AND-combined bitmaps and
    a size range.  A dual traversal drops node pairs whose largest possible overlap is too
    small.  A first pass over bitmaps alone finds the classes that have a possible partner
    at all; only their sets are shipped, and what the tree leaves is compared exactly.
 4. A class first meets others in its largest block only; blocks that still hold several
-   components follow, and last the chunks of one route meet each other, but only for
-   classes outside the pivot's component.  Links are reduced to components by star
+   components follow, and last the chunks of a route meet each other, but only for
+   classes outside the pivots' component.  Links are reduced to components by star
    contraction.
 """
 
@@ -35,6 +36,7 @@ from routeloom.session import cut_lineage, ship_package
 LAST_HASHES = 200_000
 LOCALLY_COMMON = 2
 BUFFER = 1 << 20
+PIVOTS = 8
 CHUNK = 256
 LEAF = 4
 MOST_BITS = 1 << 17
@@ -370,26 +372,33 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     routes = cut_lineage(map_batches(docs.select("text"), route, "hash long, cls long"))
     shared = (
         routes.groupBy("hash")
-        .agg(F.min("cls").alias("pivot"), F.max("cls").alias("other"), F.count(F.lit(1)).alias("n"))
-        .where("pivot <> other")
-        .select("hash", "pivot", F.ceil(F.col("n") / CHUNK).alias("chunks"))
+        .agg(F.min("cls").alias("x"), F.max("cls").alias("y"), F.count(F.lit(1)).alias("n"))
+        .where("x <> y")
+        .select("hash", F.ceil(F.col("n") / CHUNK).alias("chunks"))
     )
-    met = cut_lineage(
-        routes.join(shared, "hash").select("hash", "cls", "pivot", "chunks", F.expr("pmod(xxhash64(cls), chunks)").alias("chunk"))
+    met = cut_lineage(routes.join(shared, "hash").select("hash", "cls", "chunks", F.expr("pmod(xxhash64(cls), chunks)").alias("chunk")))
+    split = cut_lineage(met.where("chunks > 1").distinct())
+    # Pivots of a route in chunks: classes that share the most routes, so the least edited of many copies.
+    shares = split.groupBy("cls").agg(F.count(F.lit(1)).alias("shares"))
+    pivots = (
+        split.join(shares, "cls")
+        .groupBy("hash", (F.col("chunk") % PIVOTS).alias("part"))
+        .agg(F.max(F.struct("shares", "cls")).alias("m"))
+        .groupBy("hash")
+        .agg(F.collect_set("m.cls").alias("pivots"))
     )
     # Blocks with the same members are one; a chunk's size is bounded.
     lists = (
         met.groupBy("hash", "chunk")
-        .agg(F.array_sort(F.collect_set("cls")).alias("own"), F.max("pivot").alias("pivot"), F.max("chunks").alias("chunks"))
-        .select(
-            F.when(F.col("chunks") > 1, F.array_union("own", F.array("pivot"))).otherwise(F.col("own")).alias("members"),
-            F.when(F.col("chunks") > 1, F.col("pivot")).alias("pivot"),
-        )
+        .agg(F.collect_set("cls").alias("own"))
+        .join(pivots, "hash", "left")
+        .select(F.array_sort(F.array_union("own", F.coalesce("pivots", F.array().cast("array<long>")))).alias("members"), "pivots")
         .where(F.size("members") > 1)
-        .select(F.xxhash64("members").alias("block"), F.hash("members").alias("check"), F.size("members").alias("m"), "members", "pivot")
+        .select(F.xxhash64("members").alias("block"), F.hash("members").alias("check"), F.size("members").alias("m"), "members", "pivots")
         .dropDuplicates(["block", "check", "m"])
     )
-    listed = cut_lineage(lists.select("block", "pivot", F.explode("members").alias("cls")))
+    exploded = lists.select("block", "pivots", F.explode("members").alias("cls"))
+    listed = cut_lineage(exploded.select("block", "cls", F.coalesce(F.array_contains("pivots", F.col("cls")), F.lit(False)).alias("pivot")))
 
     none = F.lit(None).cast("long")
 
@@ -417,10 +426,8 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     texts = cut_lineage(map_batches(hashed, texts_of, "cls long, packed binary"))
 
     best = member.groupBy("cls").agg(F.max(F.struct("size", "block")).alias("m")).select("cls", F.col("m.block").alias("block"))
-    pivots = (
-        member.where("pivot is not null").select("block", F.col("pivot").alias("cls")).distinct().join(best.select("block").distinct(), "block")
-    )
-    chosen = best.unionByName(pivots).distinct().join(texts, "cls").select("block", "cls", "packed", none.alias("comp"), F.lit(0).alias("side"))
+    central = member.where("pivot").select("block", "cls").join(best.select("block").distinct(), "block")
+    chosen = best.unionByName(central).distinct().join(texts, "cls").select("block", "cls", "packed", none.alias("comp"), F.lit(0).alias("side"))
     links = cut_lineage(_links(chosen, width, num, den))
 
     nodes = alive.select(F.col("cls").alias("id"))
@@ -433,19 +440,21 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     links = cut_lineage(links.union(_links(rest, width, num, den)))
     so_far = group(links)
 
-    # Chunks of one route: classes outside the pivot's component meet every other chunk.
+    # Routes in chunks: classes outside the component of their route's pivots meet all of its
+    # classes.  Routes around the same component have much the same members and are one group.
     if not split.isEmpty():
-        at_pivot = so_far.select(F.col("cls").alias("pivot"), F.col("comp").alias("pivot_comp"))
-        placed = cut_lineage(split.join(so_far, "cls").join(at_pivot, "pivot"))
-        outside = placed.where("comp <> pivot_comp")
-        probes = outside.select("hash", F.col("chunk").alias("probe")).distinct()
-        name = lambda a, b: F.xxhash64("hash", a, b)
-        left = outside.withColumn("other", F.explode(F.expr("filter(sequence(0L, chunks - 1), c -> c <> chunk)"))).select(
-            name("other", "chunk").alias("block"), "cls", "comp", F.lit(1).alias("side")
+        main = pivots.select("hash", F.explode("pivots").alias("cls")).join(so_far, "cls").groupBy("hash").agg(F.min("comp").alias("main"))
+        placed = cut_lineage(split.select("hash", "cls").join(main, "hash").select("main", "cls").distinct().join(so_far, "cls"))
+        sizes = placed.groupBy("main").agg(
+            F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), F.max(F.col("comp") != F.col("main")).alias("open")
         )
-        right = placed.join(probes, "hash").where("probe <> chunk").select(
-            name("chunk", "probe").alias("block"), "cls", "comp", F.lit(2).alias("side")
+        dealt = placed.join(sizes.where("open"), "main").withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)"))
+        outside = dealt.where("comp <> main")
+        probes = outside.select("main", F.col("chunk").alias("probe")).distinct()
+        left = outside.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
+            F.xxhash64("main", "other", "chunk").alias("block"), "cls", "comp", F.lit(1).alias("side")
         )
+        right = dealt.join(probes, "main").select(F.xxhash64("main", "chunk", "probe").alias("block"), "cls", "comp", F.lit(2).alias("side"))
         cross = left.union(right).join(texts, "cls").select("block", "cls", "packed", "comp", "side")
         links = cut_lineage(links.union(_links(cross, width, num, den)))
         so_far = group(links)
