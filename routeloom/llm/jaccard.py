@@ -11,9 +11,9 @@
    a size range.  A dual traversal drops node pairs whose largest possible overlap is too
    small.  A first pass over bitmaps alone finds the classes that have a possible partner
    at all; only their sets are shipped, and what the tree leaves is compared exactly.
-4. A class first meets others in its largest block only; blocks that still hold several
-   components follow, and last the chunks of a route meet each other, but only for
-   classes outside the pivots' component.  Links are reduced to components by star
+4. A class first meets others in its largest block only.  Routes that still hold several
+   components follow, grouped by their main component: classes outside it meet all
+   others of the group, chunk by chunk.  Links are reduced to components by star
    contraction.
 """
 
@@ -190,18 +190,16 @@ class SignatureTree:
                 todo += [(a, c) for c in b.children]
 
     def partnered(self) -> list[int]:
-        """Classes that may be linked to a class of the block outside their known group."""
+        """Classes that may be linked to a class of the block outside their known group (of the other side, if sides are given)."""
         found: set[int] = set()
         for x, y in self.pairs():
-            if self.parent[x] != self.parent[y]:
+            if self.parent[x] != self.parent[y] and not (self.sides and self.sides[x] == self.sides[y]):
                 found.update((x, y))
         return sorted(found)
 
     def links(self) -> Iterator[tuple[int, int]]:
         """A spanning set of the pairs that reach the similarity; known groups are linked already."""
         for x, y in self.pairs():
-            if self.sides and self.sides[x] == self.sides[y]:
-                continue
             p, q = self.find(x), self.find(y)
             if p != q and self.linked(self.sets[x], self.sets[y]):
                 self.parent[q] = p
@@ -245,27 +243,25 @@ def _by_block(rows: DataFrame, solve, schema: str) -> DataFrame:
 
 
 def _links(rows: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """Links ``a, b`` found in each block of (block, cls, packed, comp, side)."""
+    """Links ``a, b`` found in each block of (block, cls, packed, comp)."""
 
     def solve(members: list[list]) -> list[tuple[int, int]]:
         sets = [shingles(unpack(m[1]), width) for m in members]
-        sides = [m[3] for m in members]
-        tree = SignatureTree(
-            [len(h) for h in sets], [signature(h) for h in sets], num, den, sets, [m[2] for m in members], sides if any(sides) else None
-        )
+        tree = SignatureTree([len(h) for h in sets], [signature(h) for h in sets], num, den, sets, [m[2] for m in members])
         return [(members[x][0], members[y][0]) for x, y in tree.links()]
 
-    return _by_block(rows.select("block", "cls", "packed", "comp", "side"), solve, "a long, b long")
+    return _by_block(rows.select("block", "cls", "packed", "comp"), solve, "a long, b long")
 
 
 def _partnered(rows: DataFrame, num: int, den: int) -> DataFrame:
-    """``block, cls`` of (block, cls, n, sig, comp) rows that may be linked to another component in their block."""
+    """``block, cls`` of (block, cls, n, sig, comp, side) rows that may be linked to another component in their block."""
 
     def solve(members: list[list]) -> list[tuple[int, int]]:
-        tree = SignatureTree([m[2] for m in members], [m[3] for m in members], num, den, groups=[m[4] for m in members])
+        sizes, signs, groups, sides = ([m[k] for m in members] for k in (2, 3, 4, 5))
+        tree = SignatureTree(sizes, signs, num, den, groups=groups, sides=sides if any(sides) else None)
         return [(members[k][1], members[k][0]) for k in tree.partnered()]
 
-    sent = rows.select("block", "cls", F.col("block").alias("again"), "n", "sig", "comp")
+    sent = rows.select("block", "cls", F.col("block").alias("again"), "n", "sig", "comp", "side")
     return _by_block(sent, solve, "block long, cls long")
 
 
@@ -407,7 +403,7 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     split = cut_lineage(met.where("chunks > 1").distinct())
     bitmaps = rows.where("cls is not null").join(classes.withColumnRenamed("least", "id"), ["cls", "id"]).dropDuplicates(["cls"])
     met_by = listed.select("block", "cls").join(bitmaps, "cls")
-    alive = _partnered(met_by.withColumn("comp", none), num, den).select("cls").union(split.select("cls"))
+    alive = _partnered(met_by.withColumns({"comp": none, "side": F.lit(0)}), num, den).select("cls").union(split.select("cls"))
     alive = cut_lineage(alive.distinct())
     member = listed.join(alive, "cls")
     sized = member.groupBy("block").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
@@ -427,38 +423,37 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
 
     best = member.groupBy("cls").agg(F.max(F.struct("size", "block")).alias("m")).select("cls", F.col("m.block").alias("block"))
     central = member.where("pivot").select("block", "cls").join(best.select("block").distinct(), "block")
-    chosen = best.unionByName(central).distinct().join(texts, "cls").select("block", "cls", "packed", none.alias("comp"), F.lit(0).alias("side"))
+    chosen = best.unionByName(central).distinct().join(texts, "cls").select("block", "cls", "packed", none.alias("comp"))
     links = cut_lineage(_links(chosen, width, num, den))
 
     nodes = alive.select(F.col("cls").alias("id"))
     group = lambda found: cut_lineage(components(nodes, found).select(F.col("id").alias("cls"), F.col("component").alias("comp")))
     so_far = group(links)
-    marked = member.select("block", "cls").join(so_far, "cls")
-    mixed = marked.groupBy("block").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("block")
-    open_ = _partnered(marked.join(mixed, "block", "left_semi").join(bitmaps, "cls"), num, den)
-    rest = open_.join(so_far, "cls").join(texts, "cls").select("block", "cls", "packed", "comp", F.lit(0).alias("side"))
+    # Second round: routes that still hold several components.  Those with the same main
+    # component have much the same classes and form one group, in which each class outside
+    # that component meets all.  Groups are dealt into chunks; bitmaps go first here too.
+    marked = met.select("hash", "cls").join(so_far, "cls")
+    counts = marked.groupBy("hash", "comp").agg(F.count(F.lit(1)).alias("n"))
+    main = (
+        counts.groupBy("hash")
+        .agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("kinds"))
+        .where("kinds > 1")
+        .select("hash", "main")
+    )
+    placed = cut_lineage(marked.join(main, "hash").select("main", "cls", "comp").distinct())
+    sizes = placed.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
+    dealt = placed.join(sizes, "main").withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)"))
+    outside = dealt.where("comp <> main")
+    probes = outside.select("main", F.col("chunk").alias("probe")).distinct()
+    left = outside.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
+        F.xxhash64("main", "other", "chunk").alias("block"), "cls", "comp", F.lit(1).alias("side")
+    )
+    right = dealt.join(probes, "main").select(F.xxhash64("main", "chunk", "probe").alias("block"), "cls", "comp", F.lit(2).alias("side"))
+    open_ = cut_lineage(_partnered(left.union(right).join(bitmaps, "cls"), num, den).distinct())
+    rest = open_.join(so_far, "cls").join(texts, "cls").select("block", "cls", "packed", "comp")
     links = cut_lineage(links.union(_links(rest, width, num, den)))
     so_far = group(links)
 
-    # Routes in chunks: classes outside the component of their route's pivots meet all of its
-    # classes.  Routes around the same component have much the same members and are one group.
-    if not split.isEmpty():
-        main = pivots.select("hash", F.explode("pivots").alias("cls")).join(so_far, "cls").groupBy("hash").agg(F.min("comp").alias("main"))
-        placed = cut_lineage(split.select("hash", "cls").join(main, "hash").select("main", "cls").distinct().join(so_far, "cls"))
-        sizes = placed.groupBy("main").agg(
-            F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"), F.max(F.col("comp") != F.col("main")).alias("open")
-        )
-        dealt = placed.join(sizes.where("open"), "main").withColumn("chunk", F.expr("pmod(xxhash64(cls), chunks)"))
-        outside = dealt.where("comp <> main")
-        probes = outside.select("main", F.col("chunk").alias("probe")).distinct()
-        left = outside.withColumn("other", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(
-            F.xxhash64("main", "other", "chunk").alias("block"), "cls", "comp", F.lit(1).alias("side")
-        )
-        right = dealt.join(probes, "main").select(F.xxhash64("main", "chunk", "probe").alias("block"), "cls", "comp", F.lit(2).alias("side"))
-        cross = left.union(right).join(texts, "cls").select("block", "cls", "packed", "comp", "side")
-        links = cut_lineage(links.union(_links(cross, width, num, den)))
-        so_far = group(links)
-
     joined = classes.join(so_far, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     roots = joined.groupBy("comp").agg(F.min("least").alias("component"))
     named = joined.join(roots, "comp").select("cls", "component")
