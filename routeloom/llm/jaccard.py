@@ -110,10 +110,11 @@ def _last(name: str) -> np.ndarray:
 
 
 class Node:
-    __slots__ = ("low", "high", "either", "every", "children", "sets")
+    __slots__ = ("low", "high", "bits", "either", "every", "children", "sets")
 
-    def __init__(self, children: list, sets: list[int], low: int, high: int, either: int, every: int):
-        self.children, self.sets, self.low, self.high, self.either, self.every = children, sets, low, high, either, every
+    def __init__(self, children: list, sets: list[int], low: int, high: int, bits: int, either: int, every: int):
+        self.children, self.sets, self.low, self.high = children, sets, low, high
+        self.bits, self.either, self.every = bits, either, every
 
 
 class SignatureTree:
@@ -135,16 +136,17 @@ class SignatureTree:
         for k, g in enumerate(groups or []):
             if g is not None:
                 self.parent[k] = first.setdefault(g, k)
-        bits = min((8 * len(s) for s in signatures), default=64)
-        self.marks = [folded(int.from_bytes(s, "little"), 8 * len(s), bits) for s in signatures]
-        order = sorted(range(len(sizes)), key=lambda k: (sizes[k].bit_length(), self.marks[k] & 0xFFFF, sizes[k]))
-        level = [self._leaf(order[k : k + LEAF]) for k in range(0, len(order), LEAF)]
-        while len(level) > 1:
-            level = [self._join(level[k : k + LEAF]) for k in range(0, len(level), LEAF)]
-        self.root = level[0] if level else None
-
-    def _leaf(self, members: list[int]) -> Node:
-        return self._join([Node([], [k], self.sizes[k], self.sizes[k], self.marks[k], self.marks[k]) for k in members])
+        # One tree for each bitmap size: folding long bitmaps to short ones would fill them.
+        leaves: dict[int, list[Node]] = {}
+        for k, s in enumerate(signatures):
+            mark = int.from_bytes(s, "little")
+            leaves.setdefault(8 * len(s), []).append(Node([], [k], sizes[k], sizes[k], 8 * len(s), mark, mark))
+        self.roots = []
+        for level in leaves.values():
+            level.sort(key=lambda n: (n.either & 0xFFFF, n.low, n.sets[0]))
+            while len(level) > 1:
+                level = [self._join(level[k : k + LEAF]) for k in range(0, len(level), LEAF)]
+            self.roots += level
 
     def _join(self, nodes: list[Node]) -> Node:
         if len(nodes) == 1:
@@ -153,7 +155,7 @@ class SignatureTree:
         for n in nodes:
             either |= n.either
             every &= n.every
-        return Node(nodes, [], min(n.low for n in nodes), max(n.high for n in nodes), either, every)
+        return Node(nodes, [], min(n.low for n in nodes), max(n.high for n in nodes), nodes[0].bits, either, every)
 
     def find(self, k: int) -> int:
         while self.parent[k] != k:
@@ -169,12 +171,15 @@ class SignatureTree:
         """
         if a.high * self.den < self.num * b.low or b.high * self.den < self.num * a.low:
             return False
-        most = min(a.high - (a.every & ~b.either).bit_count(), b.high - (b.every & ~a.either).bit_count())
+        bits = min(a.bits, b.bits)
+        a_either, a_every = folded(a.either, a.bits, bits), folded(a.every, a.bits, bits)
+        b_either, b_every = folded(b.either, b.bits, bits), folded(b.every, b.bits, bits)
+        most = min(a.high - (a_every & ~b_either).bit_count(), b.high - (b_every & ~a_either).bit_count())
         return (self.num + self.den) * most >= self.num * (a.low + b.low)
 
     def pairs(self) -> Iterator[tuple[int, int]]:
         """Dual traversal: pairs of classes whose bitmaps and sizes leave the similarity possible."""
-        todo = [(self.root, self.root)] if self.root else []
+        todo = [(a, b) for k, a in enumerate(self.roots) for b in self.roots[k:]]
         while todo:
             a, b = todo.pop()
             if a is b:
