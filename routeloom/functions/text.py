@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # The technology terms, signal words and forbidden terms below must
@@ -142,7 +145,7 @@ def is_kebab(name: Column, longest: int = 64) -> Column:
     return name.rlike(KEBAB_CASE) & (F.length(name) <= longest)
 
 
-def safe_slug(text: Column, longest: int = 120, default: str = "item") -> Column:
+def safe_slug(text: Column, longest: int = 120, default: str = "skill") -> Column:
     runs = F.regexp_replace(text, "[^A-Za-z0-9._-]+", "_")
     cut = F.substring(F.regexp_replace(runs, "^[._-]+|[._-]+$", ""), 1, longest)
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit(default))
@@ -154,27 +157,60 @@ def append_requirements(original: Column, addition: Column) -> Column:
     return F.when(extra == "", base).otherwise(F.concat(base, F.lit("\n\n"), extra))
 
 
+def strip(text: Column) -> Column:
+    """Text without white space of any kind at its ends."""
+    return F.regexp_replace(text, "(?U)\\A[\\s\\x1C-\\x1F]+|[\\s\\x1C-\\x1F]+\\z", "")
+
+
 def reply_text(body: Column) -> Column:
-    """Message text of a chat reply: a string, or the joined text parts of a list."""
-    doc = F.try_parse_json(body)
-    whole = F.try_variant_get(doc, "$.choices[0].message.content", "string")
-    parts = F.try_variant_get(
-        doc, "$.choices[0].message.content", "array<struct<type:string,text:string>>"
+    """Message text of a chat reply: a string, or the shown text parts of a list, one a line.
+
+    Parts of other types (reasoning, images) are left out; any other content is null.
+    """
+    content = F.try_variant_get(F.try_parse_json(body), "$.choices[0].message.content", "variant")
+    parts = F.filter(
+        F.try_variant_get(content, "$", "array<variant>"),
+        lambda p: F.coalesce(F.try_variant_get(p, "$.type", "string").isin("text", "output_text"), F.lit(False)),
     )
-    texts = F.filter(F.transform(parts, lambda p: p["text"]), lambda t: t.isNotNull())
-    return F.when(parts.isNotNull(), F.array_join(texts, "")).otherwise(whole)
+    texts = F.transform(parts, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+    plain = F.when(F.schema_of_variant(content) == "STRING", F.try_variant_get(content, "$", "string"))
+    return strip(F.coalesce(F.array_join(texts, "\n"), plain))
 
 
 def first_json_object(text: Column) -> Column:
-    """First JSON object in a reply: code fences dropped, text from the first brace to the last."""
-    bare = F.regexp_replace(text, "```(?:json)?", "")
-    body = F.regexp_extract(bare, "(?s)\\{.*\\}", 0)
-    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+    """Text of the first object in a reply that can be decoded, else null.
+
+    Only fences around the whole reply are dropped.  Every brace is tried in turn, which
+    needs a decoder: braces inside strings and unfinished objects rule out a pattern.
+    """
+
+    @F.pandas_udf("string")
+    def found(replies: pd.Series) -> pd.Series:
+        decoder = json.JSONDecoder()
+        fence = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$", re.IGNORECASE)
+
+        def first(reply: str | None) -> str | None:
+            bare = fence.sub("", (reply or "").strip())
+            at = bare.find("{")
+            while at >= 0:
+                try:
+                    return bare[at : decoder.raw_decode(bare, at)[1]]
+                except (ValueError, RecursionError):
+                    at = bare.find("{", at + 1)
+            return None
+
+        return replies.map(first, na_action="ignore")
+
+    return found(text)
+
+
+#: Namespace of name-based identifiers of addresses (RFC 4122); a fixed value.
+URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
-def stable_id(*parts: Column) -> Column:
-    """Name-based identifier in the 8-4-4-4-12 layout of version 5."""
-    h = F.sha1(F.concat_ws("|", *parts))
+def stable_id(version: Column, key: Column) -> Column:
+    """Name-based identifier (version 5, address namespace) of ``version:key``."""
+    h = F.sha1(F.concat(F.unhex(F.lit(URL_NAMESPACE)), F.encode(F.concat(version, F.lit(":"), key), "UTF-8")))
     variant = F.substring(F.lit("89ab"), F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1, F.lit(1))
     return F.concat(
         F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-5"), F.substring(h, 14, 3),

@@ -155,14 +155,16 @@ def node_cards(nodes: DataFrame, stop: tuple[str, ...] = ("fits",)) -> DataFrame
 
 
 def route_dag(
-    queries: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: int = 90, max_levels: int = 64
+    queries: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: int = 90
 ) -> DataFrame:
     """Chosen nodes ``(query_id, level, name, score)``, level by level.
 
     All children of a chosen node are asked on the next level; repeats are removed
-    inside a level only, so a node reached at two depths is asked twice.
+    inside a level only, so a node reached at two depths is asked twice.  A path without a
+    cycle has no more levels than there are nodes; a longer one is an error.
     """
     cards = cut_lineage(node_cards(nodes))
+    most = cards.count()
     asked = cut_lineage(queries.select("query_id", tx.token_set(F.col("query")).alias("words")))
     chosen = choose_by_text(asked, cards.where("is_root").select("name", "words"), threshold)
     levels = [cut_lineage(chosen.withColumn("level", F.lit(1)))]
@@ -176,7 +178,7 @@ def route_dag(
         picked = cut_lineage(picked.withColumn("level", F.lit(len(levels) + 1)))
         if picked.isEmpty():
             break
-        if len(levels) >= max_levels:
+        if len(levels) >= most:
             raise CycleError("routing did not end; check the graph for cycles")
         levels.append(picked)
     rows = levels[0]

@@ -125,34 +125,15 @@ BINS = 2048
 
 
 def cosine_diversity(
-    df: DataFrame, group: str, key: str, vec: str, limit: int = BLOCK_ROWS, block: int = BLOCK_ROWS
+    df: DataFrame, group: str, key: str, vec: str, block: int = BLOCK_ROWS
 ) -> DataFrame:
     """Mean, median, 95th percentile and maximum of the pairwise cosines of each group.
 
-    Groups of at most ``limit`` rows are one block product.  Where a larger group
-    exists, the percentiles are found by counting: block pairs report histograms of
-    an interval around each wanted rank, narrowed until the answer is fixed to
-    about 1e-12.  No pair leaves its task in either plan.
+    The percentiles are found by counting: block pairs report histograms of an interval
+    around each wanted rank, narrowed until the answer is fixed to about 1e-12.  No pair
+    leaves its task.
     """
-    from routeloom.operators.ordered import largest_group
-
     group_type = dict(df.dtypes)[group]
-    if largest_group(df, [group]) <= limit:
-
-        def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(pdf[vec])
-            upper = (x @ x.T)[np.triu_indices(len(x), 1)]
-            if not len(upper):
-                return pd.DataFrame({group: [], "mean": [], "median": [], "p95": [], "max": []})
-            return pd.DataFrame(
-                {
-                    group: [pdf[group].iloc[0]], "mean": [upper.mean()], "median": [np.median(upper)],
-                    "p95": [np.quantile(upper, 0.95)], "max": [upper.max()],
-                }
-            )
-
-        schema = f"{group} {group_type}, mean double, median double, p95 double, max double"
-        return df.select(group, vec).groupBy(group).applyInPandas(whole, schema)
 
     from pyspark.sql import Window
 

@@ -29,7 +29,7 @@ def _q(c):
 
 def _review_replies(v):
     """0 extra key, 1 missing key, 2 text score, 3 boolean score, 4 repeat, 5 unknown name,
-    6 blank reason, 7 cut off, 8 fenced, 9 valid."""
+    6 blank reason, 7 cut off (in the first item, or behind items that are read instead), 8 fenced, 9 valid."""
     cls = F.col("cls")
 
     def item(i, at):
@@ -45,13 +45,14 @@ def _review_replies(v):
     listed = F.when(cls == 4, F.concat(listed, F.slice(listed, 1, 1))).otherwise(listed)
     body = _json(("decisions", F.concat(F.lit("["), F.array_join(listed, ","), F.lit("]"))))
     body = F.when(cls == 0, F.concat(F.lit('{"extra":1,'), F.substring(body, F.lit(2), F.length(body)))).otherwise(body)
-    body = F.when(cls == 7, F.substring(body, F.lit(1), F.length(body) - 2)).when(cls == 8, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
+    body = F.when(cls == 7, F.substring(body, F.lit(1), F.when(F.col("query_id") % 20 == 7, F.length(body) - 2).otherwise(20))).when(cls == 8, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).otherwise(body)
     return _ids(v).select("query_id", "supplied", body.alias("reply"))
 
 
 @query(
     "review_reply_contract",
-    """SELECT DISTINCT l_orderkey AS query_id, ['keys','item_keys','score','score','name','name','reason','json',NULL,NULL][l_orderkey % 10 + 1] AS rule
+    """SELECT DISTINCT l_orderkey AS query_id, CASE WHEN l_orderkey % 20 = 7 THEN 'keys'
+  ELSE ['keys','item_keys','score','score','name','name','reason','json',NULL,NULL][l_orderkey % 10 + 1] END AS rule
 FROM batch""",
     ("batch",),
 )
@@ -350,8 +351,8 @@ FROM batch WHERE pos = 1 AND l_orderkey % 10 IN (4, 5) UNION ALL SELECT l_orderk
     ("batch",),
 )
 def exact_cover(v):
-    """Supplied names against answered names of the review replies that parse."""
-    replies = _review_replies(v).withColumn("body", tx.first_json_object(F.col("reply"))).where("body IS NOT NULL")
+    """Supplied names against answered names of the review replies that hold decisions."""
+    replies = _review_replies(v).withColumn("body", tx.first_json_object(F.col("reply"))).where(F.get_json_object("body", "$.decisions").isNotNull())
     replies = cut_lineage(replies)
     answered = replies.select("query_id", F.explode(ct.raw_items(F.col("body"), "decisions")).alias("i")).select("query_id", F.get_json_object("i", "$.name").alias("name"))
     supplied = replies.select("query_id", F.explode("supplied").alias("name"))

@@ -231,22 +231,27 @@ def complete_partitions(v):
 @query(
     "comembership_fill",
     """WITH pl AS (SELECT typ AS parent, skill, CASE WHEN p_size <= 20 THEN 'small' ELSE 'large' END AS child FROM part_dag WHERE p_size <= 40),
-x AS (SELECT p.typ AS parent, query_id AS ord, a, b, k.child AS ka, r.child AS kb FROM relation JOIN part_dag p ON p.skill = a LEFT JOIN pl k ON k.skill = a
-  LEFT JOIN pl r ON r.skill = b WHERE relation = 'same'),
-n AS (SELECT parent, CASE WHEN ka IS NULL THEN a ELSE b END AS skill, arg_min(coalesce(ka, kb), (ord, a, b)) AS child FROM x
-  WHERE (ka IS NULL) <> (kb IS NULL) GROUP BY ALL)
-SELECT * FROM pl UNION ALL SELECT * FROM n""",
+x AS MATERIALIZED (SELECT p.typ AS parent, a, b, row_number() OVER (PARTITION BY p.typ ORDER BY query_id, a, b) AS n
+  FROM relation JOIN part_dag p ON p.skill = a WHERE relation = 'same')
+SELECT parent, unnest(map_keys(state)) AS skill, unnest(map_values(state)) AS child FROM (SELECT parent, arg_max(state, n) AS state FROM (
+  WITH RECURSIVE f(parent, n, state) AS (
+    SELECT parent, CAST(0 AS BIGINT), map(list(skill), list(child)) FROM pl GROUP BY parent
+    UNION ALL SELECT parent, m, CASE WHEN ka IS NOT NULL AND kb IS NULL THEN map_concat(state, map([b], [ka]))
+      WHEN ka IS NULL AND kb IS NOT NULL THEN map_concat(state, map([a], [kb])) ELSE state END
+    FROM (SELECT f.parent, f.state, x.n AS m, a, b, map_extract(state, a)[1] AS ka, map_extract(state, b)[1] AS kb
+      FROM f JOIN x ON x.parent = f.parent AND x.n = f.n + 1))
+  SELECT * FROM f) GROUP BY parent)""",
     ("relation", "part_dag"),
 )
 def comembership_fill(v):
-    """One round: big parts join the child of a same-pair partner."""
+    """Big parts join the child of a same-pair partner, pair after pair."""
     kid = F.when(F.col("p_size") <= 20, "small").otherwise("large")
     placement = v.part_dag.where("p_size <= 40").select(F.col("typ").alias("parent"), "skill", kid.alias("child"))
     types = v.part_dag.select(F.col("skill").alias("a"), F.col("typ").alias("parent"))
     pairs = v.relation.where("relation = 'same'").join(types, "a").select(
         "parent", F.struct("query_id", "a", "b").alias("ord"), F.col("a").alias("keep"), F.col("b").alias("remove")
     )
-    return patches.comembership_fill(cut_lineage(pairs), placement, v.part_dag.select(F.col("typ").alias("parent"), "skill"), max_rounds=1)
+    return patches.comembership_fill(pairs, placement, v.part_dag.select(F.col("typ").alias("parent"), "skill"))[0]
 
 
 @query("partition_seed")

@@ -128,7 +128,7 @@ def name_shape(v):
 @query(
     "safe_slug",
     """SELECT page_id, coalesce(nullif(substr(regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'),
-  '^[._-]+|[._-]+$', '', 'g'), 1, 120), ''), 'item') AS slug FROM pages""",
+  '^[._-]+|[._-]+$', '', 'g'), 1, 120), ''), 'skill') AS slug FROM pages""",
 )
 def safe_slug(v):
     return v.table("pages").select("page_id", tx.safe_slug(F.col("url")).alias("slug"))
@@ -136,29 +136,38 @@ def safe_slug(v):
 
 @query(
     "reply_text",
-    "SELECT doc_id, md5(text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE lang END) AS digest FROM documents",
+    """SELECT doc_id, md5(regexp_replace(text || CASE WHEN doc_id % 2 = 0 THEN '' ELSE chr(10) || lang END, '^\\s+|\\s+$', '', 'g')) AS digest
+FROM documents""",
 )
 def reply_text(v):
-    part = lambda c: F.struct(F.lit("text").alias("type"), c.alias("text"))
-    listed = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(part(F.col("text")), part(F.col("lang"))).alias("content")).alias("message"))).alias("choices")))
-    plain = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("text").alias("content")).alias("message"))).alias("choices")))
-    body = F.when(F.col("doc_id") % 2 == 0, plain).otherwise(listed)
-    return v.table("documents").select("doc_id", F.md5(tx.reply_text(body)).alias("digest"))
+    """Plain contents with white space at the ends; lists with parts that are not shown."""
+    part = lambda kind, c: F.struct(F.lit(kind).alias("type"), c.alias("text"))
+    body = lambda c: F.to_json(F.struct(F.array(F.struct(F.struct(c.alias("content")).alias("message"))).alias("choices")))
+    listed = F.array(part("reasoning", F.lit("hidden")), part("text", F.col("text")), part("output_text", F.col("lang")), part("image", F.lit("x")))
+    plain = F.concat(F.lit(" \t"), "text", F.lit("\n "))
+    reply = F.when(F.col("doc_id") % 2 == 0, body(plain)).otherwise(body(listed))
+    return v.table("documents").select("doc_id", F.md5(tx.reply_text(reply)).alias("digest"))
 
 
 @query(
     "first_json_object",
-    """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE doc_id END AS found,
-  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE md5(text) END AS digest FROM documents""",
+    """SELECT doc_id, CASE WHEN doc_id % 8 = 3 THEN NULL ELSE doc_id END AS found,
+  CASE doc_id % 8 WHEN 3 THEN NULL WHEN 6 THEN md5('```json ' || text || ' ```') ELSE md5(text) END AS digest FROM documents""",
 )
 def first_json_object(v):
+    """Fenced, embedded, broken, followed and preceded by other braces, fences inside a value."""
     obj = F.to_json(F.struct("doc_id", "text"))
-    kind = F.col("doc_id") % 4
+    fenced = F.to_json(F.struct("doc_id", F.concat(F.lit("```json "), "text", F.lit(" ```")).alias("text")))
+    kind = F.col("doc_id") % 8
     reply = (
         F.when(kind == 0, obj)
         .when(kind == 1, F.concat(F.lit("```json\n"), obj, F.lit("\n```")))
         .when(kind == 2, F.concat(F.lit("Here it is: "), obj, F.lit(" as asked")))
-        .otherwise(F.concat(F.lit("broken "), F.substring(obj, F.lit(1), F.length(obj) - 1)))
+        .when(kind == 3, F.concat(F.lit("broken "), F.substring(obj, F.lit(1), F.length(obj) - 1)))
+        .when(kind == 4, F.concat(obj, F.lit(' and {"b":2}')))
+        .when(kind == 5, F.concat(F.lit("use {x} -> "), obj))
+        .when(kind == 6, fenced)
+        .otherwise(F.concat(obj, F.lit(" done }")))
     )
     found = v.table("documents").select("doc_id", tx.first_json_object(reply).alias("obj"))
     return found.select(
@@ -185,13 +194,13 @@ def append_requirements(v):
 
 @query(
     "stable_session_id",
-    """SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
+    f"""SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' ||
   substr('89ab', (instr('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 + 1, 1) || substr(h, 18, 3) || '-' ||
-  substr(h, 21, 12) AS session_id FROM (SELECT doc_id, sha1('v1|' || source || '|' || doc_id) AS h FROM documents)""",
+  substr(h, 21, 12) AS session_id FROM (SELECT doc_id, sha1(unhex('{tx.URL_NAMESPACE}') || encode('v1:' || source || '|' || doc_id)) AS h FROM documents)""",
 )
 def stable_session_id(v):
     return v.table("documents").select(
-        "doc_id", tx.stable_id(F.lit("v1"), F.col("source"), F.col("doc_id").cast("string")).alias("session_id")
+        "doc_id", tx.stable_id(F.lit("v1"), F.concat_ws("|", "source", F.col("doc_id").cast("string"))).alias("session_id")
     )
 
 

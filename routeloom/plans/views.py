@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from routeloom.operators import ordered
 from routeloom.session import cut_lineage
 
-LINK_STEPS = (1, 2)
+#: Candidates of a diagnosis batch: a fixed value.
+DIAGNOSED = 10
 
 
 class Views:
@@ -157,8 +158,8 @@ class Views:
 
     @cached_property
     def batch(self) -> DataFrame:
-        """The ten candidates reviewed first in each request."""
-        return ordered.top_k(self.line, ["l_orderkey"], ["ln", "l_partkey"], 10, "pos")
+        """All candidates of each request in the order of their review."""
+        return ordered.positions(self.line, ["l_orderkey"], ["ln", "l_partkey"], "pos")
 
     @cached_property
     def batch_part(self) -> DataFrame:
@@ -182,17 +183,14 @@ class Views:
 
     @cached_property
     def relation(self) -> DataFrame:
-        """Relations between neighbours in a batch (one and two places apart)."""
-        w = Window.partitionBy("l_orderkey").orderBy("pos")
+        """All pairs of the ten best scored candidates of a request, its diagnosis batch."""
         me = F.struct("skill", "p_type", "brand", "typ", "p_size")
-        rows = self.batch_part.select("l_orderkey", "pos", me.alias("me"))
-        rows = rows.withColumn("others", F.array_compact(F.array(*[F.lead("me", s).over(w) for s in LINK_STEPS])))
-        rows = rows.withColumn("source", F.first("me.skill").over(w))
-        rows = rows.select("l_orderkey", "source", "me", F.explode("others").alias("other"))
-        first = F.col("me.skill") < F.col("other.skill")
-        a = F.when(first, F.col("me")).otherwise(F.col("other"))
-        b = F.when(first, F.col("other")).otherwise(F.col("me"))
-        rows = rows.select("l_orderkey", "source", a.alias("x"), b.alias("y"))
+        best = ordered.top_k(self.batch_part, ["l_orderkey"], [F.desc("score"), "ln", "l_partkey"], DIAGNOSED, "place")
+        best = best.groupBy("l_orderkey").agg(F.collect_list(me).alias("all"))
+        rows = best.select("l_orderkey", F.explode("all").alias("x"), "all")
+        rows = rows.select("l_orderkey", "x", F.explode(F.filter("all", lambda y: y["skill"] > F.col("x.skill"))).alias("y"))
+        sources = self.batch.where("pos = 1").select("l_orderkey", F.col("skill").alias("source"))
+        rows = rows.join(sources, "l_orderkey")
         same = F.col("x.p_type") == F.col("y.p_type")
         # Several branches of a plan read the relations: one table instead of one scan each.
         return cut_lineage(rows.select(
@@ -355,8 +353,7 @@ FROM (SELECT l_orderkey, l_partkey, min(l_linenumber) AS ln, abs(max(l_discount)
     ),
     "batch": (
         ("line",),
-        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, l_partkey) AS pos
-FROM line) WHERE pos <= 10""",
+        """SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY ln, l_partkey) AS pos FROM line""",
     ),
     "batch_part": (
         ("batch", "part_dag"),
@@ -372,15 +369,19 @@ FROM (SELECT l_orderkey AS query_id, skill AS source, brand,
   CASE flag WHEN 'R' THEN 'add_edge' WHEN 'A' THEN 'rewrite_skill' ELSE 'none' END AS operation
   FROM batch_part WHERE pos = 1)""",
     ),
-    "relation": (
+    "best_part": (
         ("batch_part",),
+        """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, ln, l_partkey) AS place
+FROM batch_part) WHERE place <= 10""",
+    ),
+    "relation": (
+        ("batch_part", "best_part"),
         """SELECT x.l_orderkey AS query_id, s.skill AS source, x.skill AS a, y.skill AS b,
   CASE WHEN x.p_type = y.p_type THEN 'same' ELSE 'alternative_same_position' END AS relation,
   'r_' || x.l_orderkey AS reason,
   CASE WHEN x.p_type = y.p_type THEN '' WHEN x.p_size <= 25 THEN x.typ ELSE x.brand END AS split_parent,
   CASE WHEN x.p_type = y.p_type THEN '' ELSE x.p_type || '/' || y.p_type END AS distinction
-FROM batch_part x JOIN batch_part y ON x.l_orderkey = y.l_orderkey AND x.skill < y.skill
-  AND abs(x.pos - y.pos) IN (1, 2)
+FROM best_part x JOIN best_part y ON x.l_orderkey = y.l_orderkey AND x.skill < y.skill
 JOIN batch_part s ON s.l_orderkey = x.l_orderkey AND s.pos = 1""",
     ),
     "vector": (

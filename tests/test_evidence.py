@@ -74,6 +74,21 @@ def test_partition_seed_budget(spark):
     first = [r for r in got if r.relation == ALT][:4]
     assert [r.seq for r in first] == [1, 2, 3, 4]
     assert any(r.relation == "same" for r in got)
+    assert all(r.sufficient for r in got)
+
+
+def test_partition_seed_marks_too_little_evidence(spark):
+    data = [("few", "a", "b", ALT, 5), ("alike", "a", "b", "same", 4), ("alike", "c", "d", "same", 3)]
+    top = spark.createDataFrame(data, "parent string, a string, b string, relation string, support int")
+    got = rows(patches.partition_seed(top), "parent", "seq", "sufficient")
+    assert got == [("alike", 1, False), ("alike", 2, False), ("few", 1, False)]
+
+
+def test_partition_seed_order_of_choice(spark):
+    data = [("p", "a", "b", ALT, 9), ("p", "c", "d", ALT, 8), ("p", "e", "f", ALT, 7), ("p", "x", "y", "same", 9), ("p", "a", "z", "same", 1)]
+    top = spark.createDataFrame(data, "parent string, a string, b string, relation string, support int")
+    got = patches.partition_seed(top, cap=7).orderBy("seq").collect()
+    assert [(r.a, r.b) for r in got] == [("a", "b"), ("c", "d"), ("a", "z"), ("e", "f")]
 
 
 def test_verdict_gives_the_orientation(spark):

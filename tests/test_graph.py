@@ -123,3 +123,12 @@ def test_review_equals_union_then_score(spark):
     union = graph.candidate_union(chosen, members, live)
     both = graph.review_candidates(chosen, members, live, queries, docs, 60)
     assert rows(union, "query_id", "skill", "seen") == rows(both, "query_id", "skill", "seen")
+
+
+def test_routing_follows_a_deep_chain(spark):
+    names = [f"n{i:02d}" for i in range(70)]
+    edges = list(zip(names, names[1:]))
+    nodes = spark.createDataFrame([(x, "Fits word", x == "n00") for x in names], "name string, description string, is_root boolean")
+    queries = spark.createDataFrame([(1, "word")], "query_id int, query string")
+    got = graph.route_dag(queries, nodes, table(spark, edges))
+    assert [n for _, n in rows(got, "level", "name")] == names
