@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -14,6 +16,33 @@ from pyspark.sql.pandas.types import to_arrow_type
 from routeloom.session import cut_lineage, ship_package, write_shared
 
 SLICE_ROWS = 512
+_CACHES: list = []
+_SERVED: list[str] = [""]
+
+
+def task_cache(maxsize: int) -> Callable:
+    """``lru_cache`` for what tasks load; a worker keeps it only while it serves the same operator."""
+
+    def wrap(fn: Callable) -> Callable:
+        cached = functools.lru_cache(maxsize=maxsize)(fn)
+        _CACHES.append(cached)
+        return cached
+
+    return wrap
+
+
+def begin(operator: str) -> None:
+    """Start of a task: a worker that served another operator first lets go of what that one loaded.
+
+    Workers are reused from stage to stage, so that models of earlier stages would add up.
+    """
+    if _SERVED[0] != operator:
+        _SERVED[0] = operator
+        for cached in _CACHES:
+            if cached.__module__ != operator:
+                cached.cache_clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,9 +74,10 @@ def append(
     sent = [F.col(f"`{f.name}`") for f in kept] + [F.col(f"`{c}`").alias(f"_in{k}") for k, c in enumerate(inputs)]
     types = [to_arrow_type(f.dataType) for f in added]
     fields = [pa.field(f.name, t) for f, t in zip(added, types)]
-    n_kept = len(kept)
+    n_kept, operator = len(kept), fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
         for batch in batches:
             out_schema = pa.schema([batch.schema.field(k) for k in range(n_kept)] + fields)
             for at in range(0, batch.num_rows, SLICE_ROWS):
@@ -65,8 +95,10 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[Seq
     ship_package(df.sparkSession)
     made = T.StructType.fromDDL(schema)
     out_schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in made])
+    operator = fn.__module__
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(operator)
         def slices():
             for batch in batches:
                 for at in range(0, batch.num_rows, SLICE_ROWS):

@@ -8,12 +8,11 @@ a pattern has shift zero; then its bucket's patterns are compared word for word.
 
 from __future__ import annotations
 
-import functools
 import pickle
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from routeloom.llm.common import append, distribute, fresh, local_path
+from routeloom.llm.common import append, distribute, fresh, local_path, task_cache
 
 WINDOW = 10
 SHARD_BYTES = 32 << 20
@@ -70,7 +69,7 @@ def build_machines(items: list[tuple], window: int = WINDOW) -> list[Machine]:
     return [by_length[m] for m in sorted(by_length)]
 
 
-@functools.lru_cache(maxsize=2)
+@task_cache(2)
 def machines(name: str) -> list[Machine]:
     with open(local_path(name), "rb") as f:
         return build_machines(pickle.load(f))

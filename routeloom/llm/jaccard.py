@@ -19,7 +19,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from routeloom.llm.common import components, distribute, local_path, map_batches
+from routeloom.llm.common import begin, components, distribute, local_path, map_batches, task_cache
 from routeloom.session import cut_lineage, ship_package
 
 #: Hashes that come last in the order; any set gives the same result.
@@ -104,7 +103,7 @@ def prefix(hashes: np.ndarray, last: np.ndarray, num: int, den: int) -> np.ndarr
     return hashes[:size]
 
 
-@functools.lru_cache(maxsize=4)
+@task_cache(4)
 def _last(name: str) -> np.ndarray:
     return np.fromfile(local_path(name), dtype=np.uint64)
 
@@ -224,6 +223,7 @@ def _by_block(rows: DataFrame, solve, schema: str) -> DataFrame:
     out_schema = pa.schema([pa.field(f.name, to_arrow_type(f.dataType)) for f in made])
 
     def run(batches):
+        begin(__name__)
         key, members, out = None, [], []
 
         def full():
@@ -294,7 +294,7 @@ def _bloom(ids: DataFrame) -> bytes:
     return out.tobytes()
 
 
-@functools.lru_cache(maxsize=2)
+@task_cache(2)
 def _marks(name: str) -> np.ndarray:
     return np.unpackbits(np.fromfile(local_path(name), np.uint8), bitorder="little")
 

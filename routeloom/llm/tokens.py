@@ -9,7 +9,6 @@ one small row per block: the number of separators and the last separator before
 from __future__ import annotations
 
 import base64
-import functools
 import uuid
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from routeloom.llm.common import SLICE_ROWS
+from routeloom.llm.common import SLICE_ROWS, task_cache
 from routeloom.session import cut_lineage, shared_dir, ship_package
 
 WIDTH = 2
@@ -27,7 +26,7 @@ BLOCK_BYTES = 4 << 20
 GROUP_BLOCKS = 256
 
 
-@functools.lru_cache(maxsize=2)
+@task_cache(2)
 def encoding(path: str, pattern: str) -> tiktoken.Encoding:
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}

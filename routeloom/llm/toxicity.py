@@ -10,7 +10,6 @@ counted and weighed by a logistic model, learned from the same rows.
 
 from __future__ import annotations
 
-import functools
 import json
 import math
 import re
@@ -21,7 +20,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from routeloom.llm.common import append, held_out, map_batches
+from routeloom.llm.common import append, held_out, map_batches, task_cache
 from routeloom.session import cut_lineage
 
 #: Expected number of labelled rows the grammar is fitted on; the only bound.
@@ -73,7 +72,7 @@ CASCADE = (NEGATION, REPORT, AIM)
 _NAMES = {"I": 0, "A": 1, "D": 2, "Q": 3, "T": 4, "H": 5}
 
 
-@functools.lru_cache(maxsize=100_000)
+@task_cache(100_000)
 def composed(states: tuple[int, ...], symbol: str) -> tuple[tuple[int, ...], str, float]:
     """One step of the composition: each transducer reads what the one before it writes."""
     after, weight = [], 0.0
@@ -136,7 +135,7 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-@functools.lru_cache(maxsize=2)
+@task_cache(2)
 def grammar(spec: str) -> Grammar:
     return Grammar(spec)
 
