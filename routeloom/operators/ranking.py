@@ -33,8 +33,6 @@ def round_robin_sample(df: DataFrame, category: str, order: Sequence[str], n: in
 
 def slice_rows(df: DataFrame, order: Sequence[str], offset: int = 0, limit: int = 0) -> DataFrame:
     """Rows ``[offset, offset+limit)`` in source order; 0 takes the rest."""
-    if limit and offset + limit <= 100_000:
-        return df.orderBy(*order).offset(offset).limit(limit)
     placed = ordered.positions(df, [], order, "_pos").where(F.col("_pos") > offset)
     if limit:
         placed = placed.where(F.col("_pos") <= offset + limit)

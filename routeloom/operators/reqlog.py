@@ -54,7 +54,7 @@ def latency_ewma(
         F.col("pos") == 1, 1.0
     ).otherwise(1.0 - decay)
     ewma = (
-        placed.join(F.broadcast(totals) if _few(totals) else totals, list(keys))
+        placed.join(totals, list(keys))
         .groupBy(*keys)
         .agg(F.first("samples").alias("samples"), F.sum(weight * F.col("latency")).alias("ewma"))
     )
@@ -63,11 +63,6 @@ def latency_ewma(
     return ewma.join(best, keys[1], "left").withColumn("slow", F.coalesce(slow, F.lit(False)))
 
 
-def _few(df: DataFrame, limit: int = 10_000) -> bool:
-    """Checked size of a side before it is broadcast."""
-    return df.limit(limit + 1).count() <= limit
-
-
 def route_health(log: DataFrame, recent: int = 20, floor: float = 0.1) -> DataFrame:
     """Per route: attempts, outcomes, recent success rate, last failure and last time."""
     totals = log.groupBy("route").agg(
