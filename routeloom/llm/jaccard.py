@@ -279,7 +279,10 @@ def unpack(packed: bytes) -> str:
 
 
 def _bloom(ids: DataFrame) -> bytes:
-    """A bitmap of the ids' hashes, of BLOOM_BITS whatever their number; full, it only stops pruning."""
+    """A bitmap of the ids' hashes, of BLOOM_BITS whatever their number.
+
+    It only spares texts the way to the exact join on (class, key); full, it spares none.
+    """
     bit = F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS))
     words = (
         ids.select(bit.alias("bit"))
@@ -288,7 +291,7 @@ def _bloom(ids: DataFrame) -> bytes:
         .agg(F.bit_or("m").alias("m"))
         .collect()
     )
-    out = np.zeros(BLOOM_BITS // 64, "<i8")
+    out = np.zeros(-(-BLOOM_BITS // 64), "<i8")
     for r in words:
         out[r["w"]] = r["m"]
     return out.tobytes()
@@ -406,7 +409,9 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
     # Classes whose bitmap meets no possible partner in any block are done; those of a
     # route in chunks go on, as chunks meet each other only later.
     split = cut_lineage(met.where("chunks > 1").distinct())
-    bitmaps = rows.where("cls is not null").join(classes.withColumnRenamed("least", "id"), ["cls", "id"]).dropDuplicates(["cls"])
+    # Keys are compared inside a struct, as a class of rows without a key has a null for its least one.
+    least = classes.select("cls", F.struct(F.col("least").alias("id")).alias("who"))
+    bitmaps = rows.where("cls is not null").withColumn("who", F.struct("id")).join(least, ["cls", "who"], "left_semi").dropDuplicates(["cls"])
     met_by = listed.select("block", "cls").join(bitmaps, "cls")
     alive = _partnered(met_by.withColumns({"comp": none, "side": F.lit(0)}), num, den).select("cls").union(split.select("cls"))
     alive = cut_lineage(alive.distinct())
@@ -418,13 +423,17 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
 
     def texts_of(slices):
         bits = _marks(marks)
-        for texts, at in slices:
-            kept = [(h, t) for t, k in zip(texts, at) if bits[k] and len(h := shingles(t, width))]
-            yield [class_of(h) for h, _ in kept], [pack(t) for _, t in kept]
-
-    # One text stands for its class; packed texts take less than half of what their hashes would.
-    hashed = docs.select("text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)))
-    texts = cut_lineage(map_batches(hashed, texts_of, "cls long, packed binary"))
+        for ids, texts, at in slices:
+            kept = [(i, h, t) for i, t, k in zip(ids, texts, at) if bits[k] and len(h := shingles(t, width))]
+            yield [i for i, _, _ in kept], [class_of(h) for _, h, _ in kept], [pack(t) for _, _, t in kept]
+
+    # One text stands for its class, that of its least key: other rows that pass the bitmap and
+    # rows that repeat the key go before a block sees them.  Packed texts take less than half
+    # of what their hashes would.
+    hashed = docs.select("id", "text", F.pmod(F.xxhash64("id"), F.lit(BLOOM_BITS)))
+    passed = map_batches(hashed, texts_of, f"id {id_type}, cls long, packed binary").select("cls", F.struct("id").alias("who"), "packed")
+    one_each = passed.dropDuplicates(["cls", "who"]).join(alive.join(least, "cls"), ["cls", "who"], "left_semi")
+    texts = cut_lineage(one_each.select("cls", "packed"))
 
     best = member.groupBy("cls").agg(F.max(F.struct("size", "block")).alias("m")).select("cls", F.col("m.block").alias("block"))
     central = member.where("pivot").select("block", "cls").join(best.select("block").distinct(), "block")

@@ -56,6 +56,35 @@ def test_join_equals_brute_force(spark, monkeypatch, chunk, width, num):
     assert got == brute(rows, width, num, 100)
 
 
+@pytest.mark.parametrize("bits", [1, 64, 1 << 23])
+def test_a_block_has_one_text_of_a_class(spark, monkeypatch, bits):
+    """Whatever the bitmap lets through, and however often a key is repeated."""
+    monkeypatch.setattr(jaccard, "BLOOM_BITS", bits)
+    sent, links = [], jaccard._links
+
+    def counted(rows, *rest):
+        sent.extend(tuple(r) for r in rows.groupBy("block", "cls").count().collect())
+        return links(rows, *rest)
+
+    monkeypatch.setattr(jaccard, "_links", counted)
+    rows = corpus(11, 60)
+    hot = rows[2][1] + " " + " ".join(f"h{k}" for k in range(60))
+    rows += [(7, hot)] * 40 + [(k, hot) for k in range(100, 140)] + [(200, hot + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = jaccard.link_sets(df, 3, 90, 100)
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_shingles"], r["component"]) for r in found.collect())
+    assert got == brute(rows, 3, 90, 100)
+    assert sent and {n for _, _, n in sent} == {1}
+
+
+def test_a_text_without_key_links_others(spark):
+    words = [f"w{k}" for k in range(100)]
+    rows = [(1, " ".join(words)), (None, " ".join(words[4:] + ["a", "b", "c", "d"])), (2, " ".join(words[8:] + [*"abcdefgh"]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = jaccard.link_sets(df, 3, 90, 100).select("doc_id", "component")
+    assert {tuple(r) for r in found.collect()} == {(1, 1), (None, 1), (2, 1)}
+
+
 def test_empty_table(spark):
     assert jaccard.link_sets(spark.createDataFrame([], "doc_id long, text string"), 3, 90, 100).collect() == []
 
