@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from routeloom.functions import vector as vx
 
 BLOCK_ROWS = 4096
+MIXTURE_ROWS = 256
 
 
 def group_means(df: DataFrame, group: str, vec: str, out: str = "mean") -> DataFrame:
@@ -247,53 +248,42 @@ def _starts(df: DataFrame, group: str, key: str, vec: str, most: int, seed: int)
     return few.groupBy(group).agg(F.transform(packed, lambda s: s["_v"]).alias("_start"))
 
 
-FIT = "k int, bic double, converged boolean, iterations int, weights array<double>, means array<array<double>>"
-
-
 def group_mixture(
     df: DataFrame, group: str, key: str, vec: str, ks: tuple[int, ...] = (2, 3, 4, 5, 6), max_iter: int = 50,
-    reg: float = 1e-6, seed: int = 42, tol: float = 1e-3, limit: int = 20_000,
+    reg: float = 1e-6, seed: int = 42, tol: float = 1e-3, limit: int | None = None,
 ) -> DataFrame:
-    """All candidate diagonal mixtures of every group: ``(group, k, bic, converged, iterations, weights, means)``.
+    """All candidate diagonal mixtures of every group: ``(group, k, bic, converged, iterations, weights, means, n, fitted)``.
 
-    Groups of at most ``limit`` rows are fitted inside one task each; with a larger
-    group every pass runs over row blocks of all groups at once and only the sums
-    are combined.  Start rows and arithmetic are the same in both plans.
+    Every pass runs over row blocks of all groups at once, whatever their sizes, and only
+    the sums are combined; ``limit`` is accepted for older callers and has no effect.
+    ``n`` is the group's row count.  A group with fewer rows than the smallest k has one
+    row that is not ``fitted``: k 0, a null criterion and no components.  A null group is
+    a group.
     """
-    from routeloom.operators.ordered import largest_group
+    from routeloom.session import cut_lineage
 
-    group_type = dict(df.dtypes)[group]
-    starts = _starts(df, group, key, vec, max(ks), seed)
-    rows = df.select(group, F.col(vec).alias("_v"))
-    if largest_group(df, [group]) <= limit:
-
-        def fit(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            x = np.stack(a["_v"])
-            start = np.stack([np.asarray(s) for s in b["_start"].iloc[0]])
-            n, d = x.shape
-            out = []
-            for k in [k for k in ks if k <= n]:
-                w, mu, var = np.full(k, 1 / k), start[:k], np.tile(x.var(axis=0) + reg, (k, 1))
-                last, done, it = -np.inf, False, 0
-                for it in range(1, max_iter + 1):
-                    nk, s1, s2, ll = _expect(x, w, mu, var)
-                    done = abs(ll / n - last) < tol
-                    if done:
-                        break
-                    last = ll / n
-                    w, mu, var = _maximise(nk, s1, s2, n, reg)
-                ll = _expect(x, w, mu, var)[3]
-                out.append((a[group].iloc[0], k, _bic(ll, n, k, d), done, it, w.tolist(), mu.tolist()))
-            return pd.DataFrame(out, columns=[group, "k", "bic", "converged", "iterations", "weights", "means"])
-
-        return rows.groupBy(group).cogroup(starts.groupBy(group)).applyInPandas(fit, f"{group} {group_type}, {FIT}")
-    return _mixture_by_blocks(df, rows, starts, group, group_type, key, ks, max_iter, reg, tol)
-
-
-def _mixture_by_blocks(df, rows, starts, group, group_type, key, ks, max_iter, reg, tol) -> DataFrame:
+    # Groups are numbered, so that a null one meets itself in joins.
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_rows")).withColumn("_g", F.monotonically_increasing_id())
+    sizes = cut_lineage(sizes)
+    ids = sizes.select(F.struct(F.col(group).alias("at")).alias("_at"), "_g", F.ceil(F.col("_rows") / MIXTURE_ROWS).alias("_blocks"))
+    tagged = df.select(F.struct(F.col(group).alias("at")).alias("_at"), F.col(key).alias("_id"), F.col(vec).alias("_v"))
+    rows = cut_lineage(tagged.join(ids, "_at").drop("_at"))
+    starts = _starts(rows, "_g", "_id", "_v", max(ks), seed)
+    fits = _mixture_by_blocks(rows, starts, "_g", "bigint", ks, max_iter, reg, tol)
+    return sizes.join(fits, "_g", "left").select(
+        group, F.coalesce("k", F.lit(0)).alias("k"), "bic", F.coalesce("converged", F.lit(False)).alias("converged"),
+        F.coalesce("iterations", F.lit(0)).alias("iterations"), F.coalesce("weights", F.array().cast("array<double>")).alias("weights"),
+        F.coalesce("means", F.array().cast("array<array<double>>")).alias("means"), F.col("_rows").alias("n"), F.col("k").isNotNull().alias("fitted"),
+    )
+
+
+def _mixture_by_blocks(rows, starts, group, group_type, ks, max_iter, reg, tol) -> DataFrame:
     from routeloom.session import cut_lineage
 
-    rows = cut_lineage(rows)
+    # About MIXTURE_ROWS vectors are one row, dealt by place, so that repeated keys spread too.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_blocks")).alias("_b")
+    blocks = rows.select(group, block, F.col("_v").cast("array<double>").alias("_v")).groupBy(group, "_b")
+    blocks = cut_lineage(blocks.agg(F.count("_v").alias("_m"), F.flatten(F.collect_list("_v")).alias("_x")).where("_m > 0"))
     dims = rows.select(group, F.posexplode("_v").alias("_d", "_x")).groupBy(group, "_d").agg(
         F.var_pop("_x").alias("_s"), F.count(F.lit(1)).alias("_n")
     )
@@ -316,9 +306,9 @@ def _mixture_by_blocks(df, rows, starts, group, group_type, key, ks, max_iter, r
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict = {}
         for pdf in batches:
-            for g, part in pdf.groupby(group, sort=False):
-                x = np.stack(part["_v"])
-                for s in part["_state"].iloc[0]:
+            for g, m, flat_rows, states in zip(pdf[group], pdf["_m"], pdf["_x"], pdf["_state"]):
+                x = np.reshape(flat_rows, (m, -1))
+                for s in states:
                     kk = s["k"]
                     shape = (kk, x.shape[1])
                     nk, s1, s2, ll = _expect(x, np.asarray(s["w"]), np.reshape(s["mu"], shape), np.reshape(s["var"], shape))
@@ -329,7 +319,7 @@ def _mixture_by_blocks(df, rows, starts, group, group_type, key, ks, max_iter, r
 
     def sums(states: DataFrame) -> DataFrame:
         by_group = states.groupBy(group).agg(F.collect_list(F.struct("k", "w", "mu", "var")).alias("_state"))
-        spread_rows = rows.join(by_group, group).mapInPandas(partial, sums_schema)
+        spread_rows = blocks.join(by_group, group).mapInPandas(partial, sums_schema)
         added = spread_rows.groupBy(group, "k", "pos").agg(F.sum("s").alias("s"))
         ordered_sums = F.array_sort(F.collect_list(F.struct("pos", "s")))
         return added.groupBy(group, "k").agg(F.transform(ordered_sums, lambda p: p["s"]).alias("_sums"))
@@ -377,7 +367,7 @@ def _mixture_by_blocks(df, rows, starts, group, group_type, key, ks, max_iter, r
 
 
 def bic_select(fits: DataFrame, group: str) -> DataFrame:
-    """Fit with the smallest criterion per group; ties go to fewer components."""
+    """Fit with the smallest criterion per group; ties go to fewer components, an unfit group keeps its one row."""
     from routeloom.operators import ordered
 
     return ordered.top_k(fits, [group], ["bic", "k"], 1, "_n").drop("_n")

@@ -83,12 +83,12 @@ def _fits(v):
 
 @query("group_mixture")
 def group_mixture(v):
-    return _fits(v).select("label", "k", F.round("bic", 3).alias("bic"), "converged", "iterations")
+    return _fits(v).select("label", "k", F.round("bic", 3).alias("bic"), "converged", "iterations", "n", "fitted")
 
 
 @query("bic_select")
 def bic_select(v):
-    return vectors.bic_select(_fits(v), "label").select("label", "k", F.round("bic", 3).alias("bic"))
+    return vectors.bic_select(_fits(v), "label").select("label", "k", F.round("bic", 3).alias("bic"), "n", "fitted")
 
 
 @query("component_histogram")

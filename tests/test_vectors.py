@@ -56,6 +56,20 @@ def test_mixture_plans_agree_and_find_three_groups(vecs):
     assert medoids.select("g", "id").distinct().count() == means.count()
 
 
+def test_groups_below_the_smallest_k_stay(spark):
+    rng = np.random.default_rng(4)
+    data = [(g, k, rng.normal(size=3).tolist()) for g, n in (("one", 1), ("two", 2), ("some", 600), (None, 5)) for k in range(n)]
+    df = spark.createDataFrame(data, "g string, id int, v array<double>")
+    fits = vectors.group_mixture(df, "g", "id", "v", ks=(2, 3), max_iter=3)
+    got = {(r.g, r.k): (r.n, r.fitted) for r in fits.collect()}
+    assert got == {
+        ("one", 0): (1, False), ("two", 2): (2, True), ("some", 2): (600, True), ("some", 3): (600, True), (None, 2): (5, True), (None, 3): (5, True),
+    }
+    best = {r.g: r for r in vectors.bic_select(fits, "g").collect()}
+    assert best.keys() == {"one", "two", "some", None}
+    assert (best["one"].bic, best["one"].means, best["one"].converged) == (None, [], False)
+
+
 def test_likelihood_never_falls():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(size=(40, 3)), rng.normal(size=(40, 3)) + 4])
