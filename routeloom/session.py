@@ -88,6 +88,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget_later(path: str) -> None:
+    """Enter a folder that an operator wrote itself; ``drop_scratch`` deletes it too."""
+    _WRITTEN.append(path)
+
+
 def drop_scratch(spark: SparkSession) -> int:
     """Delete the intermediate tables this process wrote; call when results are stored."""
     dropped = 0
