@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from routeloom.llm import bpe, decontaminate, jaccard, langid, license, merkle, pii, tokens, toxicity, warc
+from routeloom.llm import bpe, decontaminate, jaccard, langid, license, merkle, negatives, pii, tokens, toxicity, warc
 from routeloom.llm.common import held_out, table
 from routeloom.session import shared_dir
 
@@ -98,6 +98,15 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    moved = F.when(F.col("vec_id") % 7 == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    whole = F.transform("embedding", lambda x: F.floor(F.lit(256) * x.cast("double")))
+    made = rows.where(finite).select("vec_id", moved.alias("label"), whole.alias("v"))
+    return negatives.mine(made, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,6 +120,7 @@ QUERIES = {
         op8_warc,
         op9_token_counts,
         op10_merkle_fingerprint,
+        op12_hard_negatives,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -146,6 +156,17 @@ ORACLES = {
     + """SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN k ON k.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+    "op12_hard_negatives": """WITH e AS (
+  SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.id AS a, b.id AS b, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.id <> b.id AND len(a.v) = len(b.v) WHERE a.id % 100 = 0),
+p AS (SELECT a, b AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT s.a AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY s.a, positive_id ORDER BY score DESC, s.b) AS INTEGER) AS rank,
+  s.b AS negative_id, positive_score, score AS negative_score
+FROM s JOIN p ON p.a = s.a WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+QUALIFY rank <= 5""",
     "op8_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
