@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from routeloom.llm import bpe, decontaminate, jaccard, langid, license, merkle, negatives, pii, tokens, toxicity, warc
+from routeloom.llm import bpe, decontaminate, jaccard, langid, license, merkle, negatives, phrases, pii, tokens, toxicity, warc
 from routeloom.llm.common import held_out, table
 from routeloom.session import shared_dir
 
@@ -107,6 +107,10 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(made, F.col("vec_id") % 100 == 0)
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +125,7 @@ QUERIES = {
         op9_token_counts,
         op10_merkle_fingerprint,
         op12_hard_negatives,
+        op13_collocations,
     )
 } | {"pipeline": corpus_pipeline.run}
 
@@ -167,6 +172,21 @@ SELECT s.a AS anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY s.a,
   s.b AS negative_id, positive_score, score AS negative_score
 FROM s JOIN p ON p.a = s.a WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
 QUALIFY rank <= 5""",
+    "op13_collocations": r"""WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t
+  FROM documents),
+w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+g AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) AS g FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, g, len(g) AS m, count(*) AS f FROM g GROUP BY ALL),
+t AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1),
+c AS (SELECT * FROM f WHERE m >= 2 AND f >= 10),
+k AS (SELECT lang, g, f AS a, unnest(range(1, m)) AS k FROM c),
+s AS (SELECT k.lang, k.g, k.a, k, x.f AS l, y.f AS r, (1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.g = k.g[1:k] JOIN f y ON y.lang = k.lang AND y.g = k.g[k + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT b.lang, b.g FROM b JOIN c ON c.lang = b.lang AND c.m > len(b.g) AND (c.g[1:2] = b.g OR c.g[2:3] = b.g) AND 100 * c.f >= 50 * b.a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM (SELECT b.*, array_to_string(g, ' ') AS phrase FROM b ANTI JOIN d ON d.lang = b.lang AND d.g = b.g) JOIN t USING (lang) QUALIFY rank <= 2000""",
     "op8_warc": """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
 f AS (SELECT d, min(page_id) AS first FROM p WHERE n >= 100 GROUP BY d)
 SELECT page_id, n AS payload_bytes, p.d AS payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
