@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from routeloom.llm import bpe, decontaminate, jaccard, langid, license, merkle, negatives, phrases, pii, tokens, toxicity, warc
+from routeloom.llm import bpe, decontaminate, descent, jaccard, langid, license, merkle, negatives, phrases, pii, tokens, toxicity, warc
 from routeloom.llm.common import held_out, table
 from routeloom.session import shared_dir
 
@@ -98,6 +98,10 @@ def op10_merkle_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
@@ -124,6 +128,7 @@ QUERIES = {
         op8_warc,
         op9_token_counts,
         op10_merkle_fingerprint,
+        op11_embedding_near_dedup,
         op12_hard_negatives,
         op13_collocations,
     )
