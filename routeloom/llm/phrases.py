@@ -1,8 +1,8 @@
 """Phrase collocations from weighted acyclic automata of n-gram counts.
 
 A task counts the n-grams of its texts in a bounded buffer.  Each time the buffer is full its
-n-grams are sorted, cut by prefix range (an interval of the hash of their first two words), and
-every piece is compiled into a count transducer: an acyclic automaton over (language, word,
+n-grams are sorted, cut by prefix range (an interval of the first word's hash, dealt out by the
+second), and every piece is compiled into a count transducer: an acyclic automaton over (language, word,
 word, ...) whose equal states are registered once.  An arc's weight is the number of n-grams
 before it, so the weights along a path sum to the n-gram's rank, which addresses its count.
 
@@ -67,9 +67,18 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """Number of the interval that holds the hash."""
-    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+def range_of(hashes: list[np.ndarray], ranges: int) -> np.ndarray:
+    """Number of an n-gram's prefix range, given its words' hashes.
+
+    The range is an interval of the first word's hash.  Longer n-grams have fewer, wider
+    intervals, each dealt out by the second word, so that no first word fills a range.
+    """
+    shift = np.uint64(32)
+    deal = math.isqrt(ranges) if len(hashes) > 1 else 1
+    at = (hashes[0] >> shift) * np.uint64(ranges // deal) >> shift
+    if deal > 1:
+        at = at * np.uint64(deal) + (hashes[1] >> shift) % np.uint64(deal)
+    return at.astype(np.int64)
 
 
 def prefix_hash(hashes: list[np.ndarray]) -> np.ndarray:
@@ -80,46 +89,69 @@ def prefix_hash(hashes: list[np.ndarray]) -> np.ndarray:
 class Transducer:
     """Sorted n-grams over byte labels with their counts, as a minimal acyclic automaton."""
 
-    def __init__(self, labels: list[bytes], first: np.ndarray, label: np.ndarray, target: np.ndarray, before: np.ndarray, counts: np.ndarray, depth: int):
-        self.labels, self.first, self.label, self.target, self.before, self.counts, self.depth = labels, first, label, target, before, counts, depth
+    def __init__(self, labels: list[bytes], width: np.ndarray, label: np.ndarray, target: np.ndarray, levels: np.ndarray, counts: np.ndarray):
+        """``width`` is the number of arcs of each state, ``levels`` the number of states per depth, from the end on."""
+        self.labels, self.width, self.label, self.target, self.levels, self.counts = labels, width, label, target, levels, counts
+        self.first = np.concatenate([[0], np.cumsum(width, dtype=np.int64)])
+        self.depth = len(levels)
+
+    def before(self) -> np.ndarray:
+        """Weight of each arc: the n-grams before it."""
+        below, out = np.ones(1, np.int64), []
+        ends = 1 + np.cumsum(self.levels)
+        for s, e in zip((ends - self.levels).tolist(), ends.tolist()):
+            reach = below[self.target[self.first[s] : self.first[e]]]
+            starts = self.first[s:e] - self.first[s]
+            earlier = np.cumsum(reach) - reach
+            out.append(earlier - np.repeat(earlier[starts], self.width[s:e]))
+            below = np.concatenate([below, np.add.reduceat(reach, starts)])
+        return np.concatenate(out)
 
     @classmethod
     def build(cls, labels: list[bytes], grams: np.ndarray, counts: np.ndarray) -> Transducer:
         """From sorted distinct rows of label numbers; states are made from the ends backwards."""
         n, depth = grams.shape
-        register: dict[tuple, int] = {}
-        first, label, target, before = [0, 0], [], [], []  # state 0 accepts
-        below = [1]
+        register: dict = {}  # states of one depth; those of others hold words of other lengths
+        sizes, label, target, levels = [np.zeros(1, np.int64)], [], [], []  # state 0 accepts
+        made = 1
         ends = np.arange(n)  # first row of each prefix of the length at hand
         states = np.zeros(n, np.int64)
-        size = 0
         for d in range(depth - 1, -1, -1):
+            new = np.arange(len(ends)) == 0
             if d:
                 rows = grams[ends, :d]
-                new = np.ones(len(ends), bool)
-                new[1:] = (rows[1:] != rows[:-1]).any(1)
-                starts = np.flatnonzero(new)
-            else:
-                starts = np.zeros(1, np.int64)
-            arcs = grams[ends, d].astype(np.int32)
-            goals = states.astype(np.int32)
-            made = []
-            for s, e in zip(starts.tolist(), starts[1:].tolist() + [len(ends)]):
-                key = (arcs[s:e].tobytes(), goals[s:e].tobytes())
+                new[1:] |= (rows[1:] != rows[:-1]).any(1)
+            starts = np.flatnonzero(new)
+            arcs, goals = grams[ends, d].astype(np.int64), states
+            width = np.diff(np.append(starts, len(ends)))
+            mine = np.empty(len(starts), np.int64)
+            begun = made
+            # states with one arc are told apart all at once
+            one = width == 1
+            keys, which = np.unique(arcs[starts[one]] << 32 | goals[starts[one]], return_inverse=True)
+            mine[one] = made + which
+            sizes.append(np.ones(len(keys), np.int64))
+            label.append(keys >> 32)
+            target.append(keys & 0xFFFFFFFF)
+            made += len(keys)
+            many = np.flatnonzero(~one)
+            found: list[int] = []
+            for g, s, e in zip(many.tolist(), starts[many].tolist(), (starts + width)[many].tolist()):
+                key = arcs[s:e].tobytes() if d == depth - 1 else (arcs[s:e].tobytes(), goals[s:e].tobytes())
                 state = register.get(key)
                 if state is None:
-                    state = register[key] = len(first) - 1
+                    state = register[key] = made
+                    made += 1
+                    found.append(g)
                     label.append(arcs[s:e])
                     target.append(goals[s:e])
-                    reach = np.array([below[t] for t in goals[s:e].tolist()]) if d < depth - 1 else np.ones(e - s, np.int64)
-                    before.append(np.cumsum(reach) - reach)
-                    below.append(int(reach.sum()))
-                    size += e - s
-                    first.append(size)
-                made.append(state)
-            ends, states = ends[starts], np.array(made, np.int64)
-        join = lambda parts: np.concatenate(parts).astype(np.int32) if parts else np.zeros(0, np.int32)
-        return cls(labels, np.array(first, np.int64), join(label), join(target), join(before), np.asarray(counts, np.int64), depth)
+                mine[g] = state
+            sizes.append(width[found])
+            register.clear()
+            levels.append(made - begun)
+            ends, states = ends[starts], mine
+        join = lambda parts: np.concatenate(parts).astype(np.int32)
+        return cls(labels, join(sizes), join(label), join(target), np.array(levels), np.asarray(counts, np.int64))
 
     def grams(self) -> np.ndarray:
         """All n-grams in order, as rows of label numbers."""
@@ -140,35 +172,42 @@ class Transducer:
         state, rank = np.full(n, len(self.first) - 2), np.zeros(n, np.int64)
         owner = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         keys = owner.astype(np.int64) << 32 | self.label
-        alive = np.ones(n, bool)
+        alive, before = np.ones(n, bool), self.before()
         for words in columns:
             code = np.fromiter((number.get(w, -1) for w in words), np.int64, n)
             key = state.astype(np.int64) << 32 | np.maximum(code, 0)
             arc = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             alive &= (code >= 0) & (keys[arc] == key)
             state = np.where(alive, self.target[arc], 0)
-            rank += np.where(alive, self.before[arc], 0)
+            rank += np.where(alive, before[arc], 0)
         return np.where(alive, rank, -1)
 
     def dump(self) -> bytes:
+        """The automaton as bytes; weights follow from its shape and are not stored."""
         text = b"".join(self.labels)
-        lengths = np.array([len(w) for w in self.labels], "<i4")
-        small = next(k for k in ("<u1", "<u2", "<u4", "<i8") if not len(self.counts) or self.counts.max() <= np.iinfo(k).max)
-        parts = [lengths, self.first.astype("<i8"), self.label.astype("<i4"), self.target.astype("<i4"), self.before.astype("<i4"), self.counts.astype(small)]
-        head = np.array([self.depth, len(text), np.dtype(small).itemsize, *map(len, parts)], "<i8")
-        return zstandard.ZstdCompressor(1).compress(head.tobytes() + b"".join(p.tobytes() for p in parts) + text)
+        lengths = np.fromiter(map(len, self.labels), np.int64, len(self.labels))
+        parts = [x.astype(_small(x)) for x in (lengths, self.width, self.label, self.target, self.levels, self.counts)]
+        head = np.array([len(text), *[x for p in parts for x in (len(p), p.itemsize)]], "<i8")
+        return zstandard.ZstdCompressor(3).compress(head.tobytes() + b"".join(p.tobytes() for p in parts) + text)
 
     @classmethod
     def load(cls, blob: bytes) -> Transducer:
         raw = zstandard.ZstdDecompressor().decompress(blob)
-        depth, n_text, width, *sizes = np.frombuffer(raw, "<i8", 9).tolist()
-        at, parts = 72, []
-        for size, kind in zip(sizes, ("<i4", "<i8", "<i4", "<i4", "<i4", {1: "<u1", 2: "<u2", 4: "<u4", 8: "<i8"}[width])):
-            parts.append(np.frombuffer(raw, kind, size, at))
-            at += size * np.dtype(kind).itemsize
-        ends = np.cumsum(parts[0]).tolist()
+        _, *shape = np.frombuffer(raw, "<i8", 13).tolist()
+        at, parts = 104, []
+        for size, width in zip(shape[::2], shape[1::2]):
+            parts.append(np.frombuffer(raw, f"<u{width}", size, at))
+            at += size * width
+        lengths, width, label, target, levels, counts = parts
+        ends = np.cumsum(lengths, dtype=np.int64).tolist()
         labels = [raw[at + s : at + e] for s, e in zip([0, *ends], ends)]
-        return cls(labels, parts[1], parts[2], parts[3], parts[4], parts[5].astype(np.int64), depth)
+        return cls(labels, width.astype(np.int64), label.astype(np.int32), target.astype(np.int32), levels.astype(np.int64), counts.astype(np.int64))
+
+
+def _small(values: np.ndarray) -> str:
+    """The narrowest unsigned type that holds all values."""
+    most = int(values.max()) if len(values) else 0
+    return next(k for k in ("<u1", "<u2", "<u4", "<u8") if most <= np.iinfo(k).max)
 
 
 def sum_equal(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,13 +222,20 @@ def sum_equal(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return grams[starts], np.add.reduceat(counts, starts)
 
 
-def compiled(words: list[bytes], grams: np.ndarray, counts: np.ndarray) -> Transducer:
-    """A transducer of distinct n-grams over ``words``; its labels are the words in use, in byte order."""
+def byte_order(words: list[bytes]) -> np.ndarray:
+    """Place of each word in byte order."""
+    place = np.empty(len(words), np.int64)
+    place[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+    return place
+
+
+def compiled(words: list[bytes], place: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> Transducer:
+    """A transducer of distinct n-grams over ``words`` (places by ``byte_order``); its labels are the words in use."""
     used = np.unique(grams)
-    used = used[np.argsort(np.array([words[k] for k in used.tolist()], object), kind="stable")] if len(used) else used
-    place = np.zeros(len(words) + 1, np.int64)
-    place[used] = np.arange(len(used))
-    rows = place[grams]
+    used = used[np.argsort(place[used])]
+    number = np.zeros(len(words), np.int64)
+    number[used] = np.arange(len(used))
+    rows = number[grams]
     order = np.lexsort(rows.T[::-1])
     return Transducer.build([words[k] for k in used.tolist()], rows[order], counts[order])
 
@@ -212,7 +258,12 @@ class Shard:
         return (self.known[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
     def add(self, found: list[bytes]) -> None:
-        codes = np.fromiter(map(self.words.__getitem__, found), np.int64, len(found))
+        if not found:
+            return
+        coded = pa.array(found, pa.binary()).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        number = np.fromiter(map(self.words.__getitem__, known), np.int64, len(known))
+        codes = number[coded.indices.to_numpy()]
         if len(self.words) > len(self.hashes):
             new = list(itertools.islice(self.words, len(self.hashes), None))
             self.hashes = np.concatenate([self.hashes, word_hash(self.lang, new)])
@@ -257,14 +308,15 @@ class Shard:
         keys, counts = self.keys[0], self.counts[0]
         mask = (1 << WORD_BITS) - 1
         grams = np.stack([keys >> WORD_BITS * (self.width - 1 - k) & mask for k in range(self.width)], 1)
-        at = range_of(prefix_hash([self.hashes[grams[:, k]] for k in range(self.width)]), ranges)
+        at = range_of([self.hashes[grams[:, k]] for k in range(self.width)], ranges)
         order = np.argsort(at, kind="stable")
         grams, counts, at = grams[order], counts[order], at[order]
         words = [*self.words, self.lang.encode()]
+        place = byte_order(words)
         starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         for s, e in zip(starts.tolist(), starts[1:].tolist() + [len(at)]):
             rows = np.concatenate([np.full((e - s, 1), len(words) - 1), grams[s:e]], 1)
-            yield int(at[s]), compiled(words, rows, counts[s:e]).dump()
+            yield int(at[s]), compiled(words, place, rows, counts[s:e]).dump()
 
 
 @task_cache(1)
@@ -336,7 +388,7 @@ def _by_range(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tu
                 yield tuple(int(c[s]) for c in columns), batch.slice(s, e - s)
 
 
-def unite(pages: DataFrame, width: int, ranges: int, least: int) -> DataFrame:
+def unite(pages: DataFrame, ranges: int, least: int) -> DataFrame:
     """``range, n_grams, page, langs, totals``: per range one transducer of the n-grams with ``least`` or more.
 
     ``langs`` and ``totals`` are the occurrences of all n-grams of the range, rare ones too.
@@ -356,10 +408,10 @@ def unite(pages: DataFrame, width: int, ranges: int, least: int) -> DataFrame:
             for _, part in parts:
                 for page in part.column(1):
                     t = Transducer.load(page.as_py())
-                    code = np.fromiter(map(words.__getitem__, t.labels), np.int64, len(t.labels))
+                    code = np.fromiter(map(words.__getitem__, t.labels), np.int32, len(t.labels))
                     held.append((code[t.grams()], t.counts))
                     count += len(t.counts)
-                    if count > 4 * SHARD_GRAMS:
+                    if count > 2 * SHARD_GRAMS:
                         held = [sum_equal(*map(np.concatenate, zip(*held)))]
                         count = len(held[0][0]) // 2
             grams, counts = sum_equal(*map(np.concatenate, zip(*held)))
@@ -368,7 +420,7 @@ def unite(pages: DataFrame, width: int, ranges: int, least: int) -> DataFrame:
             totals = np.add.reduceat(counts, starts)
             langs = [names[k].decode() for k in grams[starts, 0].tolist()]
             keep = counts >= least
-            page = compiled(names, grams[keep], counts[keep]).dump() if keep.any() else None
+            page = compiled(names, byte_order(names), grams[keep], counts[keep]).dump() if keep.any() else None
             columns = [[which], [int(keep.sum())], [page], [langs], [totals.tolist()]]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
@@ -417,7 +469,7 @@ def _number(width: int, which: np.ndarray | int, rank: np.ndarray) -> np.ndarray
 def requests(united: dict[int, DataFrame], ranges: dict[int, int]) -> tuple[DataFrame, DataFrame]:
     """Candidates (``cid, lang, phrase, a``) and what they ask for (``width, range, cid, cut, side, a, lang, part``).
 
-    ``part`` is the part's words joined by spaces; a request goes to the range of its first two words.
+    ``part`` is the part's words joined by spaces; a request goes to the part's range.
     """
     found, asked = [], []
     for width, pages in united.items():
@@ -443,7 +495,7 @@ def requests(united: dict[int, DataFrame], ranges: dict[int, int]) -> tuple[Data
                     for cut in range(1, width):
                         for side, chosen in enumerate((slice(0, cut), slice(cut, width))):
                             size = len(columns[chosen])
-                            at = range_of(prefix_hash(hashes[chosen]), ranges[size])
+                            at = range_of(hashes[chosen], ranges[size])
                             text = [b" ".join(x) for x in zip(*columns[chosen])]
                             fixed = [np.full(len(cid), x, np.int32) for x in (size, cut, side)]
                             yield fixed[0], at, cid, fixed[1], fixed[2], t.counts, langs, text
@@ -515,8 +567,7 @@ def collocations(
     united: dict[int, DataFrame] = {}
     known = None
     for width in range(1, longest + 1):
-        pages = cut_lineage(count_pages(docs, width, n_ranges, known))
-        united[width] = unite(pages, width, n_ranges, least)
+        united[width] = unite(count_pages(docs, width, n_ranges, known), n_ranges, least)
         if width < longest:
             known = bitmap_of(united[width])
 
