@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import json
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # The technology terms, signal words and forbidden terms below must
@@ -178,30 +175,34 @@ def reply_text(body: Column) -> Column:
 
 
 def first_json_object(text: Column) -> Column:
-    """Text of the first object in a reply that can be decoded, else null.
+    """Text of the first object in a reply that reads as JSON, else null.
 
-    Only fences around the whole reply are dropped.  Every brace is tried in turn, which
-    needs a decoder: braces inside strings and unfinished objects rule out a pattern.
+    A code fence around the whole reply is dropped.  The opening braces are tried in order,
+    later ones only while none has been read; an object with a repeated key does not read.
+    Its end is where the braces outside of strings balance.
     """
-
-    @F.pandas_udf("string")
-    def found(replies: pd.Series) -> pd.Series:
-        decoder = json.JSONDecoder()
-        fence = re.compile(r"^\s*```(?:json)?\s*|\s*```\s*$", re.IGNORECASE)
-
-        def first(reply: str | None) -> str | None:
-            bare = fence.sub("", (reply or "").strip())
-            at = bare.find("{")
-            while at >= 0:
-                try:
-                    return bare[at : decoder.raw_decode(bare, at)[1]]
-                except (ValueError, RecursionError):
-                    at = bare.find("{", at + 1)
-            return None
-
-        return replies.map(first, na_action="ignore")
-
-    return found(text)
+    bare = F.regexp_replace(strip(text), "(?i)\\A```(?:json)?\\s*|\\s*```\\z", "")
+    pieces = F.split(bare, "\\{")
+    before_braces = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    rest = lambda at: F.substring(bare, at, F.length(bare))
+
+    def visit(state: Column, piece: Column) -> Column:
+        at = state["at"] + F.length(piece) + 1
+        reads = F.when(F.try_parse_json(rest(at)).isNotNull(), at)
+        return F.struct(at.alias("at"), F.coalesce(state["found"], reads).alias("found"))
+
+    none = F.lit(None).cast("int")
+    start = F.aggregate(before_braces, F.struct(F.lit(0).alias("at"), none.alias("found")), visit)["found"]
+    plain = F.regexp_replace(rest(start), "(?s)\\\\.", "__")  # escapes keep their length but end no string
+    tokens = F.regexp_extract_all(plain, F.lit('"[^"]*"|[{}]|[^"{}]+'), F.lit(0))
+
+    def close(state: Column, token: Column) -> Column:
+        depth = state["depth"] + F.when(token == "{", 1).when(token == "}", -1).otherwise(0)
+        size = state["size"] + F.when(state["open"], F.length(token)).otherwise(0)
+        return F.struct(depth.alias("depth"), size.alias("size"), (state["open"] & (depth > 0)).alias("open"))
+
+    opened = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("size"), F.lit(True).alias("open"))
+    return F.when(start.isNotNull(), F.substring(bare, start, F.aggregate(tokens, opened, close)["size"]))
 
 
 #: Namespace of name-based identifiers of addresses (RFC 4122); a fixed value.

@@ -39,3 +39,18 @@ def test_identifier_is_the_name_based_one(spark):
 
 def test_slug_of_nothing(spark):
     assert one(spark, ["..", " a b "], tx.safe_slug) == ["skill", "a_b"]
+
+
+def test_first_object_forms(spark):
+    deep = '{"a":' * 30 + "1" + "}" * 30
+    asked = {
+        'He said "hi {"a":"}{"} there': '{"a":"}{"}',
+        '{bad {"b":2.0} }': '{"b":2.0}',
+        '{"t":"a \\"quoted} \\\\"}}': '{"t":"a \\"quoted} \\\\"}',
+        f"x {deep}}}": deep,
+        '```JSON {"k":"é"}\n``` ': '{"k":"é"}',
+        "{" * 50: None,
+        '{"a":1,"a":2}': None,
+        "": None,
+    }
+    assert one(spark, [*asked, None], tx.first_json_object) == [*asked.values(), None]
