@@ -8,7 +8,7 @@ from conftest import rows
 from routeloom.functions import text as tx
 from routeloom.operators import infer, reqlog
 from routeloom.sources import files, sinks
-from routeloom.streaming.health import HealthStream
+from routeloom.streaming import health
 from routeloom.streaming.publish import publish_stream, published
 
 
@@ -155,19 +155,50 @@ def test_front_matter(spark):
     assert not any(f.ok for f in got[2:])
 
 
+def attempts_log(spark):
+    from datetime import datetime, timedelta
+
+    def row(i):
+        status = "failed" if i % 5 in (0, 1) or 40 <= i < 70 else "accepted"
+        return (i, datetime(2024, 1, 1) + timedelta(seconds=i // 2), f"r{i % 2}", f"p{i % 3 % 2}", status, i % 10 == 5, float(i * 7 % 23) * (1 + i % 2 * 3))
+
+    schema = "event_id long, ts timestamp, route string, phase string, status string, invalid boolean, latency double"
+    return spark.createDataFrame([row(i) for i in range(200)], schema)
+
+
+def streamed(spark, tmp_path, df, make):
+    """Three arrivals in separate runs, a part of each late, then rows that only move the watermark on."""
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    end = df.limit(1).selectExpr("event_id", "timestamp '2030-01-01' AS ts", "null AS route", "null AS phase", "null AS status", "null AS invalid", "null AS latency")
+    late = F.when(F.col("event_id") % 7 == 0, 30).otherwise(0)
+    for k, (low, high) in enumerate(((0, 80), (80, 130), (130, 300))):
+        at = F.col("event_id") + late
+        part = df.where((at >= low) & (at < high))
+        (part.unionByName(end) if k == 2 else part).write.mode("append").parquet(src)
+        stream = spark.readStream.schema(df.schema).parquet(src).withWatermark("ts", "60 seconds")
+        health.start(make(stream), out, str(tmp_path / "checkpoint")).awaitTermination()
+    return spark.read.parquet(out)
+
+
 def test_health_stream_equals_batch(spark, tmp_path):
-    data = [(i, i, f"r{i % 2}", "p", "failed" if i % 5 == 0 else "accepted", False, float(i % 7)) for i in range(90)]
-    df = spark.createDataFrame(data, "event_id long, ts long, route string, phase string, status string, invalid boolean, latency double")
-    src, health = str(tmp_path / "src"), HealthStream(spark, str(tmp_path / "state"))
-    for low in (0, 25, 60):
-        df.where((F.col("ts") >= low) & (F.col("ts") < {0: 25, 25: 60, 60: 90}[low])).write.mode("append").parquet(src)
-        health.start(spark.readStream.schema(df.schema).parquet(src)).awaitTermination()
-    want = rows(reqlog.error_window(df), "event_id", "rate", "seen", "flagged")
-    assert rows(health.flags(), "event_id", "rate", "seen", "flagged") == want
-    batch = {(r.route, r.phase): r for r in reqlog.latency_ewma(df).collect()}
-    for r in health.averages(2).collect():
-        assert r.samples == batch[r.route, r.phase].samples
-        assert r.ewma == pytest.approx(batch[r.route, r.phase].ewma)
+    df = attempts_log(spark)
+    got = streamed(spark, tmp_path, df, health.route_health_stream)
+    assert got.count() == df.count()
+    flags = got.where("seen is not null")
+    assert rows(flags, "event_id", "rate", "seen", "flagged") == rows(reqlog.error_window(df), "event_id", "rate", "seen", "flagged")
+    assert flags.where("flagged").count() > 0 and got.where("failures_before = 10").count() > 0
+    wins = got.where("failures_before is not null")
+    assert rows(wins, "event_id", "failures_before") == rows(reqlog.failure_runs(df), "event_id", "failures_before")
+
+
+def test_latency_stream_equals_batch(spark, tmp_path):
+    df = attempts_log(spark)
+    got = {(r.route, r.phase): r for r in health.latest(streamed(spark, tmp_path, df, health.latency_stream)).collect()}
+    want = {(r.route, r.phase): r for r in reqlog.latency_ewma(df).collect()}
+    assert got.keys() == want.keys() and any(r.slow for r in want.values())
+    for key, r in want.items():
+        assert (got[key].samples, got[key].slow) == (r.samples, r.slow)
+        assert got[key].ewma == pytest.approx(r.ewma) and got[key].best == pytest.approx(r.best)
 
 
 def test_publish_keeps_the_latest_epoch(spark, tmp_path):
