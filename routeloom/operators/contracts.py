@@ -117,7 +117,7 @@ def _keys_are(keys: Column, allowed: Sequence[str]) -> Column:
 
 
 def _texts(field: str) -> Column:
-    return F.transform("_items", lambda i: F.when(i[f"{field}_type"] == "STRING", F.trim(i[field])))
+    return F.transform("_items", lambda i: F.when(i[f"{field}_type"] == "STRING", tx.strip(i[field])))
 
 
 def check_route_reply(df: DataFrame, body: str, supplied: str) -> DataFrame:
@@ -170,6 +170,21 @@ def segment_rules(levels: Column, texts: Column) -> Rules:
     ]
 
 
+def segment_sets(rows: DataFrame, key: str, pos: str, level: str, text: str) -> DataFrame:
+    """First broken rule of each set of segments (``key, n, rule, ok``), sets of any size.
+
+    Sets of the wrong size are told by their count alone, so only sets of three rows are
+    ever put together.
+    """
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    right = rows.join(sizes.where(F.col("n") == len(LEVELS)), key)
+    packed = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("pos"), F.col(level).alias("level"), F.col(text).alias("text"))))
+    sets = right.groupBy(key, "n").agg(packed.alias("s"))
+    judged = check(sets, segment_rules(F.transform("s", lambda x: x["level"]), F.transform("s", lambda x: x["text"])))
+    wrong = sizes.where(F.col("n") != len(LEVELS)).select(key, "n", F.lit("count").alias("rule"), F.lit(False).alias("ok"))
+    return judged.select(key, "n", "rule", "ok").unionByName(wrong)
+
+
 def category_rules(name: Column, description: Column, strict: bool = False) -> Rules:
     """Snake-case name and a positive ``Fits`` statement (``strict``: the literal word)."""
     fits = description.contains("Fits ") if strict else description.rlike("(?i)\\bfits\\b")

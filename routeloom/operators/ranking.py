@@ -64,11 +64,18 @@ def hit_flags(rank: Column) -> dict[str, Column]:
     return {f"hit_{k}": F.coalesce(rank <= k, F.lit(False)) for k in (1, 5, 10)}
 
 
-def cumulative_texts(df: DataFrame, key: str, level: str, text: str, levels: Sequence[str]) -> DataFrame:
-    """For each level the texts of all levels up to it, in the fixed level order."""
-    wide = df.groupBy(key).agg(
-        *[F.max(F.when(F.col(level) == name, F.col(text))).alias(f"_{i}") for i, name in enumerate(levels)]
-    )
+def cumulative_texts(df: DataFrame, key: str, level: str, text: str, levels: Sequence[str], pos: str | None = None) -> DataFrame:
+    """For each level the texts of all levels up to it, in the fixed level order.
+
+    Several texts of a level are joined by line breaks, in the order of ``pos``.
+    """
+    at = F.col(pos) if pos else F.lit(0)
+
+    def joined(name: str) -> Column:
+        rows = F.array_sort(F.collect_list(F.when((F.col(level) == name) & F.col(text).isNotNull(), F.struct(at.alias("at"), F.col(text).alias("t")))))
+        return F.when(F.size(rows) > 0, F.array_join(F.transform(rows, lambda r: r["t"]), "\n"))
+
+    wide = df.groupBy(key).agg(*[joined(name).alias(f"_{i}") for i, name in enumerate(levels)])
     upto = [
         F.when(
             F.col(f"_{i}").isNotNull(),

@@ -98,11 +98,10 @@ def attempt_history(log: DataFrame, limit: int = 3) -> DataFrame:
 
 
 def retry_candidates(log: DataFrame, limit: int = 3) -> DataFrame:
-    """Calls never accepted and still under the limit, with the message to feed back."""
-    calls = attempt_history(log, limit)
-    return calls.where(F.col("accepted_at").isNull() & (F.col("attempts") < limit)).select(
-        "call_id", "attempts", F.coalesce("last_error", F.lit("")).alias("feedback")
-    )
+    """Calls never accepted: to be asked again with the last error as feedback, or given up at the limit."""
+    calls = attempt_history(log, limit).where(F.col("accepted_at").isNull())
+    state = F.when(F.col("attempts") < limit, "retry").otherwise("exhausted")
+    return calls.select("call_id", "attempts", state.alias("state"), F.when(state == "retry", F.coalesce("last_error", F.lit(""))).alias("feedback"))
 
 
 def usage_rollup(log: DataFrame) -> DataFrame:

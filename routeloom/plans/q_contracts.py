@@ -112,19 +112,18 @@ def nonblank_fields(v):
 
 @query(
     "segments_contract",
-    """SELECT conv_id, CASE WHEN n <> 3 THEN 'count' WHEN swapped THEN 'order' END AS rule FROM (SELECT conv_id,
-  count(*) FILTER (WHERE turn < 3) AS n, min(role) FILTER (WHERE turn = 0) = 'system' AS swapped FROM conversations GROUP BY conv_id)""",
+    """SELECT conv_id, n, CASE WHEN n <> 3 THEN 'count' WHEN swapped THEN 'order' WHEN blank THEN 'text' END AS rule FROM (SELECT conv_id,
+  count(*) AS n, min(role) FILTER (WHERE turn = 0) = 'system' AS swapped, count(*) FILTER (WHERE trim(coalesce(text, ''), ' ' || chr(9) || chr(10) || chr(13)) = '') > 0 AS blank
+  FROM conversations GROUP BY conv_id)""",
 )
 def segments_contract(v):
-    """Turns 0..2 as levels; where a system turn opens the talk its level comes last."""
-    level = F.when((F.col("turn") == 0) & (F.col("role") == "system"), "interaction").otherwise(
-        F.element_at(F.array(*[F.lit(x) for x in ct.LEVELS]), (F.col("turn") + 1).cast("int"))
+    """Every turn of a talk as a segment; where a system turn opens the talk its level comes last."""
+    level = (
+        F.when((F.col("turn") == 0) & (F.col("role") == "system"), "interaction").when(F.col("turn") == 0, "goal")
+        .when(F.col("turn") == 1, "experience").otherwise("interaction")
     )
-    rows = v.table("conversations").withColumn("s", F.when(F.col("turn") < 3, F.struct("turn", level.alias("level"), "text")))
-    # Three segments per talk at most: other turns are null and not collected.
-    sets = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("s")).alias("s"))
-    rules = ct.segment_rules(F.transform("s", lambda x: x["level"]), F.transform("s", lambda x: x["text"]))
-    return ct.check(sets, rules).select("conv_id", "rule")
+    rows = v.table("conversations").withColumn("level", level)
+    return ct.segment_sets(rows, "conv_id", "turn", "level", "text").select("conv_id", "n", "rule")
 
 
 _TERMS = ", ".join(

@@ -168,14 +168,14 @@ def source_ranks(v):
 
 @query(
     "request_levels",
-    """SELECT conv_id, CASE turn WHEN 0 THEN 'goal' WHEN 1 THEN 'experience' ELSE 'interaction' END AS level,
-  md5(string_agg(text, chr(10)) OVER (PARTITION BY conv_id ORDER BY turn)) AS digest
-FROM conversations WHERE turn < 3""",
+    """SELECT conv_id, level, md5(string_agg(t, chr(10)) OVER (PARTITION BY conv_id ORDER BY lv)) AS digest FROM (
+  SELECT conv_id, least(turn, 2) AS lv, CASE least(turn, 2) WHEN 0 THEN 'goal' WHEN 1 THEN 'experience' ELSE 'interaction' END AS level,
+    string_agg(text, chr(10) ORDER BY turn) AS t FROM conversations GROUP BY ALL)""",
 )
 def request_levels(v):
+    """All turns of a talk: the first is the goal, the second the experience, later ones are interaction."""
     levels = ["goal", "experience", "interaction"]
-    rows = v.table("conversations").where("turn < 3").withColumn(
-        "level", F.element_at(F.array(*[F.lit(x) for x in levels]), (F.col("turn") + 1).cast("int"))
-    )
-    got = ranking.cumulative_texts(rows, "conv_id", "level", "text", levels)
+    at = F.least(F.col("turn"), F.lit(2)).cast("int")
+    rows = v.table("conversations").withColumn("level", F.element_at(F.array(*[F.lit(x) for x in levels]), at + 1))
+    got = ranking.cumulative_texts(rows, "conv_id", "level", "text", levels, "turn")
     return got.select("conv_id", "level", F.md5("request").alias("digest"))

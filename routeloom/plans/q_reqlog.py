@@ -79,13 +79,15 @@ def attempt_history(v):
 
 @query(
     "retry_candidates",
-    """SELECT call_id, count(*) AS attempts, arg_max(error, attempt) AS feedback FROM attempt
-WHERE attempt <= 2 GROUP BY call_id HAVING count(*) FILTER (WHERE status = 'accepted') = 0 AND count(*) < 3""",
+    """SELECT call_id, cap, n AS attempts, CASE WHEN n < cap THEN 'retry' ELSE 'exhausted' END AS state, CASE WHEN n < cap THEN coalesce(last_error, '') END AS feedback FROM (
+  SELECT call_id, count(*) AS n, last(error ORDER BY attempt) AS last_error FROM attempt GROUP BY call_id HAVING count(*) FILTER (WHERE status = 'accepted') = 0),
+  (SELECT unnest([3, 4]) AS cap)""",
     ("attempt",),
 )
 def retry_candidates(v):
-    """Calls as they stood after the second attempt."""
-    return reqlog.retry_candidates(v.attempt.where("attempt <= 2"))
+    """All attempts of all calls, under a limit of three (calls with three are exhausted) and of four."""
+    caps = [reqlog.retry_candidates(v.attempt, cap).withColumn("cap", F.lit(cap)) for cap in (3, 4)]
+    return caps[0].unionByName(caps[1])
 
 
 @query(
