@@ -188,20 +188,25 @@ def parent_evidence(
     min_support: int = 2, max_relations: int = 160, min_relations: int = 8, min_skills: int = 12,
     fraction: float = 0.6, max_splits: int = 0, indirect: bool = False,
 ) -> dict[str, DataFrame]:
-    """All evidence of a round: retained relations, misses, involved skills and one summary per parent."""
+    """All evidence of a round: retained relations, misses, involved skills and one summary per parent.
+
+    ``rows`` is the payload: every request of every retained relation, with source, reason and
+    distinction, one row each (parent, a, b, relation, support, rank, query_id, ...).
+    """
     direct = members.groupBy(F.col("node").alias("parent")).agg(F.countDistinct("skill").alias("direct_skills"))
     parents = nodes.select(F.col("name").alias("parent")).join(direct, "parent", "left").na.fill(0, ["direct_skills"])
     if not indirect:
         parents = parents.where("direct_skills > 0")
     relations = repeated_relations(relations, min_support)
     placed = evidence_parents(relations, members, depth, nodes)
-    supported = relation_support(relation_rows(relations, placed), min_support)
-    top = relations_topk(supported, max_relations).join(parents.select("parent"), "parent", "left_semi")
+    placed_rows = cut_lineage(relation_rows(relations, placed).join(parents.select("parent"), "parent", "left_semi"))
+    top = relations_topk(relation_support(placed_rows, min_support), max_relations)
     misses = repeated_miss(miss_rows(diagnoses, members, nodes), min_support).join(
         parents.select("parent"), "parent", "left_semi"
     )
     # Both are read several times below; they are tables of the round in any case.
     top, misses = cut_lineage(top), cut_lineage(misses)
+    rows = placed_rows.join(top.select(*KEY, "support", "rank"), KEY)
     splits = select_split_parents(split_eligibility(top, skills, min_relations, min_skills, fraction), max_splits)
     involved = involved_skills(top, misses, skills, members)
     n_rel = top.groupBy("parent").agg(F.count(F.lit(1)).alias("relations"))
@@ -216,7 +221,7 @@ def parent_evidence(
         .na.fill(0, ["relations", "misses", "involved", "minimum_move"])
         .na.fill(False, ["split_required"])
     )
-    return {"relations": top, "misses": misses, "involved": involved, "splits": splits, "summary": summary}
+    return {"relations": top, "rows": rows, "misses": misses, "involved": involved, "splits": splits, "summary": summary}
 
 
 def typed_evidence(top: DataFrame, misses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -8,6 +8,7 @@ from routeloom.plans import (  # noqa: F401
     q_graph,
     q_io,
     q_patches,
+    q_proposals,
     q_ranking,
     q_reqlog,
     q_resume,
