@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,6 +15,8 @@ from routeloom.functions import vector as vx
 
 BLOCK_ROWS = 4096
 MIXTURE_ROWS = 256
+#: Passes of a mixture between two written states and tests of convergence.
+PASSES = 5
 
 
 def group_means(df: DataFrame, group: str, vec: str, out: str = "mean") -> DataFrame:
@@ -234,10 +239,6 @@ def _maximise(nk: np.ndarray, s1: np.ndarray, s2: np.ndarray, n: float, reg: flo
     return nk / nk.sum(), mu, np.maximum(s2 / nk[:, None] - mu**2, 0) + reg
 
 
-def _bic(ll: float, n: int, k: int, d: int) -> float:
-    return -2 * ll + (2 * k * d + k - 1) * np.log(n)
-
-
 def _starts(df: DataFrame, group: str, key: str, vec: str, most: int, seed: int) -> DataFrame:
     """The rows a group's components start from: fixed by a hash of the key."""
     from routeloom.operators import ordered
@@ -289,81 +290,101 @@ def _mixture_by_blocks(rows, starts, group, group_type, ks, max_iter, reg, tol)
     )
     packed = F.array_sort(F.collect_list(F.struct("_d", "_s")))
     spread = dims.groupBy(group).agg(F.transform(packed, lambda s: s["_s"]).alias("_var"), F.max("_n").alias("n"))
-    k = F.explode(F.array(*[F.lit(x) for x in ks]))
+    one_state = "struct<k:int,n:bigint,w:array<double>,mu:array<double>,var:array<double>,last:double,converged:boolean,iterations:int>"
     flat = "array<double>"
-    state = (
-        starts.join(spread, group).withColumn("k", k).where(F.col("k") <= F.col("n")).select(
-            group, "k", "n",
-            F.transform(F.sequence(F.lit(1), F.col("k")), lambda _: F.lit(1.0) / F.col("k")).alias("w"),
-            F.flatten(F.slice("_start", F.lit(1), F.col("k"))).cast(flat).alias("mu"),
-            F.flatten(F.transform(F.sequence(F.lit(1), F.col("k")), lambda _: F.transform("_var", lambda s: s + reg))).alias("var"),
+    begun = F.transform(
+        F.filter(F.array(*[F.lit(x) for x in ks]), lambda k: k <= F.col("n")),
+        lambda k: F.struct(
+            k.alias("k"), F.col("n").cast("bigint").alias("n"), F.transform(F.sequence(F.lit(1), k), lambda _: F.lit(1.0) / k).alias("w"),
+            F.flatten(F.slice("_start", F.lit(1), k)).cast(flat).alias("mu"),
+            F.flatten(F.transform(F.sequence(F.lit(1), k), lambda _: F.transform("_var", lambda s: s + reg))).alias("var"),
             F.lit(float("-inf")).alias("last"), F.lit(False).alias("converged"), F.lit(0).alias("iterations"),
-        )
+        ),
     )
-    state = cut_lineage(state)
-    sums_schema = f"{group} {group_type}, k int, pos int, s double"
+    state = starts.join(spread, group).select(group, begun.cast(f"array<{one_state}>").alias("_state")).where(F.size("_state") > 0)
+    fields = ["k", "n", "w", "mu", "var", "last", "converged", "iterations"]
+    part_schema = f"{group} {group_type}, k int, n bigint, w {flat}, mu {flat}, var {flat}, last double, converged boolean, iterations int, total {flat}"
+
+    def step(states: DataFrame, last_pass: bool) -> DataFrame:
+        """One pass: a block's sums leave it as one array per (group, k), with the state they belong to, and are added in one shuffle."""
+
+        def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            kept: dict = {}
+            for pdf in batches:
+                for g, m, flat_rows, fits in zip(pdf[group], pdf["_m"], pdf["_x"], pdf["_state"]):
+                    x = np.reshape(flat_rows, (m, -1))
+                    for s in fits:
+                        total = np.zeros(0)
+                        if last_pass or not s["converged"]:
+                            shape = (s["k"], x.shape[1])
+                            nk, s1, s2, ll = _expect(x, np.asarray(s["w"]), np.reshape(s["mu"], shape), np.reshape(s["var"], shape))
+                            total = np.concatenate([[ll], nk, s1.ravel(), s2.ravel()])
+                        if (g, s["k"]) in kept:
+                            kept[g, s["k"]][1] += total
+                        else:
+                            kept[g, s["k"]] = [s, total]
+                if len(kept) > 2000:
+                    yield rows_of(kept)
+                    kept = {}
+            if kept:
+                yield rows_of(kept)
+
+        def rows_of(kept: dict) -> pd.DataFrame:
+            made = [(g, *[s[f] for f in fields], total) for (g, _), (s, total) in kept.items()]
+            return pd.DataFrame(made, columns=[group, *fields, "total"])
+
+        def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            now, held = None, {}
+            for pdf in batches:
+                out = []
+                for row in pdf.to_dict("records"):
+                    if held and row[group] != now:
+                        out.append((now, [end(s, t) for s, t in held.values()]))
+                        held = {}
+                    now = row[group]
+                    if row["k"] in held:
+                        held[row["k"]][1] += row["total"]
+                    else:
+                        held[row["k"]] = [row, np.array(row["total"], float)]
+                if out:
+                    yield pd.DataFrame(out, columns=[group, "_state"])
+            if held:
+                yield pd.DataFrame([(now, [end(s, t) for s, t in held.values()])], columns=[group, "_state"])
+
+        def end(s: dict, total: np.ndarray) -> dict:
+            kk, n = int(s["k"]), int(s["n"])
+            new = {f: s[f] for f in fields} | {"w": list(s["w"]), "mu": list(s["mu"]), "var": list(s["var"])}
+            if last_pass:
+                return new | {"last": float(total[0])}
+            if s["converged"]:
+                return new
+            d = (len(total) - 1 - kk) // (2 * kk)
+            ll, nk = total[0], total[1 : 1 + kk]
+            s1 = total[1 + kk : 1 + kk + kk * d].reshape(kk, d)
+            s2 = total[1 + kk + kk * d :].reshape(kk, d)
+            new["iterations"] += 1
+            if abs(ll / n - s["last"]) < tol:
+                return new | {"converged": True}
+            w, mu, var = _maximise(nk, s1, s2, n, reg)
+            return new | {"last": float(ll / n), "w": w.tolist(), "mu": mu.ravel().tolist(), "var": var.ravel().tolist()}
+
+        sums = blocks.join(states, group).mapInPandas(partial, part_schema)
+        dealt = sums.repartition(group).sortWithinPartitions(group, "k")
+        return dealt.mapInPandas(fold, f"{group} {group_type}, _state array<{one_state}>")
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
-        for pdf in batches:
-            for g, m, flat_rows, states in zip(pdf[group], pdf["_m"], pdf["_x"], pdf["_state"]):
-                x = np.reshape(flat_rows, (m, -1))
-                for s in states:
-                    kk = s["k"]
-                    shape = (kk, x.shape[1])
-                    nk, s1, s2, ll = _expect(x, np.asarray(s["w"]), np.reshape(s["mu"], shape), np.reshape(s["var"], shape))
-                    total = np.concatenate([[ll], nk, s1.ravel(), s2.ravel()])
-                    kept[g, kk] = kept.get((g, kk), 0) + total
-        for (g, kk), total in kept.items():
-            yield pd.DataFrame({group: g, "k": kk, "pos": np.arange(len(total), dtype="int32"), "s": total})
-
-    def sums(states: DataFrame) -> DataFrame:
-        by_group = states.groupBy(group).agg(F.collect_list(F.struct("k", "w", "mu", "var")).alias("_state"))
-        spread_rows = blocks.join(by_group, group).mapInPandas(partial, sums_schema)
-        added = spread_rows.groupBy(group, "k", "pos").agg(F.sum("s").alias("s"))
-        ordered_sums = F.array_sort(F.collect_list(F.struct("pos", "s")))
-        return added.groupBy(group, "k").agg(F.transform(ordered_sums, lambda p: p["s"]).alias("_sums"))
-
-    def advance(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf.copy()
-            for i in pdf.index:
-                kk, n = int(pdf.at[i, "k"]), int(pdf.at[i, "n"])
-                total = np.asarray(pdf.at[i, "_sums"])
-                d = (len(total) - 1 - kk) // (2 * kk)
-                ll, nk = total[0], total[1 : 1 + kk]
-                s1 = total[1 + kk : 1 + kk + kk * d].reshape(kk, d)
-                s2 = total[1 + kk + kk * d :].reshape(kk, d)
-                out.at[i, "iterations"] = pdf.at[i, "iterations"] + 1
-                if abs(ll / n - pdf.at[i, "last"]) < tol:
-                    out.at[i, "converged"] = True
-                    continue
-                w, mu, var = _maximise(nk, s1, s2, n, reg)
-                out.at[i, "last"] = ll / n
-                out.at[i, "w"], out.at[i, "mu"], out.at[i, "var"] = w.tolist(), mu.ravel().tolist(), var.ravel().tolist()
-            yield out.drop(columns="_sums")
-
-    finished = []
-    live = state
-    for _ in range(max_iter):
-        live = cut_lineage(live.join(sums(live), [group, "k"]).select(*state.columns, "_sums").mapInPandas(advance, state.schema))
-        finished.append(live.where("converged"))
-        live = live.where("NOT converged")
-        if live.isEmpty():
+    state = cut_lineage(state)
+    for done in range(0, max_iter, PASSES):
+        for _ in range(min(PASSES, max_iter - done)):
+            state = step(state, False)
+        state = cut_lineage(state)
+        if state.where(F.exists("_state", lambda s: ~s["converged"])).isEmpty():
             break
-    else:
-        finished.append(live)
-    final = finished[0]
-    for other in finished[1:]:
-        final = final.unionByName(other)
-    final = cut_lineage(final)
+    final = step(state, True).select(group, F.inline("_state"))
     d = F.size("mu") / F.col("k")
-    bic = -2 * F.col("_sums")[0] + (2 * F.col("k") * d + F.col("k") - 1) * F.log(F.col("n"))
+    bic = -2 * F.col("last") + (2 * F.col("k") * d + F.col("k") - 1) * F.log(F.col("n"))
     width = d.cast("int")
     means = F.transform(F.sequence(F.lit(0), F.col("k") - 1), lambda c: F.slice("mu", c * width + 1, width))
-    return final.join(sums(final), [group, "k"]).select(
-        group, "k", bic.alias("bic"), "converged", "iterations", F.col("w").alias("weights"), means.alias("means")
-    )
+    return final.select(group, "k", bic.alias("bic"), "converged", "iterations", F.col("w").alias("weights"), means.alias("means"))
 
 
 def bic_select(fits: DataFrame, group: str) -> DataFrame:
@@ -406,38 +427,50 @@ def distinct_medoids(df: DataFrame, means: DataFrame, group: str, key: str, vec:
     return near.groupBy(group).applyInPandas(pick, f"{group} {types[group]}, component int, {key} {types[key]}, cosine double")
 
 
+def hashed_text(text: str | None, dims: int) -> np.ndarray:
+    """Signed counts of the 1 to 3 character pieces of a text's words, by hash; zeros where there is no letter or digit."""
+    out = np.zeros(dims)
+    words = re.findall(r"[^\W_]+", unicodedata.normalize("NFKC", text or "").casefold())
+    for word in words:
+        marked = f"\x02{word}\x03"
+        for size in (1, 2, 3):
+            for at in range(len(marked) - size + 1):
+                h = zlib.crc32(marked[at : at + size].encode())
+                out[h % dims] += 1.0 if h & 0x80000000 else -1.0
+    return out
+
+
 def embed_texts(
     df: DataFrame, text: str, out: str = "embedding", encoder: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
     instruction: str = "", batch: int = 32, dims: int = 256,
 ) -> DataFrame:
-    """Unit text vectors.
+    """Unit text vectors (``array<float>``) in column ``out`` and their state in ``<out>_state``.
 
-    ``encoder`` is a factory called once per Python worker; it returns a function
-    from a list of texts to a matrix.  Without one, hashed word counts are used.
+    ``encoder`` is a factory called once per Python worker; it returns a function from a list
+    of texts to a matrix.  Without one, character pieces are counted by signed hashes, which
+    works for any script.  A null or blank text, and one whose vector is zero or not finite,
+    has a null vector and the state ``blank`` or ``no_direction``; others are ``ok``.
     """
-    prompt = F.concat(F.lit(instruction), F.col(text))
-    if encoder is None:
-        from pyspark.ml.feature import HashingTF, Normalizer
-        from pyspark.ml.functions import vector_to_array
-
-        from routeloom.functions import text as tx
-
-        words = F.filter(F.split(tx.normalize_text(prompt), " "), lambda t: t != "")
-        hashed = HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dims).transform(df.withColumn("_words", words))
-        unit = Normalizer(inputCol="_tf", outputCol="_unit").transform(hashed)
-        return unit.withColumn(out, vector_to_array("_unit", "float32")).drop("_words", "_tf", "_unit")
-
     from pyspark.sql import types as T
 
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
+    state = f"{out}_state"
+    kept = [f for f in df.schema if f.name not in (out, state)]
+    schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.FloatType())), T.StructField(state, T.StringType())])
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        run = encoder()
+        run = encoder() if encoder else lambda texts: np.stack([hashed_text(t, dims) for t in texts])
         for pdf in batches:
-            rows = []
-            for at in range(0, len(pdf), batch):
-                m = np.asarray(run((instruction + pdf[text].iloc[at : at + batch]).tolist()), dtype="float64")
-                rows.extend((m / np.linalg.norm(m, axis=1, keepdims=True)).astype("float32").tolist())
-            yield pdf.assign(**{out: rows})
+            vectors: list = [None] * len(pdf)
+            states = ["blank"] * len(pdf)
+            filled = [n for n, t in enumerate(pdf[text]) if t is not None and t.strip()]
+            for at in range(0, len(filled), batch):
+                some = filled[at : at + batch]
+                m = np.asarray(run([instruction + pdf[text].iloc[n] for n in some]), dtype="float64")
+                length = np.sqrt((m**2).sum(axis=1))
+                for n, row, size in zip(some, m, length):
+                    states[n] = "ok" if np.isfinite(size) and size > 0 else "no_direction"
+                    if states[n] == "ok":
+                        vectors[n] = (row / size).astype("float32")
+            yield pdf[[f.name for f in kept]].assign(**{out: vectors, state: states})
 
     return df.mapInPandas(encode, schema)

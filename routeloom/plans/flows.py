@@ -48,7 +48,7 @@ def flow_candidate_index(v):
 def flow_representatives(v):
     """Query sets to vectors, mixtures per set and one representative text per component."""
     rows = v.table("conversations").select("conv_id", (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text")
-    vecs = vectors.embed_texts(rows, "text", "v", dims=64).withColumn("v", F.col("v").cast("array<double>"))
+    vecs = vectors.embed_texts(rows, "text", "v", dims=64).where("v_state = 'ok'").withColumn("v", F.col("v").cast("array<double>"))
     vecs = cut_lineage(vecs.select("conv_id", "query_id", "v", F.md5("text").alias("digest")))
     fits = cut_lineage(vectors.group_mixture(vecs, "conv_id", "query_id", "v"))
     means = vectors.unit_means(vectors.bic_select(fits, "conv_id"), "conv_id")

@@ -118,8 +118,21 @@ def medoid_ids(v):
     )
 
 
-@query("embed_texts")
+@query(
+    "embed_texts",
+    r"""SELECT doc_id, kind, CASE WHEN ok THEN 256 END AS dims, CASE WHEN ok THEN 1.0::DOUBLE END AS length, CASE WHEN ok THEN 'ok' WHEN blank THEN 'blank' ELSE 'no_direction' END AS state FROM (
+  SELECT *, trim(coalesce(t, ''), ' ' || chr(9) || chr(10) || chr(13)) = '' AS blank, regexp_matches(coalesce(t, ''), '[\pL\pN]') AS ok FROM (SELECT doc_id, kind, CASE kind WHEN 0 THEN text WHEN 1 THEN NULL WHEN 2 THEN ' '
+  WHEN 3 THEN '图像文本 ' || doc_id WHEN 4 THEN 'สวัสดี' ELSE '!? --' END AS t FROM (SELECT *, doc_id % 6 AS kind FROM documents)))""",
+)
 def embed_texts(v):
-    """Hashed word vectors of whole documents; the norm shows that each is a unit vector."""
-    got = vectors.embed_texts(v.table("documents").select("doc_id", "text"), "text", instruction="query: ")
-    return got.select("doc_id", F.size("embedding").alias("dims"), F.round(vx.norm(F.col("embedding").cast("array<double>")), 5).alias("length"))
+    """Whole documents, and in their place nulls, blanks, Chinese, Thai and bare punctuation: each is a unit vector or has a stated reason."""
+    kind = F.col("doc_id") % 6
+    text = (
+        F.when(kind == 0, F.col("text")).when(kind == 1, F.lit(None)).when(kind == 2, " ").when(kind == 3, F.concat(F.lit("图像文本 "), F.col("doc_id").cast("string")))
+        .when(kind == 4, "สวัสดี").otherwise("!? --")
+    )
+    got = vectors.embed_texts(v.table("documents").select("doc_id", kind.alias("kind"), text.alias("text")), "text")
+    size = F.size("embedding")
+    return got.select(
+        "doc_id", "kind", F.when(size > 0, size).alias("dims"), F.round(vx.norm(F.col("embedding").cast("array<double>")), 5).alias("length"), F.col("embedding_state").alias("state")
+    )
