@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -16,6 +19,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from routeloom.session import cut_lineage, ship_package, write_shared
 
 SLICE_ROWS = 512
+#: Texts of a slice, unless it is one row.
+SLICE_BYTES = 4 << 20
 _CACHES: list = []
 _SERVED: list[str] = [""]
 
@@ -43,6 +48,31 @@ def begin(operator: str) -> None:
                 cached.cache_clear()
         gc.collect()
         pa.default_memory_pool().release_unused()
+        _return_heap()
+
+
+def _return_heap() -> None:
+    """Give freed memory back to the machine, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most ``SLICE_ROWS`` rows and, above one row, ``SLICE_BYTES`` bytes of texts."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64)
+    upto = np.cumsum(size)
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        full = int(np.searchsorted(upto, before + SLICE_BYTES, "right"))
+        end = min(at + SLICE_ROWS, max(full, at + 1), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,8 +110,7 @@ def append(
         begin(operator)
         for batch in batches:
             out_schema = pa.schema([batch.schema.field(k) for k in range(n_kept)] + fields)
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
+            for part in slices(batch):
                 made = fn(*[part.column(k).to_pylist() for k in range(n_kept, part.num_columns)])
                 columns = [part.column(k) for k in range(n_kept)]
                 columns += [pa.array(values, type=t) for values, t in zip(made, types)]
@@ -99,13 +128,13 @@ def map_batches(df: DataFrame, fn: Callable[[Iterator[list[list]]], Iterator[Seq
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin(operator)
-        def slices():
+
+        def lists():
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE_ROWS):
-                    part = batch.slice(at, SLICE_ROWS)
+                for part in slices(batch):
                     yield [c.to_pylist() for c in part.columns]
 
-        for columns in fn(slices()):
+        for columns in fn(lists()):
             arrays = [pa.array(values, type=f.type) for values, f in zip(columns, out_schema)]
             yield pa.RecordBatch.from_arrays(arrays, schema=out_schema)
 

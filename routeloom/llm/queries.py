@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from routeloom.llm import bpe, decontaminate, descent, jaccard, langid, license, merkle, negatives, phrases, pii, tokens, toxicity, warc
 from routeloom.llm.common import held_out, table
-from routeloom.session import shared_dir
+from routeloom.session import forget_later, shared_dir
 
 BYTE_BPE = "byte_bpe_50k.json"
 
@@ -18,9 +18,7 @@ BYTE_BPE = "byte_bpe_50k.json"
 def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = public_tokenizers.path(BYTE_BPE)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    lexicon = bpe.build_lexicon(docs, vocab)
-    encoded = bpe.encode(docs, vocab, lexicon=lexicon).select("doc_id", "n_tokens", "ids")
-    return bpe.decode(encoded, vocab).select(
+    return bpe.recode(docs, vocab).select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -71,7 +69,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     warc.write_archives(pages, folder, segment=16 << 10, chunk=4 << 10)
     kind = pages.schema["page_id"].dataType
-    return warc.read_archives(spark, folder).select(
+    forget_later(folder)
+    # a record that does not read back ends the run
+    whole = F.when(F.col("error").isNull(), F.col("page_id")).otherwise(F.raise_error(F.concat(F.lit("broken record: "), "error")).cast("string"))
+    return warc.read_archives(spark, folder).withColumn("page_id", whole).select(
         F.col("page_id").cast(kind).alias("page_id"),
         F.col("n").alias("payload_bytes"),
         F.col("digest").alias("payload_digest"),
