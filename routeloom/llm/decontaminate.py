@@ -92,7 +92,7 @@ def scan(found: list[bytes], search: list[Machine]) -> tuple[list[list[int]], se
         for start, which in machine.search(found):
             spans.append((start, start + machine.length))
             items |= which
-    return union(spans), items
+    return union(spans), items - {None}
 
 
 def shards(spark: SparkSession, benchmark: DataFrame, item: str, text: str, limit: int) -> list[str]:
@@ -102,7 +102,7 @@ def shards(spark: SparkSession, benchmark: DataFrame, item: str, text: str, limi
     ever holds more than a shard.
     """
     rows = benchmark.select(F.col(f"`{item}`").cast("string").alias("i"), F.col(f"`{text}`").alias("t"))
-    rows = rows.where("i is not null and t is not null and t <> ''")
+    rows = rows.where("t is not null and t <> ''")
     names, part, held = [], [], 0
     for row in rows.toLocalIterator():
         size = 4 * len(row["t"])
@@ -126,7 +126,8 @@ def decontaminate(
 
     A benchmark larger than ``shard_bytes`` is searched shard by shard, each pass
     adding to the intervals and items of the one before.  Null texts have no words;
-    null items and items without words match nothing; repeated rows stay.
+    a benchmark row with a null item hits words but is no item; items without words match
+    nothing; repeated rows stay.
     """
     hits, found_items = fresh("hits"), fresh("items")
     out = df

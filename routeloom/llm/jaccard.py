@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from routeloom.llm.common import begin, components, distribute, local_path, map_batches, task_cache
+from routeloom.llm.common import begin, components, distribute, fresh, local_path, map_batches, task_cache
 from routeloom.session import cut_lineage, ship_package
 
 #: Hashes that come last in the order; any set gives the same result.
@@ -477,7 +477,23 @@ def link_sets(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id"
 
 
 def drop_near_copies(df: DataFrame, width: int, num: int, den: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without the rows whose component has a smaller key; keys that are null stay."""
-    found = link_sets(df, width, num, den, key, text)
-    gone = found.where(F.col("component") < F.col(key)).select(key).distinct()
-    return df.join(gone, key, "left_anti").select(df.columns)
+    """``df`` with one row of each group of near copies: that of the smallest key.
+
+    Where a key is null or given more than once, rows are told apart by key and text: a null
+    key comes first, of rows that share key and text one stays, and rows of one key with
+    different texts are different documents.  Texts without words are nobody's copy and all
+    stay.  Empty tables stay empty; columns are those of ``df``.
+    """
+    unclear = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(f"`{key}`").isNull())
+    if unclear.isEmpty():
+        found = link_sets(df, width, num, den, key, text)
+        gone = found.where(F.col("component") < F.col(key)).select(key)
+        return df.join(gone, key, "left_anti").select(df.columns)
+    who = fresh("who")
+    told = df.withColumn(who, F.struct(F.col(f"`{key}`").alias("key"), F.coalesce(F.xxhash64(F.col(f"`{text}`")), F.lit(0)).alias("text")))
+    found = link_sets(told, width, num, den, who, text)
+    gone = found.where(F.col("component") < F.col(who)).select(who).distinct()
+    twice = found.where("n_shingles > 0").groupBy(who).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(who)
+    left = told.join(gone, who, "left_anti")
+    single = left.join(twice, who, "left_anti").unionByName(left.join(twice, who, "left_semi").dropDuplicates([who]))
+    return single.select(df.columns)

@@ -205,24 +205,29 @@ def choose_terms(candidates: list[tuple[str, int, int, int]]) -> list[str]:
     return chosen
 
 
+#: Log-odds of every text while nothing is learned.
+NOTHING_LEARNED = -20.0
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_ROWS) -> str:
     """Fit the grammar on learning rows; the model is a short JSON text.
 
     Terms must be toxic in ``LEAST_PRECISION`` of their rows and stand after so many
-    different words that chance among all terms is unlikely.  Without toxic rows no
-    term is learned and every score is the rate of toxic rows.
+    different words that chance among all terms is unlikely.  Labels that are null teach
+    nothing.  Without toxic rows, without clean rows or without any such term nothing is
+    learned: every score is then close to 0 and no text is toxic.
     """
     rows = cut_lineage(training_rows(docs, labels, sample))
     size = {bool(r["t"]): r["n"] for r in rows.groupBy((F.col("toxic") > 0).alias("t")).agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = size.get(True, 0), size.get(False, 0)
     rate = (n_pos + 1) / (n_pos + n_neg + 2)
     terms: list[str] = []
-    if n_pos:
+    if n_pos and n_neg:
         least = max(2, math.ceil(16 / math.log(1 / min(rate, 0.5))))
         good = term_counts(rows).where((F.col("contexts") >= least) & (F.col("pos") >= LEAST_PRECISION * (F.col("pos") + F.col("neg"))))
         top = good.orderBy(F.desc("contexts"), F.desc("pos"), "term").limit(MAX_TERMS).collect()
         terms = choose_terms([tuple(r) for r in top])
-    start = {"terms": terms, "weights": [0.0] * len(OUTPUTS) + [math.log(rate / (1 - rate))]}
+    start = {"terms": terms, "weights": [0.0] * len(OUTPUTS) + [math.log(rate / (1 - rate)) if terms else NOTHING_LEARNED]}
     if not terms:
         return json.dumps(start)
     spec = json.dumps(start)
