@@ -40,7 +40,6 @@ REQUIRED_SECTIONS = [
 ]
 LEVELS = ["goal", "experience", "interaction"]
 EXCLUSION_MARKER = "NO_ELIGIBLE_VISUAL_SKILL"
-PROPOSAL_FIELDS = ["parent_rewrite", "skill_rewrites", "add_edges", "merges", "splits"]
 
 
 def first_broken(rules: Rules) -> Column:
@@ -315,15 +314,30 @@ def first_relations(rows: DataFrame) -> DataFrame:
     return ordered.first_row(rows.withColumns({"a": x, "b": y}), ["query_id", "a", "b", "relation"], ["pos"])
 
 
-def assignment_rules() -> Rules:
-    """``children`` array, ``keep``, ``known_children`` and ``times``/``supplied`` per skill."""
+def check_assignments(answers: DataFrame, supplied: DataFrame, children: DataFrame) -> DataFrame:
+    """First broken rule of each (parent, skill) that was supplied or answered.
+
+    ``answers``: parent, skill, children (array), keep; ``supplied``: parent, skill;
+    ``children``: parent, child.  ``missing`` is a supplied skill without an answer,
+    ``supplied`` an answer that nobody asked for.  Answered children are rows when they are
+    compared with the parent's, so a parent may have any number of them.
+    """
+    key = ["parent", "skill"]
+    per = answers.groupBy(*key).agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("children", "keep")).alias("a"))
+    per = per.select(*key, "times", F.coalesce("a.children", F.array().cast("array<string>")).alias("children"), F.coalesce("a.keep", F.lit(False)).alias("keep"))
+    asked = supplied.select(*key).distinct().withColumn("_asked", F.lit(True))
+    named = per.select(*key, F.explode("children").alias("child")).join(children.select("parent", "child").distinct(), ["parent", "child"], "left_anti")
+    strange = named.select(*key, F.lit(True).alias("_strange")).distinct()
+    rows = asked.join(per, key, "full_outer").join(strange, key, "left")
     n = F.size("children")
-    return [
-        ("supplied", F.col("supplied")),
+    rules = [
+        ("missing", F.col("times").isNotNull()),
+        ("supplied", F.col("_asked")),
         ("once", F.col("times") == 1),
-        ("children", (n <= 2) & no_repeats(F.col("children")) & (F.size(F.array_except("children", "known_children")) == 0)),
+        ("children", (n <= 2) & no_repeats(F.col("children")) & F.col("_strange").isNull()),
         ("exclusive", (n > 0) != F.col("keep")),
     ]
+    return check(rows, rules).select(*key, "rule", "ok")
 
 
 def merge_verdict_rules(equivalent: Column, keep: Column, a: Column, b: Column) -> Rules:
@@ -333,15 +347,94 @@ def merge_verdict_rules(equivalent: Column, keep: Column, a: Column, b: Column)
     ]
 
 
-def decision_log_rules() -> Rules:
-    """``op, born, step, times, description, new_taken, memberships`` of one routed category."""
+# Fields of a decision, of a route and of a category, and the two operations.
+DECISION_FIELDS = ["routes", "new_category", "rationale"]
+ROUTE_FIELDS = ["operation", "category_name", "revised_category"]
+CATEGORY_FIELDS = ["name", "description"]
+ROUTE_OPERATIONS = ["select", "revise"]
+
+
+def check_decisions(decisions: DataFrame, step: str, body: str) -> DataFrame:
+    """``step, rule, ok``: first broken rule of each logged decision, in reading order.
+
+    A decision is a JSON object of any number of routes, an optional new category and a
+    rationale.  A category is known from the step after the one that created it; no step
+    holds the whole catalog, births are joined.
+    """
+    void = lambda v: v.isNull() | (F.schema_of_variant(v) == "VOID")
+    keys = lambda v, allowed: F.coalesce(_keys_are(F.array_sort(F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))), allowed), F.lit(False))
+    text = lambda v, f: F.try_variant_get(v, f"$.{f}", "string")
+
+    def document(v: Column) -> Column:
+        description = text(v, "description")
+        return F.coalesce(keys(v, CATEGORY_FIELDS) & tx.is_snake(text(v, "name")) & description.contains("Fits "), F.lit(False))
+
+    docs = pin(decisions.select(F.col(step).alias("step"), F.col(body).alias("_body")), {"doc": F.try_parse_json("_body")}).drop("_body")
+    new = F.try_variant_get("doc", "$.new_category", "variant")
+    docs = pin(docs, {"new": new, "routes": F.try_variant_get("doc", "$.routes", "array<variant>"), "rationale": text(F.col("doc"), "rationale")})
+    born = docs.where(~void(F.col("new"))).groupBy(text(F.col("new"), "name").alias("name")).agg(F.min("step").alias("born"))
+
+    routes = docs.select("step", F.posexplode("routes").alias("at", "r"))
+    routes = pin(routes, {"name": text(F.col("r"), "category_name"), "op": text(F.col("r"), "operation"), "revised": F.try_variant_get("r", "$.revised_category", "variant")})
+    first = routes.groupBy("step", "name").agg(F.min("at").alias("first"))
+    routes = routes.join(born, "name", "left").join(first, ["step", "name"], "left")
+    select, revise = F.col("op") == "select", F.col("op") == "revise"
+    rule = first_broken([
+        ("route_keys", keys(F.col("r"), ROUTE_FIELDS)),
+        ("operation", F.col("op").isin(*ROUTE_OPERATIONS)),
+        ("name", nonblank(F.col("name"))),
+        ("known", F.col("born") < F.col("step")),
+        ("once", F.col("first") == F.col("at")),
+        ("select_empty", ~select | void(F.col("revised"))),
+        ("revised", ~revise | document(F.col("revised"))),
+        ("rename", ~revise | (text(F.col("revised"), "name") == F.col("name"))),
+    ])
+    worst = routes.withColumn("rule", rule).where("rule IS NOT NULL").groupBy("step").agg(F.min(F.struct("at", "rule")).alias("w"))
+    taken = born.select(F.col("name").alias("new_name"), F.col("born").alias("new_born"))
+    whole = docs.withColumn("new_name", text(F.col("new"), "name")).join(taken, "new_name", "left").join(worst, "step", "left")
+    rules = [
+        ("json", F.col("doc").isNotNull()),
+        ("keys", keys(F.col("doc"), DECISION_FIELDS)),
+        ("rationale", nonblank(F.col("rationale"))),
+        ("routes", F.col("routes").isNotNull()),
+        ("*", F.col("w").isNull()),
+        ("new_category", void(F.col("new")) | document(F.col("new"))),
+        ("new_taken", void(F.col("new")) | (F.col("new_born") == F.col("step"))),
+        ("no_membership", (F.size("routes") > 0) | ~void(F.col("new"))),
+    ]
+    judged = whole.withColumn("rule", first_broken(rules))
+    told = F.when(F.col("rule") == "*", F.col("w.rule")).otherwise(F.col("rule"))
+    return judged.select(F.col("step").alias(step), told.alias("rule"), told.isNull().alias("ok"))
+
+
+# Fields of a manifest, of its entries and of their evidence.
+MANIFEST_FIELDS = ["decomposition_rationale", "skills"]
+ENTRY_FIELDS = ["name", "description", "relative_path", "skill_contribution", "mechanism_scope", "source_evidence"]
+EVIDENCE_FIELDS = ["path", "evidence"]
+
+
+def manifest_rules(body: Column) -> Rules:
+    """A manifest of written skills: keys, unique names, paths, contributions and their evidence."""
+    entries = raw_items(body, "skills")
+    get = lambda i, f: F.get_json_object(i, f"$.{f}")
+    names = F.transform(entries, lambda i: get(i, "name"))
+    proofs = lambda i: raw_items(i, "source_evidence")
+    every = lambda rule: F.forall(entries, rule)
     return [
-        ("operation", F.col("op").isin("select", "revise", "create")),
-        ("known", (F.col("op") == "create") | (F.col("born") < F.col("step"))),
-        ("new_name", (F.col("op") != "create") | (F.col("born") == F.col("step"))),
-        ("once", F.col("times") == 1),
-        ("select_empty", (F.col("op") != "select") | F.col("description").isNull()),
-        ("fits", (F.col("op") == "select") | F.coalesce(F.col("description").contains("Fits "), F.lit(False))),
+        ("json", F.try_parse_json(body).isNotNull()),
+        ("keys", closed_keys(body, MANIFEST_FIELDS)),
+        ("rationale", nonblank(F.get_json_object(body, "$.decomposition_rationale"))),
+        ("skills", F.size(entries) > 0),
+        ("item_keys", every(lambda i: closed_keys(i, ENTRY_FIELDS))),
+        ("name", every(lambda i: F.coalesce(tx.is_kebab(get(i, "name")), F.lit(False)))),
+        ("unique", no_repeats(names)),
+        ("description", every(lambda i: nonblank(get(i, "description")))),
+        ("path", every(lambda i: F.coalesce(get(i, "relative_path") == F.concat(F.lit("skills/"), get(i, "name"), F.lit("/SKILL.md")), F.lit(False)))),
+        ("scope", every(lambda i: F.coalesce(all_nonblank(raw_items(i, "mechanism_scope"), 1), F.lit(False)))),
+        ("contribution", every(lambda i: nonblank(get(i, "skill_contribution")))),
+        ("evidence", every(lambda i: F.coalesce(F.size(proofs(i)) > 0, F.lit(False)))),
+        ("evidence_keys", every(lambda i: F.forall(proofs(i), lambda e: closed_keys(e, EVIDENCE_FIELDS)))),
+        ("evidence_text", every(lambda i: F.forall(proofs(i), lambda e: nonblank(get(e, "path")) & nonblank(get(e, "evidence"))))),
     ]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from routeloom.operators import ordered
+from routeloom.operators import ordered, reqlog
 from routeloom.session import cut_lineage
 
 ALTERNATIVE = "alternative_same_position"
@@ -131,6 +131,24 @@ def relation_digest(top: DataFrame, cap: int = 0) -> DataFrame:
     return ordered.top_k(top.drop("rank"), ["parent"], order, cap or 2**31 - 1, "shown")
 
 
+def compact_evidence(found: dict[str, DataFrame], skills: DataFrame, cap: int = 0, chars: int = 800) -> DataFrame:
+    """The digest of each parent's evidence: first relations, two request ids each, who of the pair was a source, cut descriptions.
+
+    Reasons and distinctions are emptied here; the whole rows stay in ``found["rows"]``.
+    """
+    shown = relation_digest(found["relations"], cap)
+    ids = found["rows"].select(*KEY, "query_id").distinct()
+    two = ordered.top_k(ids, KEY, ["query_id"], 2, "_n").groupBy(*KEY)
+    two = two.agg(F.array_join(F.array_sort(F.collect_list("query_id")).cast("array<string>"), ",").alias("ids"))
+    text = lambda side: skills.select(F.col("skill").alias(side), F.col("description").alias(f"{side}_text"))
+    sources = F.concat_ws(",", F.when(F.col("a_is_source"), F.col("a")), F.when(F.col("b_is_source"), F.col("b")))
+    rows = shown.join(two, KEY).join(text("a"), "a").join(text("b"), "b").withColumns(
+        {"directions": sources, "reason": F.lit("x"), "distinction": F.lit("x")}
+    )
+    rows = reqlog.compact_payload(rows, {"a_text": chars, "b_text": chars, "reason": 0, "distinction": 0})
+    return rows.select(*KEY, "support", "a_is_source", "b_is_source", "shown", "ids", "directions", "a_text", "b_text", "reason", "distinction")
+
+
 def split_eligibility(top: DataFrame, skills: DataFrame, min_relations: int = 8, min_skills: int = 12, fraction: float = 0.6) -> DataFrame:
     """Per parent: alternatives, their skills, whether a split is due and how much must move."""
     alternatives = top.where(F.col("relation") == ALTERNATIVE)

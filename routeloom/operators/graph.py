@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from routeloom.functions import text as tx
-from routeloom.operators import ordered
 from routeloom.session import cut_lineage
 
 
@@ -94,16 +93,19 @@ def longest_depth(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def descendants(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``(node, below)`` closure, every node below itself included."""
+    """``(node, below)`` closure, every node below itself included.
+
+    A round writes only the pairs it found; what is known is the union of the rounds.
+    """
     edges = cut_lineage(edges.select("parent", "child").distinct())
-    known = cut_lineage(nodes.select(F.col("name").alias("node"), F.col("name").alias("below")))
-    fresh = known
+    fresh = cut_lineage(nodes.select(F.col("name").alias("node"), F.col("name").alias("below")))
+    known = fresh
     while True:
         step = fresh.join(edges, F.col("below") == F.col("parent")).select("node", F.col("child").alias("below"))
         fresh = cut_lineage(step.distinct().join(known, ["node", "below"], "left_anti"))
         if fresh.isEmpty():
             return known
-        known = cut_lineage(known.unionByName(fresh))
+        known = known.unionByName(fresh)
 
 
 def reachable_skills(nodes: DataFrame, edges: DataFrame, members: DataFrame, canonical: DataFrame | None = None) -> DataFrame:
@@ -145,7 +147,8 @@ def choose_by_text(queries: DataFrame, cards: DataFrame, threshold: int) -> Data
 
 def _covered(met: DataFrame, threshold: int) -> DataFrame:
     score = lexical_score(F.col("q"), F.col("words"), "description").alias("score")
-    return met.select("query_id", "name", score).where(F.col("score") >= threshold).distinct()
+    via = ["parent"] if "parent" in met.columns else []
+    return met.select("query_id", *via, "name", score).where(F.col("score") >= threshold).distinct()
 
 
 def node_cards(nodes: DataFrame, stop: tuple[str, ...] = ("fits",)) -> DataFrame:
@@ -154,28 +157,28 @@ def node_cards(nodes: DataFrame, stop: tuple[str, ...] = ("fits",)) -> DataFrame
     return nodes.select("name", "is_root", words.alias("words"))
 
 
-def route_dag(
-    queries: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: int = 90
-) -> DataFrame:
-    """Chosen nodes ``(query_id, level, name, score)``, level by level.
+def route_trace(queries: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: int = 90) -> DataFrame:
+    """Chosen nodes with where they came from: ``(query_id, level, parent, name, score)``, level by level.
 
-    All children of a chosen node are asked on the next level; repeats are removed
-    inside a level only, so a node reached at two depths is asked twice.  A path without a
-    cycle has no more levels than there are nodes; a longer one is an error.
+    All children of a chosen node are asked on the next level.  A node met through several
+    chosen parents has a row for each; roots have a null parent.  Repeats are removed inside
+    a level only, so a node reached at two depths is asked twice.  A path without a cycle has
+    no more levels than there are nodes; a longer one is an error.
     """
     cards = cut_lineage(node_cards(nodes))
     most = cards.count()
     asked = cut_lineage(queries.select("query_id", tx.token_set(F.col("query")).alias("words")))
     chosen = choose_by_text(asked, cards.where("is_root").select("name", "words"), threshold)
-    levels = [cut_lineage(chosen.withColumn("level", F.lit(1)))]
+    first = chosen.select("query_id", F.lit(1).alias("level"), F.lit(None).cast("string").alias("parent"), "name", "score")
+    levels = [cut_lineage(first)]
     keyed = rare_words(cards.select("name", "words"), threshold)
     children = cut_lineage(edges.join(keyed, F.col("child") == F.col("name")).select("parent", "name", "words", "w"))
     while True:
         # A child is met only through a word it must share, however many siblings it has.
-        frontier = levels[-1].select("query_id", F.col("name").alias("parent")).join(asked, "query_id")
+        frontier = levels[-1].select("query_id", F.col("name").alias("parent")).distinct().join(asked, "query_id")
         frontier = frontier.select("query_id", "parent", F.col("words").alias("q"), F.explode("words").alias("w"))
         picked = _covered(frontier.join(children, ["parent", "w"]), threshold)
-        picked = cut_lineage(picked.withColumn("level", F.lit(len(levels) + 1)))
+        picked = cut_lineage(picked.select("query_id", F.lit(len(levels) + 1).alias("level"), "parent", "name", "score"))
         if picked.isEmpty():
             break
         if len(levels) >= most:
@@ -184,7 +187,40 @@ def route_dag(
     rows = levels[0]
     for other in levels[1:]:
         rows = rows.unionByName(other)
-    return rows.select("query_id", "level", "name", "score")
+    return rows
+
+
+def route_dag(queries: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: int = 90) -> DataFrame:
+    """Chosen nodes ``(query_id, level, name, score)`` of ``route_trace``, whatever their parent."""
+    return route_trace(queries, nodes, edges, threshold).select("query_id", "level", "name", "score").distinct()
+
+
+def routing_result(trace: DataFrame, nodes: DataFrame, edges: DataFrame, members: DataFrame, canonical: DataFrame) -> dict[str, DataFrame]:
+    """What a routing run returns, as tables.
+
+    ``selected``: query_id, name, level and score where it was first chosen, ``kind`` (root or
+    descendant) and ``is_leaf`` (it holds skills itself); ``levels``: query_id, level, how many
+    nodes were asked and chosen; ``candidates``: query_id, skill and the place it was seen
+    first; ``below``: query_id, name and every node reachable from a selected one.
+    """
+    chosen = trace.select("query_id", "level", "name", "score").distinct()
+    place = F.struct("level", (-F.col("score")).alias("weak"))
+    first = chosen.groupBy("query_id", "name").agg(F.min(place).alias("at"))
+    kinds = nodes.select("name", F.when(F.col("is_root"), "root").otherwise("descendant").alias("kind"))
+    holding = members.select(F.col("node").alias("name"), F.lit(True).alias("_holds")).distinct()
+    selected = first.join(kinds, "name").join(holding, "name", "left").select(
+        "query_id", "name", F.col("at.level").alias("level"), (-F.col("at.weak")).alias("score"), "kind", F.coalesce("_holds", F.lit(False)).alias("is_leaf")
+    )
+    picked = chosen.groupBy("query_id", "level").agg(F.countDistinct("name").alias("chosen"))
+    links = edges.select(F.col("parent").alias("name"), "child").distinct()
+    asked = chosen.join(links, "name").groupBy("query_id", (F.col("level") + 1).alias("level")).agg(F.countDistinct("child").alias("asked"))
+    roots = nodes.where("is_root").agg(F.count(F.lit(1)).alias("asked")).first()["asked"]
+    levels = asked.join(picked, ["query_id", "level"], "full_outer").select(
+        "query_id", "level", F.when(F.col("level") == 1, F.lit(roots)).otherwise(F.col("asked")).alias("asked"), F.coalesce("chosen", F.lit(0)).alias("chosen")
+    )
+    closure = descendants(nodes, edges).withColumnRenamed("node", "name")
+    below = selected.select("query_id", "name").join(closure, "name").select("query_id", "below").distinct()
+    return {"selected": selected, "levels": levels, "candidates": candidate_union(chosen, members, canonical), "below": below}
 
 
 def candidate_union(chosen: DataFrame, members: DataFrame, canonical: DataFrame) -> DataFrame:
@@ -227,8 +263,3 @@ def split_parent_load(members: DataFrame, edges: DataFrame) -> DataFrame:
     return parents.join(members.groupBy("node").agg(F.countDistinct("skill").alias("n")), "node", "left").select(
         "node", F.coalesce("n", F.lit(0)).alias("direct_skills")
     )
-
-
-def children_first(df: DataFrame) -> DataFrame:
-    """Edges numbered inside their parent by child name."""
-    return ordered.positions(df, ["parent"], ["child"], "pos")

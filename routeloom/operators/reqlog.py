@@ -104,14 +104,22 @@ def retry_candidates(log: DataFrame, limit: int = 3) -> DataFrame:
     return calls.select("call_id", "attempts", state.alias("state"), F.when(state == "retry", F.coalesce("last_error", F.lit(""))).alias("feedback"))
 
 
-def usage_rollup(log: DataFrame) -> DataFrame:
-    """Tokens of accepted and failed attempts per call, per route and in all."""
-    tokens = F.coalesce("tokens", F.lit(0))
-    per_call = log.groupBy("route", "call_id").agg(
-        F.sum(tokens).alias("tokens"), F.count(F.lit(1)).alias("attempts")
-    )
-    return per_call.rollup("route", "call_id").agg(
-        F.sum("tokens").alias("tokens"),
-        F.sum("attempts").alias("attempts"),
-        F.avg("tokens").alias("mean_tokens"),
-    )
+MEASURES = ("input_tokens", "output_tokens", "cost")
+
+
+def usage_rollup(log: DataFrame, run: str = "route", call: str = "call_id") -> DataFrame:
+    """Input and output tokens and cost of accepted and failed attempts: per call, per run and in all, with means per call.
+
+    A missing measure counts as 0.  Cost is summed exactly where it is a decimal.
+    """
+    zero = lambda m: F.coalesce(F.col(m), F.lit(0).cast(log.schema[m].dataType))
+    per_call = log.groupBy(run, call).agg(*[F.sum(zero(m)).alias(m) for m in MEASURES], F.count(F.lit(1)).alias("attempts"))
+    sums = [F.sum(m).alias(m) for m in (*MEASURES, "attempts")]
+    means = [F.avg(F.col(m).cast("double")).alias(f"mean_{m}") for m in MEASURES]
+    return per_call.rollup(run, call).agg(F.count(F.lit(1)).alias("calls"), *sums, *means)
+
+
+def compact_payload(rows: DataFrame, limits: dict[str, int]) -> DataFrame:
+    """Text columns cut to the stated number of characters (0 empties a column); others stay."""
+    cut = {c: F.substring(F.col(c), 1, n) if n else F.when(F.col(c).isNotNull(), F.lit("")) for c, n in limits.items()}
+    return rows.withColumns(cut)

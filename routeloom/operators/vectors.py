@@ -31,8 +31,10 @@ def blocks_for(rows: int) -> int:
     return max(1, -(-rows // BLOCK_ROWS))
 
 
-def rank_among_means(df: DataFrame, means: DataFrame, key: str, group: str, vec: str, mean: str = "mean") -> DataFrame:
-    """``(key, group, own_score, rank)``: place of a vector's own group among all groups.
+def rank_among_means(df: DataFrame, means: DataFrame, key: str, group: str, vec: str, mean: str = "mean", floor: float = float("-inf")) -> DataFrame:
+    """``(key, group, own_score, rank, candidates)``: place of a vector's own group among all groups.
+
+    ``candidates`` is the number of groups that score at least ``floor``.
 
     Exact brute force as blocked matrix products.  Vectors are cut into blocks by
     their key and means into blocks by their group; each (vector block, mean block)
@@ -57,7 +59,7 @@ def rank_among_means(df: DataFrame, means: DataFrame, key: str, group: str, vec:
 
     def count_better(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
-            return pd.DataFrame({key: [], "_better": []}).astype({"_better": "int64"})
+            return pd.DataFrame({key: [], "_better": [], "_above": []}).astype({"_better": "int64", "_above": "int64"})
         scores = np.stack(a["_v"]) @ np.stack(b["_m"]).T
         names = b["_g"].to_numpy()
         mine = a["own_score"].to_numpy()[:, None]
@@ -65,14 +67,14 @@ def rank_among_means(df: DataFrame, means: DataFrame, key: str, group: str, vec:
         other = names[None, :] != me
         close = np.abs(scores - mine) <= 1e-12
         better = other & ((scores > mine + 1e-12) | (close & (names[None, :] < me)))
-        return pd.DataFrame({key: a[key], "_better": better.sum(axis=1).astype("int64")})
+        return pd.DataFrame({key: a[key], "_better": better.sum(axis=1).astype("int64"), "_above": (scores >= floor).sum(axis=1).astype("int64")})
 
     counted = (
         left.groupBy("_vb", "_mb")
         .cogroup(right.groupBy("_vb", "_mb"))
-        .applyInPandas(count_better, f"{key} {key_type}, _better long")
+        .applyInPandas(count_better, f"{key} {key_type}, _better long, _above long")
     )
-    ranks = counted.groupBy(key).agg((F.sum("_better") + 1).alias("rank"))
+    ranks = counted.groupBy(key).agg((F.sum("_better") + 1).alias("rank"), F.sum("_above").alias("candidates"))
     return own.select(key, group, "own_score").join(ranks, key)
 
 

@@ -112,6 +112,16 @@ def group_size_stats(v):
     )
 
 
+@query(
+    "group_size_histogram",
+    "SELECT n, count(*) AS groups FROM (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) GROUP BY n",
+)
+def group_size_histogram(v):
+    """How many groups have each size: one row per size, however many sizes there are."""
+    sizes = v.table("documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
+
+
 @query(
     "csr_offsets",
     """SELECT label, coalesce(sum(n) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start,

@@ -270,24 +270,20 @@ def relation_contract(v):
 
 @query(
     "assignment_contract",
-    """SELECT mid AS parent, skill, CASE WHEN p_partkey % 6 = 0 THEN 'once' WHEN p_partkey % 6 = 1 THEN 'children' WHEN p_partkey % 6 = 2 THEN 'exclusive' END AS rule
-FROM part_dag""",
+    """SELECT mid AS parent, skill, CASE p_partkey % 8 WHEN 0 THEN 'once' WHEN 1 THEN 'children' WHEN 2 THEN 'exclusive' WHEN 6 THEN 'missing' WHEN 7 THEN 'missing' END AS rule FROM part_dag
+UNION ALL SELECT typ, skill, 'supplied' FROM part_dag WHERE p_partkey % 8 = 7""",
     ("part_dag",),
 )
 def assignment_contract(v):
-    """Assignments of parts to the children of their middle node; class 0 is sent twice."""
-    cls = F.col("p_partkey") % 6
-    kids = F.when(cls == 1, F.array(F.lit("leaf_none"))).when(cls >= 4, F.array(F.col("leaf"))).when(cls == 0, F.array(F.col("leaf")))
-    empty = F.array().cast("array<string>")
-    rows = v.part_dag.select(
-        F.col("mid").alias("parent"), "skill", F.coalesce(kids, empty).alias("children"), (cls == 3).alias("keep"), F.array("leaf").alias("known_children"),
-        F.explode(F.when(cls == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("n"), F.lit(True).alias("supplied"),
-    )
-    per = rows.groupBy("parent", "skill").agg(
-        F.count(F.lit(1)).alias("times"), F.first("children").alias("children"), F.first("keep").alias("keep"),
-        F.first("known_children").alias("known_children"), F.first("supplied").alias("supplied"),
+    """Parts dealt to the children of their middle node: 0 sent twice, 1 unknown child, 2 neither kept nor moved, 3 kept, 6 not answered, 7 answered for another parent."""
+    cls = F.col("p_partkey") % 8
+    kids = F.when(cls == 1, F.array(F.lit("leaf_none"))).when(cls.isin(2, 3), F.array().cast("array<string>")).otherwise(F.array("leaf"))
+    times = F.when(cls == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    answers = v.part_dag.where(cls != 6).select(
+        F.when(cls == 7, F.col("typ")).otherwise(F.col("mid")).alias("parent"), "skill", kids.alias("children"), (cls == 3).alias("keep"), F.explode(times).alias("n")
     )
-    return ct.check(per, ct.assignment_rules()).select("parent", "skill", "rule")
+    supplied = v.part_dag.select(F.col("mid").alias("parent"), "skill")
+    return ct.check_assignments(answers, supplied, v.edge).select("parent", "skill", "rule")
 
 
 @query(
@@ -306,19 +302,90 @@ def merge_verdict_contract(v):
     return ct.check(rows, rules).select("query_id", "a", "b", "rule")
 
 
+_LOG = """b AS (SELECT category, min((step - 1) // 2) AS born FROM decision GROUP BY 1),
+e AS (SELECT (step - 1) // 2 AS d, d.category, op, step, description, born FROM decision d JOIN b ON b.category = d.category),
+n AS (SELECT born AS d, min(category) AS fresh FROM b GROUP BY born),
+r AS MATERIALIZED (SELECT e.*, row_number() OVER (PARTITION BY e.d ORDER BY step) - 1 AS ix, e.d % 12 AS c FROM e LEFT JOIN n ON n.d = e.d WHERE fresh IS NULL OR category <> fresh),
+j AS (SELECT *, CASE WHEN ix = 0 AND c = 3 THEN 'route_keys' WHEN ix = 0 AND c = 4 THEN 'operation' WHEN known IS NULL OR known >= d THEN 'known' WHEN first < ix THEN 'once'
+    WHEN ix = 0 AND c = 5 AND op = 'select' THEN 'select_empty' WHEN ix = 0 AND c = 7 AND op = 'revise' THEN 'revised' WHEN ix = 0 AND c = 6 AND op = 'revise' THEN 'rename' END AS rule
+  FROM (SELECT r.*, min(ix) OVER (PARTITION BY r.d, category) AS first, k.known FROM r LEFT JOIN (SELECT fresh AS cat, min(d) AS known FROM n GROUP BY fresh) k ON k.cat = r.category)),
+w AS (SELECT d, arg_min(rule, ix) AS rule FROM j WHERE rule IS NOT NULL GROUP BY d), h AS (SELECT d, count(*) AS routes FROM r GROUP BY d)"""
+
+
 @query(
     "decision_log_contract",
-    """WITH d AS (SELECT *, min(step) OVER (PARTITION BY category) AS born FROM decision)
-SELECT step, CASE WHEN step = born AND op = 'select' THEN 'known' WHEN step = born AND op = 'revise' THEN 'known' WHEN op = 'select' AND skill LIKE '%7' THEN 'select_empty' END AS rule FROM d""",
+    f"""WITH {_LOG} SELECT t.d AS decision, CASE WHEN t.d % 12 = 0 THEN 'keys' WHEN t.d % 12 = 1 THEN 'rationale' WHEN t.d % 12 = 2 THEN 'routes' WHEN t.d % 12 = 10 THEN CASE WHEN fresh IS NULL THEN 'no_membership' END
+  WHEN w.rule IS NOT NULL THEN w.rule WHEN t.d % 12 = 8 AND fresh IS NOT NULL THEN 'new_category' END AS rule
+FROM (SELECT DISTINCT d FROM e) t LEFT JOIN n ON n.d = t.d LEFT JOIN w ON w.d = t.d LEFT JOIN h ON h.d = t.d""",
     ("decision",),
 )
 def decision_log_contract(v):
-    """Routes to categories that do not exist yet, and selects that carry a description."""
-    log = v.decision.select("step", "category", "op", "skill", "description")
-    born = log.groupBy("category").agg(F.min("step").alias("born"))
-    told = F.when((F.col("op") == "revise") | F.col("skill").endswith("7"), F.col("description"))
-    rows = log.join(born, "category").withColumns({"description": told, "times": F.lit(1)})
-    return ct.check(rows, ct.decision_log_rules()).select("step", "rule")
+    """Two events a decision: the first new category is created, other events are routes.
+
+    Faults by decision: 0 extra field, 1 blank rationale, 2 routes no list, first route with 3 an extra
+    field, 4 another operation, 5 a document on select, 6 another name, 7 no Fits; 8 new category
+    without Fits, 10 no routes.  A category met twice or before it exists breaks rules by itself.
+    """
+    log = v.decision.withColumn("d", F.floor((F.col("step") - 1) / 2))
+    born = log.groupBy("category").agg(F.min("d").alias("born"))
+    fresh = born.groupBy(F.col("born").alias("d")).agg(F.min("category").alias("fresh"))
+    cls = F.col("d") % 12
+    events = log.join(fresh, "d", "left").where(F.col("fresh").isNull() | (F.col("category") != F.col("fresh")))
+    packed = F.array_sort(F.collect_list(F.struct("step", "category", "op", "description")))
+    listed = events.groupBy("d").agg(packed.alias("routes"))
+    all_d = log.select("d").distinct().join(fresh, "d", "left").join(listed, "d", "left")
+
+    def category(name, text):
+        return F.to_json(F.struct(name.alias("name"), text.alias("description")))
+
+    def route(r, at):
+        head = at == 0
+        op = F.when(head & (cls == 4), "create").otherwise(r["op"])
+        revised = F.when(r["op"] == "revise", category(F.when(head & (cls == 6), "other_name").otherwise(r["category"]), F.when(head & (cls == 7), "none").otherwise(r["description"])))
+        revised = F.coalesce(F.when(head & (cls == 5) & (r["op"] == "select"), category(r["category"], r["description"])).otherwise(revised), F.lit("null"))
+        fields = [("operation", _q(op)), ("category_name", _q(r["category"])), ("revised_category", revised)]
+        return F.when(head & (cls == 3), _json(*fields, ("note", _q(F.lit("x"))))).otherwise(_json(*fields))
+
+    routes = F.concat(F.lit("["), F.array_join(F.coalesce(F.transform("routes", route), F.array().cast("array<string>")), ","), F.lit("]"))
+    routes = F.when(cls == 2, _q(F.lit("none"))).when(cls == 10, "[]").otherwise(routes)
+    new = F.coalesce(F.when(F.col("fresh").isNotNull(), category(F.col("fresh"), F.when(cls == 8, "none").otherwise("Fits it"))), F.lit("null"))
+    fields = [("routes", routes), ("new_category", new), ("rationale", _q(F.when(cls == 1, " ").otherwise("why")))]
+    body = F.when(cls == 0, _json(*fields, ("more", F.lit("1")))).otherwise(_json(*fields))
+    return ct.check_decisions(cut_lineage(all_d.select(F.col("d").alias("decision"), body.alias("body"))), "decision", "body").select("decision", "rule")
+
+
+@query(
+    "manifest_contract",
+    """SELECT m, CASE m % 15 WHEN 0 THEN 'json' WHEN 1 THEN 'keys' WHEN 2 THEN 'rationale' WHEN 3 THEN 'skills' WHEN 4 THEN 'item_keys' WHEN 5 THEN 'name' WHEN 6 THEN CASE WHEN n > 1 THEN 'unique' END
+  WHEN 7 THEN 'description' WHEN 8 THEN 'path' WHEN 9 THEN 'scope' WHEN 10 THEN 'contribution' WHEN 11 THEN 'evidence' WHEN 12 THEN 'evidence_keys' WHEN 13 THEN 'evidence_text' END AS rule
+FROM (SELECT doc_id // 4 AS m, count(*) AS n FROM documents GROUP BY 1)""",
+)
+def manifest_contract(v):
+    """Manifests of four documents each, one fault per manifest, on its first entry (6: one name for all)."""
+    docs = v.table("documents").select("doc_id", F.floor(F.col("doc_id") / 4).alias("m"), "lang", "source")
+    packed = F.array_sort(F.collect_list(F.struct("doc_id", "lang", "source")))
+    rows = docs.groupBy("m").agg(packed.alias("items"))
+    cls = F.col("m") % 15
+
+    def entry(i, at):
+        head = at == 0
+        name = F.when(head & (cls == 5), "Bad_Name").when(cls == 6, "same-name").otherwise(F.concat(F.lit("doc-"), i["doc_id"].cast("string")))
+        proof = _json(("path", _q(i["source"])), ("evidence", _q(F.when(head & (cls == 13), " ").otherwise("seen"))))
+        proof = F.when(head & (cls == 12), _json(("path", _q(i["source"])))).otherwise(proof)
+        fields = [
+            ("name", _q(name)), ("description", _q(F.when(head & (cls == 7), " ").otherwise(i["lang"]))),
+            ("relative_path", _q(F.concat(F.lit("skills/"), name, F.when(head & (cls == 8), "/skill.txt").otherwise("/SKILL.md")))),
+            ("skill_contribution", _q(F.when(head & (cls == 10), "").otherwise("adds"))), ("mechanism_scope", F.when(head & (cls == 9), "[]").otherwise('["one"]')),
+            ("source_evidence", F.when(head & (cls == 11), "[]").otherwise(F.concat(F.lit("["), proof, F.lit("]")))),
+        ]
+        return F.when(head & (cls == 4), _json(*fields[:5])).otherwise(_json(*fields))
+
+    listed = F.when(cls == 3, "[]").otherwise(F.concat(F.lit("["), F.array_join(F.transform("items", entry), ","), F.lit("]")))
+    fields = [("decomposition_rationale", _q(F.when(cls == 2, " ").otherwise("parts"))), ("skills", listed)]
+    body = F.when(cls == 1, _json(*fields, ("more", F.lit("1")))).otherwise(_json(*fields))
+    body = F.when(cls == 0, F.substring(body, F.lit(1), F.length(body) - 1)).otherwise(body)
+    built = cut_lineage(rows.select("m", body.alias("body")))
+    return ct.check(built, ct.manifest_rules(F.col("body"))).select("m", "rule")
 
 
 @query(

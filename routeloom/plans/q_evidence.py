@@ -93,6 +93,23 @@ def relation_digest(v):
     return evidence.relation_digest(_top(v), 40).select(*evidence.KEY, "support", "shown")
 
 
+@query(
+    "compact_evidence",
+    f"""WITH {PARENTS_SQL}, d AS (SELECT parent, a, b, relation, support, a_is_source, b_is_source, shown FROM (SELECT *, row_number() OVER (PARTITION BY parent
+  ORDER BY relation <> {ALT}, support DESC, a, b) AS shown FROM top) WHERE shown <= 40),
+i AS (SELECT parent, a, b, relation, min(query_id) AS lo, min(query_id) FILTER (WHERE rk = 2) AS hi FROM (SELECT *, dense_rank() OVER (PARTITION BY parent, a, b, relation ORDER BY query_id) AS rk
+  FROM rr JOIN d USING (parent, a, b, relation)) GROUP BY ALL)
+SELECT d.*, lo || ',' || hi AS ids, concat_ws(',', CASE WHEN a_is_source THEN a END, CASE WHEN b_is_source THEN b END) AS directions, left(x.description, 20) AS a_text, left(y.description, 20) AS b_text,
+  '' AS reason, '' AS distinction FROM d JOIN i USING (parent, a, b, relation) JOIN skill x ON x.skill = d.a JOIN skill y ON y.skill = d.b""",
+    (*VIEWS, "skill"),
+)
+def compact_evidence(v):
+    """What a prompt shows of the evidence: few relations, two request ids, the pair's own directions, cut texts, no reasons."""
+    depth = graph.longest_depth(v.node, v.edge)
+    ev = evidence.parent_evidence(v.relation, v.diagnosis, v.member, depth, v.node, v.skill)
+    return evidence.compact_evidence(ev, v.skill, 40, 20)
+
+
 @query(
     "repeated_miss",
     f"WITH {MISS_SQL} SELECT parent, operation, source, target, query_id, rows FROM rm",

@@ -139,6 +139,62 @@ def route_dag(v):
     return graph.route_dag(v.route_query, v.node, v.edge)
 
 
+@query(
+    "routing_trace",
+    f"""WITH {CHOSEN_SQL} SELECT query_id, level, CAST(NULL AS VARCHAR) AS parent, name, score FROM chosen WHERE level = 1
+UNION SELECT c.query_id, c.level, p.name, c.name, c.score FROM chosen c JOIN chosen p ON p.query_id = c.query_id AND p.level = c.level - 1
+  JOIN edge e ON e.parent = p.name AND e.child = c.name""",
+    ROUTE_VIEWS,
+)
+def routing_trace(v):
+    return graph.route_trace(v.route_query, v.node, v.edge)
+
+
+def _result(v):
+    return graph.routing_result(cut_lineage(graph.route_trace(v.route_query, v.node, v.edge)), v.node, v.edge, v.member, graph.resolve_merges(v.skill))
+
+
+@query(
+    "routing_result",
+    f"""WITH {CHOSEN_SQL}, s AS (SELECT query_id, c.name, min((level, -score)) AS pl, bool_or(is_root) AS is_root, bool_or(c.name IN (SELECT node FROM member)) AS is_leaf
+  FROM chosen c JOIN node n ON n.name = c.name GROUP BY ALL), k AS (SELECT query_id, count(*) AS candidates, md5(string_agg(skill, ',' ORDER BY skill)) AS digest FROM cand GROUP BY query_id),
+r AS ({_REACH}), b AS (SELECT query_id, count(DISTINCT below) AS below FROM s JOIN r ON r.node = s.name GROUP BY query_id)
+SELECT s.query_id, string_agg(name, ',' ORDER BY pl, name) FILTER (WHERE is_root) AS roots, string_agg(name, ',' ORDER BY pl, name) FILTER (WHERE NOT is_root) AS descendants,
+  string_agg(name, ',' ORDER BY pl, name) FILTER (WHERE is_leaf) AS leaves, any_value(coalesce(candidates, 0)) AS candidates, any_value(digest) AS digest, any_value(below) AS below
+FROM s LEFT JOIN k ON k.query_id = s.query_id JOIN b ON b.query_id = s.query_id GROUP BY s.query_id""",
+    ROUTE_VIEWS,
+)
+def routing_result(v):
+    """Selected roots, descendants and leaves in order of choice, the candidates and what lies below."""
+    got = _result(v)
+    at = F.struct("level", (-F.col("score")).alias("weak"), "name")
+    told = lambda cond: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, at))), lambda x: x["name"]), ",")
+    lists = got["selected"].groupBy("query_id").agg(
+        F.nullif(told(F.col("kind") == "root"), F.lit("")).alias("roots"), F.nullif(told(F.col("kind") == "descendant"), F.lit("")).alias("descendants"),
+        F.nullif(told(F.col("is_leaf")), F.lit("")).alias("leaves"),
+    )
+    skills = got["candidates"].groupBy("query_id").agg(
+        F.count(F.lit(1)).alias("candidates"), F.md5(F.array_join(F.array_sort(F.collect_list("skill")), ",")).alias("digest")
+    )
+    below = got["below"].groupBy("query_id").agg(F.count(F.lit(1)).alias("below"))
+    return lists.join(skills, "query_id", "left").join(below, "query_id").select(
+        "query_id", "roots", "descendants", "leaves", F.coalesce("candidates", F.lit(0)).alias("candidates"), "digest", "below"
+    )
+
+
+@query(
+    "routing_levels",
+    f"""WITH {CHOSEN_SQL}, a AS (SELECT query_id, level + 1 AS level, count(DISTINCT child) AS asked FROM chosen JOIN edge ON parent = name GROUP BY ALL),
+p AS (SELECT query_id, level, count(DISTINCT name) AS chosen FROM chosen GROUP BY ALL)
+SELECT coalesce(a.query_id, p.query_id) AS query_id, coalesce(a.level, p.level) AS level, CASE WHEN p.level = 1 THEN (SELECT count(*) FROM node WHERE is_root) ELSE asked END AS asked,
+  coalesce(chosen, 0) AS chosen FROM a FULL JOIN p ON p.query_id = a.query_id AND p.level = a.level""",
+    ROUTE_VIEWS,
+)
+def routing_levels(v):
+    """Nodes asked and chosen on every level of every request."""
+    return _result(v)["levels"]
+
+
 @query(
     "document_lookup",
     f"""WITH {CHOSEN_SQL} SELECT query_id, level, md5(string_agg(description, '|' ORDER BY c.name)) AS cards

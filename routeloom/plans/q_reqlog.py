@@ -92,10 +92,18 @@ def retry_candidates(v):
 
 @query(
     "usage_rollup",
-    """SELECT route, call_id, sum(t)::BIGINT AS tokens, sum(n)::BIGINT AS attempts, round(avg(t), 6) AS mean_tokens FROM (
-  SELECT route, call_id, sum(coalesce(tokens, 0)) AS t, count(*) AS n FROM attempt GROUP BY route, call_id)
+    """SELECT route, call_id, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, round(sum(c)::DOUBLE, 4) AS cost, sum(n)::BIGINT AS attempts,
+  round(avg(i), 6) AS mean_input_tokens, round(avg(o), 6) AS mean_output_tokens, round(avg(c::DOUBLE), 6) AS mean_cost FROM (
+  SELECT route, call_id, sum(coalesce(tokens, 0)) AS i, sum(CASE WHEN status = 'accepted' THEN coalesce(tokens % 17, 0) ELSE 0 END) AS o,
+    sum(coalesce(tokens, 0) * 0.0020::DECIMAL(10, 4)) AS c, count(*) AS n FROM attempt GROUP BY route, call_id)
 GROUP BY ROLLUP (route, call_id)""",
     ("attempt",),
 )
 def usage_rollup(v):
-    return reqlog.usage_rollup(v.attempt).withColumn("mean_tokens", F.round("mean_tokens", 6))
+    """Input tokens and cost of every attempt, output tokens of accepted ones; failed attempts report none."""
+    output = F.when(F.col("status") == "accepted", F.col("tokens") % 17)
+    cost = F.col("tokens").cast("decimal(10,0)") * F.lit("0.0020").cast("decimal(10,4)")
+    log = v.attempt.withColumns({"input_tokens": F.col("tokens"), "output_tokens": output, "cost": cost})
+    got = reqlog.usage_rollup(log)
+    means = {f"mean_{m}": F.round(f"mean_{m}", 6) for m in reqlog.MEASURES}
+    return got.withColumns({"cost": F.round(F.col("cost").cast("double"), 4), **means})

@@ -157,8 +157,7 @@ def identity_leak(v):
     words = F.trim(F.regexp_replace(F.lower("text"), "[^a-z]+", " "))
     named = docs.groupBy("source", "lang").agg(F.min_by(words, "doc_id").alias("w"))
     tokens = named.select("source", F.substring_index("w", " ", 1).alias("token")).where("token <> ''").distinct()
-    met = docs.select("doc_id", "source", F.lower("text").alias("low")).join(tokens, "source").where(F.contains("low", "token"))
-    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("leaks"))
+    return resume.identity_leaks(docs.select("doc_id", "source", "text"), tokens, "source", "doc_id", "text")
 
 
 @query(
@@ -257,7 +256,9 @@ def publish_split(v):
     """Published rows in source order, expanded and audit projections joined for comparison."""
     done = v.table("documents").join(v.table("labels"), "doc_id")
     extra = F.when(F.col("toxic") == 0, F.col("source")).otherwise("")
-    results = ordered.positions(done, [], ["doc_id"], "ord").select(
+    # only ids are numbered; texts meet their number after it
+    numbered = done.join(ordered.positions(done.select("doc_id"), [], ["doc_id"], "ord"), "doc_id")
+    results = numbered.select(
         "ord", F.col("doc_id").alias("data_id"), F.col("text").alias("original_query"), extra.alias("expanded_query"),
         tx.append_requirements(F.col("text"), extra).alias("query"), F.col("quality").alias("audit_quality"),
     )

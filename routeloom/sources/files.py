@@ -6,8 +6,8 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from routeloom.functions import text as tx
 from routeloom.operators import contracts, ordered
+from routeloom.session import cut_lineage
 
 # Which files of a source tree are read.
 SOURCE_SUFFIXES = [
@@ -105,9 +105,9 @@ def suffix_of(name: Column) -> Column:
     return F.lower(F.regexp_extract(name, "(\\.[^./]+)$", 1))
 
 
-def source_tree_scan(spark: SparkSession, root: str) -> DataFrame:
-    """Readable files of each site directory below ``root``: preferred entry files first, then by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).where("length > 0")
+def source_tree_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files of each site directory below ``root`` that are worth reading, by path and length alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_plain_path(root)).select("path", "length").where("length > 0")
     base = re.sub("^file:/*", "/", root).rstrip("/")
     below = F.substring("path", F.instr("path", base) + len(base) + 1, F.length("path"))
     parts = F.split(below, "/")
@@ -118,12 +118,30 @@ def source_tree_scan(spark: SparkSession, root: str) -> DataFrame:
         & (F.size(parts) >= 2)
     )
     return files.where(keep).select(
-        F.element_at(parts, 1).alias("site"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("path"), suffix_of(name).alias("suffix"),
-        F.when(F.lower(name).isin(ENTRY_FILES), 0).otherwise(1).alias("pref"), F.lower(name).isin("index.html", "index.htm").alias("is_index"),
-        F.decode("content", "UTF-8").alias("text"),
+        F.col("path").alias("address"), "length", F.element_at(parts, 1).alias("site"), F.array_join(F.slice(parts, 2, F.size(parts)), "/").alias("path"),
+        suffix_of(name).alias("suffix"), F.when(F.lower(name).isin(ENTRY_FILES), 0).otherwise(1).alias("pref"), F.lower(name).isin("index.html", "index.htm").alias("is_index"),
     )
 
 
+def source_tree_scan(spark: SparkSession, root: str) -> DataFrame:
+    """Readable files of each site directory below ``root``: preferred entry files first, then by path.
+
+    Files are chosen by path and length, then only those are opened: no byte of another file
+    is read.  The chosen names pass through the driver, which lists the tree in any case.
+    """
+    kept = cut_lineage(source_tree_files(spark, root))
+    names = [_plain_path(r["address"]) for r in kept.select("address").toLocalIterator()]
+    if not names:
+        return kept.select("site", "path", "suffix", "pref", "is_index", F.lit(None).cast("string").alias("text"))
+    content = spark.read.format("binaryFile").load(names).select(F.col("path").alias("address"), F.decode("content", "UTF-8").alias("text"))
+    return kept.join(content, "address").select("site", "path", "suffix", "pref", "is_index", "text")
+
+
+def _plain_path(address: str) -> str:
+    """An address as a path pattern that means that file alone."""
+    return re.sub(r"([\\*?{}\[\]])", r"\\\1", address)
+
+
 def site_folders(sites: DataFrame) -> DataFrame:
     """Among folders sharing a number the longest name is kept; ids from the number."""
     number = F.regexp_extract("site", "^(\\d{4})[-_]", 1)
@@ -183,8 +201,3 @@ def provenance_source(spark: SparkSession, path: str) -> DataFrame:
     item = "struct<skill:string,title:string,url:string,case_id:string>"
     body = spark.read.text(path, wholetext=True).select(F.from_json("value", f"map<string,array<{item}>>").alias("m"))
     return body.select(F.explode("m").alias("case", "items")).select("case", F.posexplode("items").alias("pos", "i")).select("case", "pos", "i.*")
-
-
-def readable_text(text: Column, suffix: Column) -> Column:
-    """Source text with embedded data removed and lines broken."""
-    return tx.break_markup(tx.scrub_data_uri(text), suffix)
