@@ -159,7 +159,8 @@ class Views:
     @cached_property
     def batch(self) -> DataFrame:
         """All candidates of each request in the order of their review."""
-        return ordered.positions(self.line, ["l_orderkey"], ["ln", "l_partkey"], "pos")
+        # Read by several branches of a query: one table, and one scan of the lines for it.
+        return cut_lineage(ordered.positions(cut_lineage(self.line), ["l_orderkey"], ["ln", "l_partkey"], "pos"))
 
     @cached_property
     def batch_part(self) -> DataFrame:
@@ -184,22 +185,22 @@ class Views:
     @cached_property
     def relation(self) -> DataFrame:
         """All pairs of the ten best scored candidates of a request, its diagnosis batch."""
-        me = F.struct("skill", "p_type", "brand", "typ", "p_size")
         best = ordered.top_k(self.batch_part, ["l_orderkey"], [F.desc("score"), "ln", "l_partkey"], DIAGNOSED, "place")
-        best = best.groupBy("l_orderkey").agg(F.collect_list(me).alias("all"))
-        rows = best.select("l_orderkey", F.explode("all").alias("x"), "all")
-        rows = rows.select("l_orderkey", "x", F.explode(F.filter("all", lambda y: y["skill"] > F.col("x.skill"))).alias("y"))
+        best = cut_lineage(best.select("l_orderkey", "skill", "p_type", "brand", "typ", "p_size"))
         sources = self.batch.where("pos = 1").select("l_orderkey", F.col("skill").alias("source"))
-        rows = rows.join(sources, "l_orderkey")
+        x, y = best.alias("x"), best.alias("y")
+        met = (F.col("x.l_orderkey") == F.col("y.l_orderkey")) & (F.col("x.skill") < F.col("y.skill"))
+        # a request has ten rows at most
+        rows = x.join(y, met).join(sources.alias("s"), F.col("x.l_orderkey") == F.col("s.l_orderkey"))
         same = F.col("x.p_type") == F.col("y.p_type")
         # Several branches of a plan read the relations: one table instead of one scan each.
         return cut_lineage(rows.select(
-            F.col("l_orderkey").alias("query_id"),
+            F.col("x.l_orderkey").alias("query_id"),
             "source",
             F.col("x.skill").alias("a"),
             F.col("y.skill").alias("b"),
             F.when(same, "same").otherwise("alternative_same_position").alias("relation"),
-            F.concat(F.lit("r_"), F.col("l_orderkey").cast("string")).alias("reason"),
+            F.concat(F.lit("r_"), F.col("x.l_orderkey").cast("string")).alias("reason"),
             F.when(same, "").when(F.col("x.p_size") <= 25, F.col("x.typ")).otherwise(F.col("x.brand")).alias("split_parent"),
             F.when(same, "").otherwise(F.concat("x.p_type", F.lit("/"), "y.p_type")).alias("distinction"),
         ))
