@@ -396,6 +396,13 @@ def bic_select(fits: DataFrame, group: str) -> DataFrame:
     return ordered.top_k(fits, [group], ["bic", "k"], 1, "_n").drop("_n")
 
 
+def mixture_summary(chosen: DataFrame, rows: int, dims: int) -> DataFrame:
+    """Per chosen component count: groups, converged ones, components per row, the best criterion and the dimensions."""
+    per = chosen.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if("converged").alias("converged"), F.round(F.min("bic"), 6).alias("best"))
+    share = F.round(F.col("k") * F.col("groups") / rows, 6)
+    return per.select("k", "groups", "converged", share.alias("components_per_row"), "best", F.lit(dims).alias("dimensions"))
+
+
 def unit_means(chosen: DataFrame, group: str) -> DataFrame:
     """One row per component with its unit mean."""
     rows = chosen.select(group, F.posexplode("means").alias("component", "_m"))

@@ -147,10 +147,19 @@ def _merge_list(v):
     return ordered.positions(rows, [], ["k1", "k2"], "ord")
 
 
-
-@query("pick_merges")
+@query(
+    "pick_merges",
+    """WITH pr AS (SELECT DISTINCT a, b FROM relation WHERE relation = 'same'),
+ml AS MATERIALIZED (SELECT row_number() OVER (ORDER BY least(p.p_partkey, q.p_partkey), greatest(p.p_partkey, q.p_partkey)) AS i,
+  CASE WHEN p.p_partkey < q.p_partkey THEN a ELSE b END AS keep, CASE WHEN p.p_partkey < q.p_partkey THEN b ELSE a END AS remove FROM pr JOIN part_dag p ON p.skill = a JOIN part_dag q ON q.skill = b),
+st AS (WITH RECURSIVE f(i, gone, ok) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), false
+  UNION ALL SELECT ml.i, CASE WHEN list_contains(gone, keep) OR list_contains(gone, remove) THEN gone ELSE list_append(gone, remove) END,
+    NOT (list_contains(gone, keep) OR list_contains(gone, remove)) FROM f JOIN ml ON ml.i = f.i + 1) SELECT i FROM f WHERE ok)
+SELECT ml.i AS ord, keep, remove FROM ml JOIN st ON st.i = ml.i""",
+    ("relation", "part_dag"),
+)
 def pick_merges(v):
-    """Accepted merges of the whole ordered list (sequential semantics; compared with a fold in the tests)."""
+    """Accepted merges of the whole ordered list, as a fold over it would accept them."""
     return patches.pick_merges(_merge_list(v)).select("ord", "keep", "remove")
 
 

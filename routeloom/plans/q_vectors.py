@@ -90,31 +90,71 @@ def group_mixture(v):
     return _fits(v).select("label", "k", F.round("bic", 3).alias("bic"), "converged", "iterations", "n", "fitted")
 
 
-@query("bic_select")
+#: Candidate fits of every user: three to five criteria each, with ties, and users without a fit.
+_FITS_SQL = """ft AS MATERIALIZED (SELECT user_id AS g, 2 + event_id % 5 AS k, CASE WHEN user_id % 11 = 0 THEN NULL ELSE floor(min(value) * 4) END AS bic, max(value) > 30 AS converged, count(*) AS n
+  FROM events GROUP BY user_id, event_id % 5),
+bs AS MATERIALIZED (SELECT * FROM ft QUALIFY row_number() OVER (PARTITION BY g ORDER BY bic NULLS FIRST, k) = 1)"""
+
+
+def _fit_table(v):
+    per = v.table("events").groupBy(F.col("user_id").alias("g"), (2 + F.col("event_id") % 5).alias("k")).agg(
+        F.floor(F.min("value") * 4).cast("double").alias("bic"), (F.max("value") > 30).alias("converged"), F.count(F.lit(1)).alias("n")
+    )
+    return per.withColumn("bic", F.when(F.col("g") % 11 != 0, F.col("bic")))
+
+
+@query("bic_select", f"WITH {_FITS_SQL} SELECT g, k, bic, n FROM bs")
 def bic_select(v):
-    return vectors.bic_select(_fits(v), "label").select("label", "k", F.round("bic", 3).alias("bic"), "n", "fitted")
+    """The smallest criterion of each group's fits, ties to fewer components."""
+    return vectors.bic_select(_fit_table(v), "g").select("g", "k", "bic", "n")
 
 
-@query("component_histogram")
+@query(
+    "component_histogram",
+    f"""WITH {_FITS_SQL} SELECT k, count(*) AS groups, count(*) FILTER (WHERE converged) AS converged, round(k * count(*) * 1.0 / (SELECT sum(n) FROM ft), 6) AS components_per_row,
+  round(min(bic), 6) AS best, 64 AS dimensions FROM bs GROUP BY k""",
+)
 def component_histogram(v):
-    """Chosen component counts, with convergence and the share of means per vector."""
-    chosen = vectors.bic_select(_fits(v), "label")
-    rows = v.vector.count()
-    per = chosen.groupBy("k").agg(F.count(F.lit(1)).alias("groups"), F.count_if("converged").alias("converged"))
-    return per.withColumn("means_per_vector", F.round(F.col("k") * F.col("groups") / rows, 6))
+    """Chosen component counts over the fits: groups, convergence, compression, best criterion and dimensions."""
+    fits = _fit_table(v)
+    rows = fits.agg(F.sum("n").alias("n")).first()["n"] or 1
+    return vectors.mixture_summary(vectors.bic_select(fits, "g"), rows, 64)
+
+
+@query("mixture_choice")
+def mixture_choice(v):
+    """The mixtures that the embedding groups get, end to end (compared with a plain fit in the tests)."""
+    return vectors.mixture_summary(vectors.bic_select(_fits(v), "label"), v.vector.count(), 64)
+
+
+_MEDOID_SQL = """cm AS (SELECT label, comp, list(x ORDER BY i) AS m FROM (SELECT label, vec_id % 3 AS comp, i, avg(v[i]) AS x FROM
+  (SELECT vec_id, label, v, unnest(range(1, len(v) + 1)) AS i FROM vector) GROUP BY ALL) GROUP BY label, comp),
+sc AS MATERIALIZED (SELECT vector.label, comp, vec_id, round(list_dot_product(v, m) / sqrt(list_dot_product(m, m)), 12) AS cosine FROM vector JOIN cm ON cm.label = vector.label),
+m0 AS (SELECT * FROM sc WHERE comp = 0 QUALIFY row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) = 1),
+m1 AS (SELECT * FROM sc WHERE comp = 1 AND (label, vec_id) NOT IN (SELECT (label, vec_id) FROM m0) QUALIFY row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) = 1),
+m2 AS (SELECT * FROM sc WHERE comp = 2 AND (label, vec_id) NOT IN (SELECT (label, vec_id) FROM m0 UNION ALL SELECT (label, vec_id) FROM m1)
+  QUALIFY row_number() OVER (PARTITION BY label ORDER BY cosine DESC, vec_id) = 1),
+md AS MATERIALIZED (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2)"""
 
 
 def _medoids(v):
-    means = vectors.unit_means(vectors.bic_select(_fits(v), "label"), "label")
+    """Three means per label, by id; the second and third skip what an earlier one took."""
+    comp = v.vector.withColumn("part", F.struct("label", (F.col("vec_id") % 3).cast("int").alias("component")))
+    means = vectors.group_means(comp, "part", "v").select("part.label", "part.component", vx.l2_normalize(F.col("mean")).alias("mean"))
     return vectors.distinct_medoids(v.vector, means, "label", "vec_id", "v")
 
 
-@query("distinct_medoids")
+@query("distinct_medoids", f"WITH {_MEDOID_SQL} SELECT label, comp AS component, vec_id, round(cosine, 9) AS cosine FROM md", ("vector",))
 def distinct_medoids(v):
-    return _medoids(v)
+    return _medoids(v).withColumn("cosine", F.round("cosine", 9))
 
 
-@query("medoid_ids")
+@query(
+    "medoid_ids",
+    f"""WITH {_MEDOID_SQL} SELECT printf('pqr-medoid-%04d-%02d', label, CAST(comp AS INTEGER)) AS representative_id, label, comp AS component, vec_id, round(cosine, 8) AS component_medoid_cosine,
+  'representative_potential_query' AS role FROM md""",
+    ("vector",),
+)
 def medoid_ids(v):
     return _medoids(v).select(
         F.format_string("pqr-medoid-%04d-%02d", "label", "component").alias("representative_id"), "label", "component", "vec_id",

@@ -140,8 +140,24 @@ def test_split_and_summary_sinks(spark, tmp_path):
     df = spark.createDataFrame([(2, "b"), (1, "a")], "ord int, q string")
     sinks.publish_split(df, df.drop("q"), out)
     assert [r.q for r in spark.read.json(f"{out}/expanded").collect()] == ["a", "b"]
-    sinks.run_summary(df.agg(F.count(F.lit(1)).alias("n")), f"{out}/summary")
-    assert spark.read.json(f"{out}/summary").first().n == 2
+    states = spark.createDataFrame([(1, "done"), (2, "done"), (3, None), (4, "new")], "id int, state string")
+    sinks.run_summary("stage", states, "state", f"{out}/summary", {"last": F.max("id")})
+    told = spark.read.json(f"{out}/summary").first()
+    assert (told.stage, told.rows, told["last"], told.states.asDict()) == ("stage", 4, 4, {"done": 2, "new": 1, "unknown": 1})
+    assert rows(sinks.read_summary(spark, f"{out}/summary"), "state", "n") == [("all", 4), ("done", 2), ("new", 1), ("unknown", 1)]
+    sinks.run_summary("none", states.where("false"), "state", f"{out}/empty")
+    assert rows(sinks.read_summary(spark, f"{out}/empty"), "state", "n") == [("all", 0)]
+
+
+def test_edit_rows_of_all_versions(spark, tmp_path):
+    root = str(tmp_path / "catalog")
+    node = spark.createDataFrame([("a",)], "name string")
+    sinks.checkpoint_sink(spark, root, {"node": node})
+    assert sinks.edit_rows(spark, root, ["operation"]).count() == 0
+    for n, operations in enumerate((["x", "y"], [], ["z"]), 1):
+        sinks.checkpoint_sink(spark, root, {"node": node}, spark.createDataFrame([(o,) for o in operations], "operation string"))
+    got = rows(sinks.edit_rows(spark, root, ["operation"]), "version", "from_checkpoint", "operation")
+    assert got == [(1, "query_induced_round0", "x"), (1, "query_induced_round0", "y"), (3, "query_induced_round2", "z")]
 
 
 def test_front_matter(spark):
