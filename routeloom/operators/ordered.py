@@ -1,10 +1,9 @@
 """Ordered scans that stay distributed when one group holds most of the rows.
 
-A plain window sorts a whole group inside one task.  Each function here first
-measures the largest group; while it is small the plain window is used, beyond
-that rows are range-partitioned on (keys, order), every slice is reduced to one
-partial, the partials are prefixed (one row per group and slice) and joined back.
-Both plans give the same rows.
+A plain window sorts a whole group inside one task.  Here rows are range-partitioned on
+(keys, order), every slice is reduced to one partial, the partials are prefixed (one row per
+group and slice) and joined back, and windows run inside a slice only.  There is one plan,
+whatever the sizes of the groups.
 """
 
 from __future__ import annotations
@@ -13,18 +12,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from routeloom.session import cut_lineage, hot_group_rows
+from routeloom.session import cut_lineage
 
 _ALL = "_whole_table"
 EARLY_LIMIT = 1000
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the biggest group (one number reaches the driver)."""
-    counts = df.groupBy(*keys).count() if keys else df.groupBy().count()
-    return counts.agg(F.coalesce(F.max("count"), F.lit(0)).alias("n")).first()["n"]
-
-
 def _fold(agg: str, value: Column) -> Column:
     return {"sum": F.sum, "count": F.count, "max": F.max, "min": F.min}[agg](value)
 
@@ -35,22 +28,14 @@ def _merge(agg: str, left: Column, right: Column) -> Column:
     return (F.greatest if agg == "max" else F.least)(left, right)
 
 
-def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    specs: dict[str, tuple[str, Column, bool]],
-    limit: int | None = None,
-) -> DataFrame:
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], specs: dict[str, tuple[str, Column, bool]]) -> DataFrame:
     """Running aggregates per group.
 
     ``specs`` maps an output name to ``(sum|count|max|min, value, inclusive)``;
     an exclusive aggregate covers the rows before the current one.  ``order``
     must be a total order inside each group.
     """
-    limit = limit or hot_group_rows(df.sparkSession)
     keys = list(keys)
-    hot = largest_group(df, keys) > limit
     if not keys:
         df = df.withColumn(_ALL, F.lit(0))
         keys = [_ALL]
@@ -59,22 +44,10 @@ def running(
         w = Window.partitionBy(*parts).orderBy(*order)
         return w.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
 
-    if not hot:
-        out = df
-        for name, (agg, value, inclusive) in specs.items():
-            col = _fold(agg, value).over(frame(keys, inclusive))
-            if agg in ("sum", "count"):
-                col = F.coalesce(col, F.lit(0))
-            out = out.withColumn(name, col)
-        return out.drop(_ALL)
-
     values = {f"_v_{name}": value for name, (_, value, _) in specs.items()}
-    slices = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # spark_partition_id is only stable once written, hence the checkpoint.
+    # The number of a slice is only stable once written.
     ranged = cut_lineage(
-        df.withColumns(values)
-        .repartitionByRange(slices, *keys, *order)
-        .withColumn("_slice", F.spark_partition_id())
+        df.withColumns(values).repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
     )
     partials = ranged.groupBy(*keys, "_slice").agg(
         *[_fold(agg, F.col(f"_v_{n}")).alias(f"_p_{n}") for n, (agg, _, _) in specs.items()]
@@ -89,28 +62,24 @@ def running(
             .alias(f"_c_{n}")
             for n, (agg, _, _) in specs.items()
         ],
-    )
+        F.row_number().over(Window.partitionBy(*keys).orderBy("_slice")).alias("_k_part"),
+    ).where("_k_part > 1")
+    # Only groups that lie in several slices have something to carry: at most one group per slice edge.
     same = ranged["_slice"] == carried["_k_slice"]
     for k in keys:
         same = same & ranged[k].eqNullSafe(carried[f"_k_{k}"])
-    out = ranged.join(carried, same)
+    out = ranged.join(carried, same, "left")
     for name, (agg, _, inclusive) in specs.items():
         inner = _fold(agg, F.col(f"_v_{name}")).over(frame([*keys, "_slice"], inclusive))
         out = out.withColumn(name, _merge(agg, F.col(f"_c_{name}"), inner))
-    helper = ["_k_slice", *[f"_k_{k}" for k in keys]]
+    helper = ["_k_slice", "_k_part", *[f"_k_{k}" for k in keys]]
     helper += [f"_v_{n}" for n in specs] + [f"_c_{n}" for n in specs] + ["_slice", _ALL]
     return out.drop(*helper)
 
 
-def positions(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    out: str = "pos",
-    limit: int | None = None,
-) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "pos") -> DataFrame:
     """1-based position inside each group (``keys=[]`` numbers the whole table)."""
-    return running(df, keys, order, {out: ("count", F.lit(1), True)}, limit)
+    return running(df, keys, order, {out: ("count", F.lit(1), True)})
 
 
 def trailing(

@@ -42,11 +42,21 @@ def slice_rows(df: DataFrame, order: Sequence[str], offset: int = 0, limit: int
 def char_budget(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], text: str, budget: int, joint: int = 0
 ) -> DataFrame:
-    """Keep text until the budget is used up: the crossing row is cut, later rows dropped."""
-    spent = ordered.running(df, keys, order, {"used": ("sum", F.length(text) + joint, False)})
-    kept = spent.where(F.col("used") < budget)
+    """Keep text until the budget is used up: the crossing row is cut, later rows dropped.
+
+    Only lengths are scanned; the texts that stay meet their place by (keys, order), which
+    has to be unique.
+    """
+    names = [*keys, *order]
+    lengths = df.select(*names, F.length(text).alias("_length"))
+    spent = ordered.running(lengths, keys, order, {"used": ("sum", F.col("_length") + joint, False)})
+    kept = spent.where(F.col("used") < budget).select(*[F.col(c).alias(f"_k_{c}") for c in names], "used")
+    met = None
+    for c in names:
+        same = F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+        met = same if met is None else met & same
     room = F.lit(budget) - F.col("used")
-    return kept.withColumns(
+    return df.join(kept, met).drop(*[f"_k_{c}" for c in names]).withColumns(
         {
             "truncated": F.length(text) > room,
             text: F.substring(F.col(text), F.lit(1), room.cast("int")),

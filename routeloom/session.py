@@ -10,16 +10,9 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-HOT_GROUP_CONF = "routeloom.hotGroupRows"
-HOT_GROUP_DEFAULT = 1_000_000
 _WRITTEN: list[str] = []
 
 
-def hot_group_rows(spark: SparkSession) -> int:
-    """Largest group a single task may hold; beyond it the sliced plans are used."""
-    return int(spark.conf.get(HOT_GROUP_CONF, str(HOT_GROUP_DEFAULT)))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only for a local master (tests).
 
