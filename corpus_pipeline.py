@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from routeloom.llm import bpe, decontaminate, jaccard, pii, toxicity
 from routeloom.llm.common import table
-from routeloom.session import shared_dir
+from routeloom.session import forget_later, shared_dir
 
 #: Near copies: word 5-grams at a Jaccard similarity of 0.8.
 COPY_WIDTH, COPY_NUM, COPY_DEN = 5, 80, 100
@@ -27,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest doc_id of each group of near copies."""
+    """Keep the document of the smallest doc_id of each group of near copies; see ``jaccard.drop_near_copies`` for repeated ids."""
     return jaccard.drop_near_copies(docs, COPY_WIDTH, COPY_NUM, COPY_DEN)
 
 
@@ -46,7 +46,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_tokens and ids; a text that does not decode to itself ends the run."""
     vocab = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs, vocab), vocab)
+    coded = bpe.recode(docs, vocab)
     same = F.col("decoded") == F.coalesce("text", F.lit(""))
     checked = F.when(same, F.col("n_tokens")).otherwise(F.raise_error(F.lit("a text does not decode to itself")).cast("long"))
     return coded.select("doc_id", "lang", "source", checked.alias("n_tokens"), "ids")
@@ -65,10 +65,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; each result is a table in the shared folder."""
+    """Apply the stages to documents; each result is a table in the shared folder.
+
+    Null and empty texts are neither toxic, copies nor contaminated: they come out with no
+    tokens.  Documents with the same text but different ids are copies, documents with the
+    same id but different texts are not.  An empty table gives an empty result.  The tables
+    are entered for ``session.drop_scratch``.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
+        forget_later(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
