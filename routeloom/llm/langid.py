@@ -3,8 +3,9 @@
 The pieces are those of a fixed public vocabulary that the learning rows hold; each
 language has its own piece probabilities, learned by expectation maximisation.  A
 word's probability is the sum over every way to cut it into pieces (forward
-algorithm); all distinct words of a batch run in step.  A text's score adds up its
-words' logarithms, so every character of every text counts.
+algorithm), pieces of any length and words of any length; all distinct words of a batch run
+in step.  A text's score adds up its words' logarithms, so every character of every text
+counts.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ from routeloom.session import cut_lineage
 #: Expected learning rows per language; a language with fewer gives all of them.
 SAMPLE_PER_LANG = 5_000
 ROUNDS = 2
-MAX_PIECE = 7
-CUT = 32  # a run of letters is taken in parts of so many characters
+LEARN_WORD = 40  # longer runs of letters are scored, but not learned from
+RESCALE = 16  # steps between two rescalings of the forward sums
+CELLS = 1 << 20  # places times words that run in step
 UNKNOWN = 1e-5
 SMOOTH = 0.05
 MEMO = 200_000
@@ -35,10 +37,7 @@ MARK = "▁"
 
 
 def words(text: str | None) -> list[str]:
-    out = _LETTERS.findall((text or "").lower())
-    if out and max(map(len, out)) > CUT:
-        out = [w[k : k + CUT] for w in out for k in range(0, len(w), CUT)]
-    return out
+    return _LETTERS.findall((text or "").lower())
 
 
 @task_cache(2)
@@ -46,7 +45,7 @@ def pieces_of(vocab_path: str) -> tuple[str, ...]:
     """Pieces of letters, with the word mark at most in front."""
     sp = sentencepiece.SentencePieceProcessor(model_file=vocab_path)
     found = {sp.id_to_piece(k).lower() for k in range(sp.get_piece_size())}
-    return tuple(sorted(p for p in found if len(p) <= MAX_PIECE and p.removeprefix(MARK).isalpha()))
+    return tuple(sorted(p for p in found if p.removeprefix(MARK).isalpha()))
 
 
 class Pieces:
@@ -84,17 +83,24 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((self.keys[at] == key) & (state > 0), self.to[at], 0)
 
-    def lattice(self, part: list[str]) -> np.ndarray:
-        """[place, length - 1, word] -> piece or -1, for words of one length (the mark in front counts)."""
+    def lattice(self, part: list[str]) -> list[list[tuple[np.ndarray, np.ndarray]]]:
+        """For words of one length, per place (the mark in front is one) and length - 1: which words have a piece there, and which piece."""
         size = len(part[0]) + 1
         get = self.letter.get
         codes = np.array([[get(c, 0) for c in MARK + w] for w in part], np.int32).T
-        out = np.full((size, MAX_PIECE, len(part)), -1, np.int32)
+        out = []
         for at in range(size):
-            state = np.ones(len(part), np.int32)
-            for k in range(min(MAX_PIECE, size - at)):
-                state = self.step(state, codes[at + k])
-                out[at, k] = self.ends[state]
+            rows, state, arcs = np.arange(len(part)), np.ones(len(part), np.int32), []
+            for k in range(size - at):
+                state = self.step(state, codes[at + k][rows])
+                alive = state > 0
+                rows, state = rows[alive], state[alive]
+                if not len(rows):
+                    break
+                ends = self.ends[state]
+                hit = ends >= 0
+                arcs.append((rows[hit], ends[hit]))
+            out.append(arcs)
         return out
 
 
@@ -103,39 +109,40 @@ def by_length(found: list[str], most: int = 4096):
     order = sorted(found, key=len)
     at = 0
     while at < len(order):
-        end = at
-        while end < len(order) and end - at < most and len(order[end]) == len(order[at]):
+        end, room = at, max(1, min(most, CELLS // (len(order[at]) + 1)))
+        while end < len(order) and end - at < room and len(order[end]) == len(order[at]):
             end += 1
         yield order[at:end]
         at = end
 
 
-def arcs_of(lattice: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Probability of each lattice arc per language; one letter is always possible."""
-    arc = table[lattice]  # the last row, for -1, is zero
-    single = arc[:, 0]
-    arc[:, 0] = np.where(single.max(axis=-1, keepdims=True) > 0, single, UNKNOWN)
-    return arc
-
-
-def forward(arc: np.ndarray) -> np.ndarray:
-    size = arc.shape[0]
-    alpha = np.zeros((size + 1, *arc.shape[2:]))
+def _arcs(lattice: list, table: np.ndarray, n: int):
+    """``place, length - 1, words, pieces, probabilities`` of all arcs in order; one letter is always possible."""
+    for at, arcs in enumerate(lattice):
+        single = np.zeros((n, table.shape[1]))
+        if arcs:
+            rows, ids = arcs[0]
+            single[rows] = table[ids]
+        single[single.max(axis=1) == 0] = UNKNOWN
+        yield at, 0, slice(None), None, single
+        for k, (rows, ids) in enumerate(arcs[1:], 1):
+            if len(rows):
+                yield at, k, rows, ids, table[ids]
+
+
+def log_totals(lattice: list, table: np.ndarray, n: int) -> np.ndarray:
+    """Logarithm of the sum over all segmentations, per word and language."""
+    size = len(lattice)
+    alpha = np.zeros((size + 1, n, table.shape[1]))
     alpha[0] = 1
-    for at in range(size):
-        for k in range(min(MAX_PIECE, size - at)):
-            alpha[at + k + 1] += alpha[at] * arc[at, k]
-    return alpha
-
-
-def backward(arc: np.ndarray) -> np.ndarray:
-    size = arc.shape[0]
-    beta = np.zeros((size + 1, *arc.shape[2:]))
-    beta[size] = 1
-    for at in range(size - 1, -1, -1):
-        for k in range(min(MAX_PIECE, size - at)):
-            beta[at] += arc[at, k] * beta[at + k + 1]
-    return beta
+    logs = np.zeros(alpha.shape[1:])
+    for at, k, rows, _, p in _arcs(lattice, table, n):
+        if k == 0 and at and at % RESCALE == 0:
+            most = alpha[at:].max(axis=0)  # later places hold sums already
+            alpha[at:] /= most
+            logs += np.log(most)
+        alpha[at + k + 1][rows] += alpha[at][rows] * p
+    return logs + np.log(np.maximum(alpha[size], 1e-300))
 
 
 def expected(pieces: Pieces, table: np.ndarray, found: list[str], counts: np.ndarray) -> np.ndarray:
@@ -143,16 +150,25 @@ def expected(pieces: Pieces, table: np.ndarray, found: list[str], counts: np.nda
     total = np.zeros_like(table)
     row = {w: k for k, w in enumerate(found)}
     for part in by_length(found):
-        lattice = pieces.lattice(part)
-        arc = arcs_of(lattice, table)
-        alpha, beta = forward(arc), backward(arc)
-        share = counts[[row[w] for w in part]] / np.maximum(alpha[-1], 1e-300)
-        size = arc.shape[0]
-        for k in range(min(MAX_PIECE, size)):
-            use = alpha[: size - k] * arc[: size - k, k] * beta[k + 1 :] * share
-            ids = lattice[: size - k, k].ravel()
+        lattice, n = pieces.lattice(part), len(part)
+        size = len(lattice)
+        alpha, beta = np.zeros((2, size + 1, n, table.shape[1]))
+        alpha[0], beta[size] = 1, 1
+        arcs = list(_arcs(lattice, table, n))
+        for at, k, rows, _, p in arcs:
+            alpha[at + k + 1][rows] += alpha[at][rows] * p
+        for at, k, rows, _, p in reversed(arcs):
+            beta[at][rows] += p * beta[at + k + 1][rows]
+        share = counts[[row[w] for w in part]] / np.maximum(alpha[size], 1e-300)
+        for at, k, rows, ids, p in arcs:
+            if ids is None:
+                if not lattice[at]:
+                    continue
+                rows, ids = lattice[at][0]
+                p = table[ids]
+            use = alpha[at][rows] * p * beta[at + k + 1][rows] * share[rows]
             for lang in range(table.shape[1]):
-                total[:, lang] += np.bincount(ids[ids >= 0], use[..., lang].ravel()[ids >= 0], len(table))
+                total[:, lang] += np.bincount(ids, use[:, lang], len(table))
     return total
 
 
@@ -167,9 +183,8 @@ class Model:
 
     def learn(self, new: list[str]) -> None:
         for part in by_length(new):
-            value = forward(arcs_of(self.pieces.lattice(part), self.table))[-1]
             at = len(self.row)
-            self.logs[at : at + len(part)] = np.log(np.maximum(value, 1e-300))
+            self.logs[at : at + len(part)] = log_totals(self.pieces.lattice(part), self.table, len(part))
             for w in part:
                 self.row[w] = len(self.row)
 
@@ -260,7 +275,8 @@ def learn(docs: DataFrame, vocab_path: str, per_lang: int = SAMPLE_PER_LANG, rou
         for texts, marks in slices:
             for t, lang in zip(texts, marks):
                 for w, n in Counter(words(t)).items():
-                    seen[w, lang] += n
+                    if len(w) <= LEARN_WORD:
+                        seen[w, lang] += n
         items = list(seen.items())
         for at in range(0, len(items), 20_000):
             part = items[at : at + 20_000]

@@ -1,9 +1,11 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and runs of words.
+"""Document fingerprints: a Merkle tree over sections, paragraphs and leaves.
 
 Sections are parted by blank lines, paragraphs by line ends.  A paragraph's hash
 covers its exact text, a section's the hashes of its paragraphs, the root's those of
-the sections: equal roots mean equal texts.  Runs of ``RUN`` words below a paragraph
-say how much of a changed paragraph is left.
+the sections, all in full: equal roots mean equal texts.  Branches are told by short hashes.
+Leaves below a paragraph say how much of a changed one is left.  They are cut by content:
+where a rolling hash of the last characters meets a rule, so that leaves line up again
+behind an edit, with or without blanks in the text.
 """
 
 from __future__ import annotations
@@ -20,29 +22,51 @@ from pyspark.sql import DataFrame, functions as F
 from routeloom.llm.common import append
 from routeloom.session import ship_package
 
-RUN = 5
+#: Characters that decide a cut, its mean distance, and the shortest and longest leaf.
+WINDOW, DISTANCE, SHORTEST, LONGEST = 4, 20, 6, 96
+_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
 def _hash(parts: list[bytes]) -> str:
     return hashlib.sha256(b"".join(len(p).to_bytes(8, "little") + p for p in parts)).hexdigest()
 
 
+def leaves(line: str) -> list[str]:
+    """A paragraph cut by content; its leaves joined are the paragraph."""
+    if len(line) <= SHORTEST:
+        return [line] if line else []
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+    mixed = np.zeros(len(codes), np.uint32)
+    for back, factor in enumerate(_FACTORS[:WINDOW]):
+        mixed[back:] += (codes[: len(codes) - back] + np.uint32(1)) * factor
+    mixed ^= mixed >> np.uint32(15)
+    marks = np.flatnonzero(mixed % np.uint32(DISTANCE) == 0) + 1
+    out, start = [], 0
+    for end in [*marks.tolist(), len(line)]:
+        while end - start > LONGEST:
+            out.append(line[start : start + LONGEST])
+            start += LONGEST
+        if end - start >= SHORTEST or (end == len(line) and end > start):
+            out.append(line[start:end])
+            start = end
+    return out
+
+
 def tree(text: str | None) -> tuple:
-    """(root, [(section, [(paragraph, [run, ...]), ...]), ...]); an empty text has a root only."""
-    sections = []
+    """(root, [(section, [(paragraph, [leaf, ...]), ...]), ...]); an empty text has a root only."""
+    sections, full = [], []
     short = xxhash.xxh32_hexdigest
     for part in (text or "").split("\n\n") if text else []:
-        paragraphs = []
-        for line in part.split("\n"):
-            words = line.split()
-            runs = [short(" ".join(words[k : k + RUN])) for k in range(0, len(words), RUN)]
-            paragraphs.append((hashlib.sha256(line.encode()).hexdigest()[:16], runs))
-        sections.append((_hash([p.encode() for p, _ in paragraphs])[:16], paragraphs))
-    return _hash([s.encode() for s, _ in sections]), sections
+        lines = part.split("\n")
+        whole = [hashlib.sha256(line.encode("utf-8", "surrogatepass")).hexdigest() for line in lines]
+        full.append(_hash([p.encode() for p in whole]))
+        paragraphs = [(p[:16], [short(x.encode("utf-8", "surrogatepass")) for x in leaves(line)]) for p, line in zip(whole, lines)]
+        sections.append((full[-1][:16], paragraphs))
+    return _hash([s.encode() for s in full]), sections
 
 
 def dump(node: tuple) -> str:
-    """root;section(paragraph:runs,...)... — short hashes joined without gaps."""
+    """root;section(paragraph:leaves,...)... — short hashes joined without gaps."""
     root, sections = node
     return root + "".join(f";{s}(" + ",".join(p + ":" + "".join(r) for p, r in ps) + ")" for s, ps in sections)
 
@@ -78,7 +102,7 @@ def _size(sections: list) -> int:
 
 
 def likeness(a: tuple, b: tuple) -> float:
-    """1 for equal roots; else twice the common runs over all runs, descending into differing branches only."""
+    """1 for equal roots; else twice the common leaves over all leaves, descending into differing branches only."""
     if a[0] == b[0]:
         return 1.0
     total = _size(a[1]) + _size(b[1])
