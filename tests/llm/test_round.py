@@ -18,7 +18,8 @@ def brute_links(vectors, cosine):
     unit = {}
     for n, (_, label, v) in enumerate(vectors):
         if label is not None and v and all(x is not None and np.isfinite(x) for x in v) and any(v):
-            unit[n] = np.array(v) / np.linalg.norm(v)
+            scaled = np.array(v) / max(map(abs, v))
+            unit[n] = scaled / np.linalg.norm(scaled)
     links, root = Counter(), list(range(len(vectors)))
     for a, b in itertools.combinations(unit, 2):
         if vectors[a][1] == vectors[b][1] and len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= cosine:
