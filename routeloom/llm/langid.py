@@ -25,6 +25,7 @@ from routeloom.session import cut_lineage
 SAMPLE_PER_LANG = 5_000
 ROUNDS = 2
 LEARN_WORD = 40  # longer runs of letters are scored, but not learned from
+LEARN_WORDS = 20_000  # words that a task learns from at once
 RESCALE = 16  # steps between two rescalings of the forward sums
 CELLS = 1 << 20  # places times words that run in step
 UNKNOWN = 1e-5
@@ -160,15 +161,19 @@ def expected(pieces: Pieces, table: np.ndarray, found: list[str], counts: np.nda
         for at, k, rows, _, p in reversed(arcs):
             beta[at][rows] += p * beta[at + k + 1][rows]
         share = counts[[row[w] for w in part]] / np.maximum(alpha[size], 1e-300)
+        found_ids, uses = [], []
         for at, k, rows, ids, p in arcs:
             if ids is None:
                 if not lattice[at]:
                     continue
                 rows, ids = lattice[at][0]
                 p = table[ids]
-            use = alpha[at][rows] * p * beta[at + k + 1][rows] * share[rows]
+            found_ids.append(ids)
+            uses.append(alpha[at][rows] * p * beta[at + k + 1][rows] * share[rows])
+        if found_ids:
+            every, use = np.concatenate(found_ids), np.concatenate(uses)
             for lang in range(table.shape[1]):
-                total[:, lang] += np.bincount(ids, use[:, lang], len(table))
+                total[:, lang] += np.bincount(every, use[:, lang], len(table))
     return total
 
 
@@ -299,12 +304,15 @@ def learn(docs: DataFrame, vocab_path: str, per_lang: int = SAMPLE_PER_LANG, rou
             start = np.vstack([np.full((len(pieces), width), 1 / max(len(pieces), 1)), np.zeros((1, width))])
             now = start if name is None else np.load(local_path(name))["table"]
             total = np.zeros_like(now)
+            each: dict[str, np.ndarray] = {}
             for found, marks, n in slices:
-                each: dict[str, np.ndarray] = {}
                 for w, lang, k in zip(found, marks, n):
                     each.setdefault(w, np.zeros(width))[lang] += k
-                if each:
+                if len(each) > LEARN_WORDS:
                     total += expected(trie, now, list(each), np.array(list(each.values())))
+                    each = {}
+            if each:
+                total += expected(trie, now, list(each), np.array(list(each.values())))
             rows_, cols = np.nonzero(total)
             yield rows_.tolist(), cols.tolist(), total[rows_, cols].tolist()
 
