@@ -31,36 +31,61 @@ def _hash(parts: list[bytes]) -> str:
     return hashlib.sha256(b"".join(len(p).to_bytes(8, "little") + p for p in parts)).hexdigest()
 
 
-def leaves(line: str) -> list[str]:
-    """A paragraph cut by content; its leaves joined are the paragraph."""
-    if len(line) <= SHORTEST:
-        return [line] if line else []
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
-    mixed = np.zeros(len(codes), np.uint32)
-    for back, factor in enumerate(_FACTORS[:WINDOW]):
-        mixed[back:] += (codes[: len(codes) - back] + np.uint32(1)) * factor
+def _cuts(codes: np.ndarray) -> np.ndarray:
+    """Places behind characters that end a leaf; what stands before a line's start does not count."""
+    mixed = (codes + np.uint32(1)) * _FACTORS[0]
+    line_end = codes == 10
+    same_line = np.ones(len(codes), bool)
+    for back in range(1, min(WINDOW, len(codes))):
+        same_line[back:] &= ~line_end[: len(codes) - back]
+        mixed[back:] += np.where(same_line[back:], (codes[: len(codes) - back] + np.uint32(1)) * _FACTORS[back], np.uint32(0))
     mixed ^= mixed >> np.uint32(15)
-    marks = np.flatnonzero(mixed % np.uint32(DISTANCE) == 0) + 1
-    out, start = [], 0
-    for end in [*marks.tolist(), len(line)]:
+    return np.flatnonzero(mixed % np.uint32(DISTANCE) == 0) + 1
+
+
+def _spans(start: int, stop: int, marks: list[int], at: int) -> tuple[list[tuple[int, int]], int]:
+    """Leaves of the line ``[start, stop)`` as spans, and the next mark to look at."""
+    out = []
+    while True:
+        while at < len(marks) and marks[at] <= start:
+            at += 1
+        end = min(marks[at], stop) if at < len(marks) else stop
         while end - start > LONGEST:
-            out.append(line[start : start + LONGEST])
+            out.append((start, start + LONGEST))
             start += LONGEST
-        if end - start >= SHORTEST or (end == len(line) and end > start):
-            out.append(line[start:end])
+        if end - start >= SHORTEST or end == stop:
+            if end > start:
+                out.append((start, end))
             start = end
-    return out
+        if end == stop:
+            return out, at
+        at += 1
+
+
+def leaves(line: str) -> list[str]:
+    """A paragraph cut by content; its leaves joined are the paragraph."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4")
+    return [line[a:b] for a, b in _spans(0, len(line), _cuts(codes).tolist() if line else [], 0)[0]]
 
 
 def tree(text: str | None) -> tuple:
     """(root, [(section, [(paragraph, [leaf, ...]), ...]), ...]); an empty text has a root only."""
-    sections, full = [], []
+    if not text:
+        return _hash([]), []
+    raw = text.encode("utf-32-le", "surrogatepass")
+    marks, view = _cuts(np.frombuffer(raw, "<u4")).tolist(), memoryview(raw)
     short = xxhash.xxh32_hexdigest
-    for part in (text or "").split("\n\n") if text else []:
-        lines = part.split("\n")
-        whole = [hashlib.sha256(line.encode("utf-8", "surrogatepass")).hexdigest() for line in lines]
+    sections, full = [], []
+    start = at = 0
+    for part in text.split("\n\n"):
+        whole, paragraphs = [], []
+        for line in part.split("\n"):
+            spans, at = _spans(start, start + len(line), marks, at)
+            whole.append(hashlib.sha256(line.encode("utf-8", "surrogatepass")).hexdigest())
+            paragraphs.append((whole[-1][:16], [short(view[4 * a : 4 * b]) for a, b in spans]))
+            start += len(line) + 1
+        start += 1
         full.append(_hash([p.encode() for p in whole]))
-        paragraphs = [(p[:16], [short(x.encode("utf-8", "surrogatepass")) for x in leaves(line)]) for p, line in zip(whole, lines)]
         sections.append((full[-1][:16], paragraphs))
     return _hash([s.encode() for s in full]), sections
 
@@ -203,10 +228,13 @@ def compare_edited(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def run(texts, nexts):
         out: tuple[list, ...] = ([], [], [], [], [], [])
+        before, known = None, None  # the next text of a row is mostly the text of the row after it
         for t, n in zip(texts, nexts):
             half = len(t) // 2
             edited = t[: len(t) - half] + n[:half]
-            own, changed, following = tree(t), tree(edited), tree(n)
+            own = known if t == before else tree(t)
+            changed, following = tree(edited), tree(n)
+            before, known = n, following
             row = (len(t), edited, dump(own), dump(changed), likeness(own, changed), likeness(own, following))
             for c, v in zip(out, row):
                 c.append(v)

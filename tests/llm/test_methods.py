@@ -106,3 +106,12 @@ def test_likeness_is_the_share_of_common_leaves():
         got = merkle.likeness(merkle.tree(a), merkle.tree(b))
         assert got == 1.0 if a == b else 0 <= got <= plain + 1e-9
     assert merkle.tree(None) == merkle.tree("") and merkle.likeness(merkle.tree(""), merkle.tree("a")) == 0.0
+
+
+def test_leaves_of_a_text_are_those_of_its_lines():
+    rng = random.Random(9)
+    for _ in range(60):
+        text = "".join(rng.choice("ab c\n\nxyz é中\n") for _ in range(rng.randint(1, 400)))
+        lines = [leaf for part in text.split("\n\n") for line in part.split("\n") for leaf in merkle.leaves(line)]
+        hashed = [merkle.xxhash.xxh32_hexdigest(leaf.encode("utf-32-le")) for leaf in lines]
+        assert [r for _, ps in merkle.tree(text)[1] for _, rs in ps for r in rs] == hashed
