@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from routeloom.operators import evidence, graph, ordered, patches
+from routeloom.operators import evidence, ordered, patches
 from routeloom.plans.q_evidence import ALL_VIEWS, MISS_SQL, PARENTS_SQL, VIEWS, _misses, _rows, _top
 from routeloom.plans.registry import query
 from routeloom.session import cut_lineage
