@@ -53,6 +53,8 @@ def test_first_candidates_are_those_of_the_whole_review(spark):
     top = lambda x: rows(ranking.rank_topk(x, "query_id", ["seen"], 4), "query_id", "rank", "skill", "score", "seen")
     assert top(first) == top(whole)
     assert first.count() < whole.count()
+    blank = graph.review_candidates(*args[:4], spark.createDataFrame([("s2", None)], "skill string, d array<string>"), 50)
+    assert {(x.skill, x.score, x.applicable) for x in blank.collect()} == {("s2", None, None)}  # a skill without words stays a candidate
     held = args[1].join(args[2], F.col("skill") == F.col("name")).select("node", F.col("canonical").alias("skill")).distinct()
     assert rows(graph.candidate_counts(args[0], held), "query_id", "candidates") == rows(whole.groupBy("query_id").count(), "query_id", "count")
 
