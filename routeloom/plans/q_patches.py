@@ -40,7 +40,7 @@ def edit_gate(v):
 
 @query(
     "merge_gate",
-    f"""WITH {PARENTS_SQL}, mg AS (SELECT parent, a, b, support, a_is_source AND b_is_source AS both_sides FROM top WHERE relation = 'same')
+    f"""WITH {PARENTS_SQL}, mg AS (SELECT parent, a, b, support, a_is_source AND b_is_source AS both_sides FROM sup WHERE relation = 'same' AND parent IN (SELECT node FROM m))
 SELECT parent, a, b, CASE WHEN both_sides THEN 'ok' ELSE 'direction' END AS outcome FROM mg""",
     VIEWS,
 )
@@ -48,10 +48,11 @@ def merge_gate(v):
     """Every repeated same-pair proposed as a merge citing all of its requests."""
     rows = cut_lineage(_rows(v))
     direct = v.member.select(F.col("node").alias("parent")).distinct()
-    top = cut_lineage(evidence.relations_topk(evidence.relation_support(rows)).join(direct, "parent", "left_semi"))
-    merges = top.where("relation = 'same'").select(F.concat_ws("|", "parent", "a", "b").alias("edit_id"), "parent", F.col("b").alias("keep"), F.col("a").alias("remove"))
-    cited = rows.where("relation = 'same'").select(F.concat_ws("|", "parent", "a", "b").alias("edit_id"), "query_id")
-    got = patches.merge_gate(merges, cited, top, rows)
+    same = rows.where("relation = 'same'")
+    supported = cut_lineage(evidence.relation_support(same).join(direct, "parent", "left_semi"))
+    merges = supported.select(F.concat_ws("|", "parent", "a", "b").alias("edit_id"), "parent", F.col("b").alias("keep"), F.col("a").alias("remove"))
+    cited = same.select(F.concat_ws("|", "parent", "a", "b").alias("edit_id"), "query_id")
+    got = patches.merge_gate(merges, cited, supported, same)
     return got.select("parent", F.col("remove").alias("a"), F.col("keep").alias("b"), "outcome")
 
 
