@@ -2,6 +2,7 @@
 
 from types import SimpleNamespace
 
+from routeloom.operators import evidence
 from routeloom.plans import q_patches
 
 RELATION = "query_id int, source string, a string, b string, relation string, reason string, split_parent string, distinction string"
@@ -19,3 +20,11 @@ def test_merge_gate_judges_every_repeated_pair(spark):
     )
     got = {(r.a, r.b): r.outcome for r in q_patches.merge_gate(view).collect()}
     assert got == dict.fromkeys(pairs, "ok")
+
+
+def test_relation_details_lists_all_requests_and_sources(spark):
+    data = [(q, s, "x", "y", "same", f"r{q}", "", "", "p") for q, s in ((12, "y"), (3, "x"), (3, "x"), (7, "y"), (5, "x"))]
+    placed = spark.createDataFrame(data, f"{RELATION}, parent string")
+    got = evidence.relation_details(placed, evidence.relation_support(placed)).first()
+    assert (list(got.ids), list(got.sources)) == ([3, 5, 7, 12], ["x", "y"])
+    assert (list(got.first_ids), got.n_sources, got.support) == ([3, 5], 2, 4)
